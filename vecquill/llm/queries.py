@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vecquill.llm import packing, quality_model, quality_rules, sharding, token_counts, toxicity, warc
+from vecquill.llm import minhash, packing, quality_model, quality_rules, sharding, token_counts, toxicity, warc
 from vecquill.llm.shared import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,8 +42,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op4_quality, op5_token_counts, op6_packing, op7_sharding, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op4_quality, op5_token_counts, op6_packing, op7_sharding, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
