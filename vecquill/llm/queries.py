@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vecquill.llm import minhash, packing, quality_model, quality_rules, sharding, token_counts, toxicity, warc
+from vecquill.llm import minhash, packing, quality_model, quality_rules, sharding, substring_dedup, token_counts, toxicity, warc
 from vecquill.llm.shared import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -21,6 +21,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(read(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
+    return kept.select("__row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_with_trees(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -47,7 +52,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op4_quality, op5_token_counts, op6_packing, op7_sharding, op9_quality_rules, op10_minhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_substring_dedup, op4_quality, op5_token_counts, op6_packing, op7_sharding, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
