@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vecquill.llm import minhash, packing, quality_model, quality_rules, sharding, substring_dedup, token_counts, toxicity, warc
+from vecquill.llm import decontamination, minhash, packing, quality_model, quality_rules, sharding, substring_dedup, token_counts, toxicity, warc
 from vecquill.llm.shared import read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -42,6 +42,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.score_quality(read(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -52,7 +56,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_substring_dedup, op4_quality, op5_token_counts, op6_packing, op7_sharding, op9_quality_rules, op10_minhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_substring_dedup, op4_quality, op5_token_counts, op6_packing, op7_sharding, op8_decontamination, op9_quality_rules, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
