@@ -1,4 +1,478 @@
-"""The queries for the reference's operators and their SQL oracles."""
+"""The queries for the reference's operators and their SQL oracles. A search asks with every row whose id is divisible by 20."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vecquill.functions import vectors as V
+from vecquill.operators import chat, sampling, search, text
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def base(spark: SparkSession, d: str) -> DataFrame:
+    return search.vectors(table(spark, d, "embeddings"))
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("id") % 20 == 0)
+
+
+# ---- metrics and k nearest neighbours
+E_ = "e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+ALL = "range(1, len(a) + 1)"
+
+
+def each(expr: str) -> str:
+    """DuckDB: the list of expr over i, with a[i] and b[i]."""
+    return f"list_transform({ALL}, lambda i: {expr})"
+
+
+def total(expr: str) -> str:
+    return f"list_sum({each(expr)})"
+
+
+DUCK = {
+    "ip": (total("a[i]*b[i]"), True), "l2": (total("(a[i]-b[i])*(a[i]-b[i])"), False), "l1": (total("abs(a[i]-b[i])"), False), "linf": (f"list_max({each('abs(a[i]-b[i])')})", False),
+    "canberra": (total("abs(a[i]-b[i])/(abs(a[i])+abs(b[i]))"), False), "braycurtis": (f"{total('abs(a[i]-b[i])')}/{total('abs(a[i]+b[i])')}", False), "lp3": (total("abs(a[i]-b[i])*abs(a[i]-b[i])*abs(a[i]-b[i])"), False),
+    "cosine": (f"{total('a[i]*b[i]')}/(sqrt({total('a[i]*a[i]')})*sqrt({total('b[i]*b[i]')}))", True),
+    "js_abs": (f"0.5*{total('-a[i]*ln((a[i]+b[i])/2/a[i])-b[i]*ln((a[i]+b[i])/2/b[i])')}", False), "jaccard_abs": (f"{total('least(a[i],b[i])')}/{total('greatest(a[i],b[i])')}", True),
+    "naneuclid": (f"len(a)/{total('CASE WHEN isnan(a[i]) OR isnan(b[i]) THEN 0.0 ELSE 1.0 END')}*{total('CASE WHEN isnan(a[i]) OR isnan(b[i]) THEN 0.0 ELSE (a[i]-b[i])*(a[i]-b[i]) END')}", False),
+    "gower": (f"{total('abs(a[i]-b[i])')}/len(a)", False),
+}
+#: What a metric's input is made of: Spark and DuckDB forms of a component x.
+SHAPES = {"js_abs": (F.abs, "abs(x)"), "jaccard_abs": (F.abs, "abs(x)"), "naneuclid": (lambda x: F.when(F.abs(x) < 0.02, F.lit(float("nan"))).otherwise(x), "CASE WHEN abs(x) < 0.02 THEN CAST('nan' AS DOUBLE) ELSE x END"), "gower": (lambda x: (x + 1) / 2, "(x + 1) / 2")}
+NAMES = {"lp3": "lp", "js_abs": "jensenshannon", "jaccard_abs": "jaccard", "naneuclid": "nan_euclidean"}
+
+
+def pairs_sql(name: str, shape: str = "x", where: str = "true") -> str:
+    return f"WITH {E_}, s AS (SELECT id, list_transform(v, lambda x: {shape}) AS v FROM e), p AS (SELECT q.id AS query_id, s.id AS id, q.v AS a, s.v AS b FROM s, s q WHERE q.id % 20 = 0 AND {where}), d AS (SELECT query_id, id, {DUCK[name][0]} AS distance FROM p)"
+
+
+def ranked_sql(larger: bool, k: int, source: str = "d", partition: str = "query_id") -> str:
+    return f"SELECT query_id, rank, id, round(distance, 6) AS distance FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {partition} ORDER BY distance {'DESC' if larger else 'ASC'}, id) AS INTEGER) AS rank FROM {source}) WHERE rank <= {k}"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("distance", F.round("distance", 6))
+
+
+for _name in DUCK:
+    _f, _sql = SHAPES.get(_name, (None, "x"))
+
+    @register(f"knn_{_name}", f"{pairs_sql(_name, _sql)} {ranked_sql(DUCK[_name][1], 10)}")
+    def _(spark, d, name=_name, f=_f):
+        rows = base(spark, d)
+        rows = rows if f is None else rows.withColumn("v", F.transform("v", f))
+        return rounded(search.knn(asked(rows), rows, 10, NAMES.get(name, name), p=3 if name == "lp3" else None))
+
+
+@register("range_l2", f"{pairs_sql('l2')} SELECT query_id, id, round(distance, 6) AS distance FROM d WHERE distance < 1.2")
+def _(spark, d):
+    return rounded(search.within(asked(base(spark, d)), base(spark, d), 1.2, "l2"))
+
+
+@register("range_ip", f"{pairs_sql('ip')} SELECT query_id, id, round(distance, 6) AS distance FROM d WHERE distance > 0.4")
+def _(spark, d):
+    return rounded(search.within(asked(base(spark, d)), base(spark, d), 0.4, "ip"))
+
+
+@register("pairwise_l2", f"{pairs_sql('l2')} SELECT query_id, id, round(distance, 6) AS distance FROM d")
+def _(spark, d):
+    return rounded(search.distances(asked(base(spark, d)), base(spark, d), "l2"))
+
+
+# ---- selectors: restrict ids before ranking
+SELECTORS = {"sel_range": ("id >= 100 AND id < 300", "s.id >= 100 AND s.id < 300"), "sel_batch": ("id IN (1, 7, 20, 55, 140, 222, 333)", "s.id IN (1, 7, 20, 55, 140, 222, 333)"), "sel_not": ("NOT (id < 250)", "NOT (s.id < 250)"), "sel_and_or_xor": ("((id % 3 = 0) OR (id % 5 = 0)) AND ((id < 400) <> (id % 2 = 0))", "((s.id % 3 = 0) OR (s.id % 5 = 0)) AND ((s.id < 400) <> (s.id % 2 = 0))")}
+for _name, (_spark, _sql) in SELECTORS.items():
+
+    @register(_name, f"{pairs_sql('ip', where=_sql)} {ranked_sql(True, 5)}")
+    def _(spark, d, cond=_spark):
+        return rounded(search.knn(asked(base(spark, d)), base(spark, d), 5, "ip", where=F.expr(cond)))
+
+
+@register("knn_graph_self", f"{pairs_sql('l2', where='q.id <> s.id')} {ranked_sql(False, 5)}")
+def _(spark, d):
+    pairs = search.distances(asked(base(spark, d)), base(spark, d), "l2").where("query_id <> id")
+    return rounded(search.top_k(pairs, 5, False))
+
+
+@register("shard_merge_topk", f"{pairs_sql('ip')}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id % 4 ORDER BY distance DESC, id) AS r FROM d) WHERE r <= 10) {ranked_sql(True, 10, 't')}")
+def _(spark, d):
+    pairs = search.distances(asked(base(spark, d)), base(spark, d), "ip")
+    shard = Window.partitionBy("query_id", F.col("id") % 4).orderBy(F.desc("distance"), "id")
+    return rounded(search.top_k(pairs.withColumn("r", F.row_number().over(shard)).where("r <= 10"), 10, True))
+
+
+@register("refine_two_stage", f"{pairs_sql('l1')}, c AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM d) WHERE r <= 40), d2 AS (SELECT c.query_id, c.id, (SELECT {total('(a[i]-b[i])*(a[i]-b[i])')} FROM (SELECT q.v AS a, x.v AS b)) AS distance FROM c JOIN e q ON q.id = c.query_id JOIN e x ON x.id = c.id) {ranked_sql(False, 10, 'd2')}")
+def _(spark, d):
+    rows = base(spark, d)
+    return rounded(search.refine(search.knn(asked(rows), rows, 40, "l1"), asked(rows), rows, 10, "l2"))
+
+
+@register("recall_at_1", f"{pairs_sql('ip')}, g AS (SELECT query_id, arg_max(id, (distance, -id)) AS best FROM d GROUP BY 1), r AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance DESC, id) AS k FROM d WHERE id % 2 = 0) WHERE k <= 10) SELECT round(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM r WHERE r.query_id = g.query_id AND r.id = g.best)) / count(*), 6) AS recall FROM g")
+def _(spark, d):
+    rows = base(spark, d)
+    truth = search.knn(asked(rows), rows, 1, "ip").select("query_id", "id")
+    got = search.knn(asked(rows), rows, 10, "ip", where=F.expr("id % 2 = 0")).select("query_id", "id", F.lit(1).alias("hit"))
+    return truth.join(got, ["query_id", "id"], "left").agg(F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count("*"), 6).alias("recall"))
+
+
+@register("intersection_at_10", f"{pairs_sql('ip')}, t AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance DESC, id) AS k FROM d) WHERE k <= 10), r AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance DESC, id) AS k FROM d WHERE id % 2 = 0) WHERE k <= 10) SELECT round(count(*) / (SELECT count(*) FROM t), 6) AS share FROM t JOIN r USING (query_id, id)")
+def _(spark, d):
+    rows = base(spark, d)
+    truth, got = search.knn(asked(rows), rows, 10, "ip"), search.knn(asked(rows), rows, 10, "ip", where=F.expr("id % 2 = 0"))
+    hit = truth.select("query_id", "id").join(got.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return hit.agg(F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count("*"), 6).alias("share"))
+
+
+# ---- mutation and reconstruction
+@register("reconstruct_ids", f"WITH {E_} SELECT id, pos - 1 AS pos, round(v[pos], 6) AS x FROM e, range(1, 65) t(pos) WHERE id IN (3, 14, 159)")
+def _(spark, d):
+    return base(spark, d).where("id IN (3, 14, 159)").select("id", F.posexplode("v").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@register("remove_ids", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 7 <> 0")
+def _(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return rows.join(rows.where("id % 7 = 0").select("id"), "id", "left_anti")
+
+
+@register("merge_shift_ids", "SELECT vec_id AS id, label FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings")
+def _(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return rows.unionAll(rows.withColumn("id", F.col("id") + 1000000))
+
+
+@register("copy_subset_mod", "SELECT vec_id AS id, label FROM embeddings WHERE vec_id % 4 = 1")
+def _(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 4 = 1").select(F.col("vec_id").alias("id"), "label")
+
+
+@register("dedup_vectors", "SELECT min(vec_id) AS id, count(*) AS n FROM embeddings GROUP BY embedding")
+def _(spark, d):
+    return table(spark, d, "embeddings").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("id", "n")
+
+
+@register("sliding_window_slices", "SELECT vec_id AS id, vec_id // 50 AS slice FROM embeddings WHERE vec_id // 50 > (SELECT max(vec_id // 50) FROM embeddings) - 3")
+def _(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.expr("vec_id div 50").alias("slice"))
+    return rows.crossJoin(F.broadcast(rows.agg(F.max("slice").alias("last")))).where("slice > last - 3").select("id", "slice")
+
+
+# ---- vector functions
+NORM = f"sqrt({total('a[i]*a[i]')})"
+
+
+@register("norm_l2", f"WITH {E_} SELECT id, round({NORM}, 6) AS norm FROM (SELECT id, v AS a FROM e)")
+def _(spark, d):
+    return base(spark, d).select("id", F.round(V.norm(F.col("v")), 6).alias("norm"))
+
+
+@register("normalize_l2", f"WITH {E_}, n AS (SELECT id, a, {NORM} AS n FROM (SELECT id, list_transform(v, lambda x: x * 3) AS a FROM e)) SELECT id, CAST(pos - 1 AS BIGINT) AS pos, round(a[pos] / n, 6) AS x FROM n, range(1, 65) t(pos)")
+def _(spark, d):
+    rows = base(spark, d).withColumn("v", F.transform("v", lambda x: x * 3))
+    return rows.select("id", F.posexplode(V.normalized(F.col("v"))).alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+U_ = "u AS (SELECT id, label, CAST(pos - 1 AS BIGINT) AS pos, v[pos] AS x FROM e, range(1, 65) t(pos))"
+
+
+def unpacked(spark, d) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.posexplode(V.doubles("embedding")).alias("pos", "x"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
+
+@register("center", f"WITH {E_}, {U_} SELECT id, pos, round(x - avg(x) OVER (PARTITION BY pos), 6) + 0.0 AS x FROM u")
+def _(spark, d):
+    u = unpacked(spark, d)
+    means = u.groupBy("pos").agg(F.avg("x").alias("m"))
+    return u.join(F.broadcast(means), "pos").select("id", "pos", (F.round(F.col("x") - F.col("m"), 6) + 0.0).alias("x"))
+
+
+@register("avg_vec_by_label", f"WITH {E_}, {U_}, m AS (SELECT label, pos, avg(x) AS x FROM u GROUP BY 1, 2) SELECT label, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m")
+def _(spark, d):
+    m = unpacked(spark, d).groupBy("label", "pos").agg(F.avg("x").alias("x"))
+    return m.withColumn("x", F.round(F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("label"))), 6))
+
+
+@register("matrix_stats", f"WITH {E_}, {U_} SELECT pos, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(min(x), 6) AS lo, round(max(x), 6) AS hi, count(*) FILTER (WHERE isnan(x)) AS nans FROM u GROUP BY pos")
+def _(spark, d):
+    r = lambda c: F.round(c, 6)
+    return unpacked(spark, d).groupBy("pos").agg(r(F.avg("x")).alias("mean"), r(F.stddev_pop("x")).alias("std"), r(F.min("x")).alias("lo"), r(F.max("x")).alias("hi"), F.count_if(F.isnan("x")).alias("nans"))
+
+
+@register("imbalance_factor", "SELECT round(sum(h * h) * count(*) / (sum(h) * sum(h)), 6) AS imbalance FROM (SELECT CAST(count(*) AS DOUBLE) AS h FROM embeddings GROUP BY label)")
+def _(spark, d):
+    h = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").cast("double").alias("h"))
+    return h.agg(F.round(F.sum(F.col("h") * F.col("h")) * F.count("*") / (F.sum("h") * F.sum("h")), 6).alias("imbalance"))
+
+
+@register("minmax_rowwise", f"WITH {E_} SELECT id, CAST(pos - 1 AS BIGINT) AS pos, CAST(floor((v[pos] - list_min(v)) / (list_max(v) - list_min(v)) * 255) AS INTEGER) AS code FROM e, range(1, 65) t(pos)")
+def _(spark, d):
+    rows = base(spark, d).select("id", "v", F.array_min("v").alias("lo"), F.array_max("v").alias("hi"))
+    return rows.select("id", F.posexplode(F.transform("v", lambda x: F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255).cast("int"))).alias("pos", "code")).withColumn("pos", F.col("pos").cast("long"))
+
+
+# ---- inverted lists: the centroids are the means of the labels
+CENTROIDS = f"{E_}, {U_}, c AS (SELECT label AS list_no, list(round(x, 9) ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS x FROM u GROUP BY 1, 2) GROUP BY 1)"
+L2E = total("(a[i]-b[i])*(a[i]-b[i])")
+PROBES = f"{CENTROIDS}, pr AS (SELECT query_id, list_no, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, list_no) AS INTEGER) AS probe FROM (SELECT query_id, list_no, {L2E} AS distance FROM (SELECT q.id AS query_id, c.list_no, q.v AS a, c.v AS b FROM e q, c WHERE q.id % 20 = 0)) QUALIFY probe <= 3), d AS (SELECT query_id, list_no, probe, id, {L2E} AS distance FROM (SELECT pr.query_id, pr.list_no, pr.probe, e.id, q.v AS a, e.v AS b FROM pr JOIN e q ON q.id = pr.query_id JOIN e ON e.label = pr.list_no))"
+
+
+def ivf(spark, d) -> DataFrame:
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", V.doubles("embedding").alias("v"))
+    lists = rows.withColumnRenamed("label", "list_no")
+    return search.probe(asked(rows), lists, search.centroids_of(rows, "label"), 3)
+
+
+@register("ivf_probe_given_centroids", f"WITH {PROBES} {ranked_sql(False, 10)}")
+def _(spark, d):
+    return rounded(search.top_k(ivf(spark, d), 10, False))
+
+
+@register("ivf_range", f"WITH {PROBES} SELECT query_id, id, round(distance, 6) AS distance FROM d WHERE distance < 1.4")
+def _(spark, d):
+    return rounded(ivf(spark, d).where("distance < 1.4").select("query_id", "id", "distance"))
+
+
+@register("ivf_max_codes", f"WITH {PROBES}, n AS (SELECT query_id, list_no, probe, count(*) AS n FROM d GROUP BY ALL), v AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY probe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM n) SELECT query_id, list_no, probe, n FROM v WHERE seen < 80")
+def _(spark, d):
+    n = ivf(spark, d).groupBy("query_id", "list_no", "probe").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("query_id").orderBy("probe").rowsBetween(Window.unboundedPreceding, -1)
+    return n.withColumn("seen", F.coalesce(F.sum("n").over(w), F.lit(0))).where("seen < 80").drop("seen")
+
+
+@register("assign_label_centroid", f"WITH {CENTROIDS} SELECT id, arg_min(list_no, (distance, list_no)) AS list_no FROM (SELECT id, list_no, {L2E} AS distance FROM (SELECT e.id, c.list_no, e.v AS a, c.v AS b FROM e, c)) GROUP BY id")
+def _(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", V.doubles("embedding").alias("v"))
+    return search.assign(rows, search.centroids_of(rows, "label")).select("id", "list_no")
+
+
+@register("residual_to_centroid", f"WITH {CENTROIDS} SELECT id, CAST(pos - 1 AS BIGINT) AS pos, round(e.v[pos] - c.v[pos], 6) + 0.0 AS x FROM e JOIN c ON c.list_no = e.label, range(1, 65) t(pos)")
+def _(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", V.doubles("embedding").alias("v"))
+    c = search.centroids_of(rows, "label").select(F.col("list_no").alias("label"), F.col("v").alias("c"))
+    return rows.join(F.broadcast(c), "label").select("id", F.posexplode(F.zip_with("v", "c", lambda x, y: F.round(x - y, 6) + 0.0)).alias("pos", "x")).withColumn("pos", F.col("pos").cast("long"))
+
+
+# ---- scalar, sign and product codes
+RANGES = "r AS (SELECT pos, min(x) AS lo, max(x) - min(x) AS width FROM u GROUP BY pos)"
+
+
+@register("sq8_train", f"WITH {E_}, {U_}, {RANGES} SELECT pos, round(lo, 9) AS lo, round(width, 9) AS width FROM r")
+def _(spark, d):
+    return unpacked(spark, d).groupBy("pos").agg(F.round(F.min("x"), 9).alias("lo"), F.round(F.max("x") - F.min("x"), 9).alias("width"))
+
+
+for _bits in (4, 6, 8):
+
+    @register(f"sq{_bits}_encode", f"WITH {E_}, {U_}, {RANGES} SELECT id, pos, CAST(floor(greatest(0.0, least(1.0, (x - lo) / width)) * {2**_bits - 1}) AS INTEGER) AS code FROM u JOIN r USING (pos)")
+    def _(spark, d, levels=2**_bits - 1):
+        u = unpacked(spark, d)
+        r = u.groupBy("pos").agg(F.min("x").alias("lo"), (F.max("x") - F.min("x")).alias("width"))
+        return u.join(F.broadcast(r), "pos").select("id", "pos", V.scalar_code(F.col("x"), F.col("lo"), F.col("width"), levels).alias("code"))
+
+
+@register("sq8_decode_knn", f"WITH {E_}, {U_}, {RANGES}, k AS (SELECT id, list((floor(greatest(0.0, least(1.0, (x - lo) / width)) * 255) + 0.5) / 255 * width + lo ORDER BY pos) AS v FROM u JOIN r USING (pos) GROUP BY id), d AS (SELECT query_id, id, {L2E} AS distance FROM (SELECT q.id AS query_id, k.id, q.v AS a, k.v AS b FROM e q, k WHERE q.id % 20 = 0)) {ranked_sql(False, 10)}")
+def _(spark, d):
+    u = unpacked(spark, d)
+    r = u.groupBy("pos").agg(F.min("x").alias("lo"), (F.max("x") - F.min("x")).alias("width"))
+    code = u.join(F.broadcast(r), "pos").withColumn("y", (V.scalar_code(F.col("x"), F.col("lo"), F.col("width"), 255) + 0.5) / 255 * F.col("width") + F.col("lo"))
+    decoded = code.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "y"))), lambda s: s["y"]).alias("v"))
+    return rounded(search.knn(asked(base(spark, d)), decoded, 10, "l2"))
+
+
+def bits_sql(lo: int) -> str:
+    return f"CAST(list_sum(list_transform(range({lo}, {lo + 32}), lambda i: CASE WHEN v[i + 1] >= 0 THEN CAST(1 AS BIGINT) << (i - {lo}) ELSE 0 END)) AS BIGINT)"
+
+
+@register("lsh_code", f"WITH {E_} SELECT id, {bits_sql(0)} AS low, {bits_sql(32)} AS high FROM e")
+def _(spark, d):
+    return base(spark, d).select("id", V.sign_bits(F.col("v"), 0, 32).alias("low"), V.sign_bits(F.col("v"), 32, 64).alias("high"))
+
+
+@register("lsh_knn", f"WITH {E_}, c AS (SELECT id, {bits_sql(0)} AS low, {bits_sql(32)} AS high FROM e), d AS (SELECT q.id AS query_id, c.id, CAST(bit_count(xor(q.low, c.low)) + bit_count(xor(q.high, c.high)) AS DOUBLE) AS distance FROM c q, c WHERE q.id % 20 = 0) {ranked_sql(False, 10)}")
+def _(spark, d):
+    c = base(spark, d).select("id", V.sign_bits(F.col("v"), 0, 32).alias("low"), V.sign_bits(F.col("v"), 32, 64).alias("high"))
+    q = asked(c).select(F.col("id").alias("query_id"), F.col("low").alias("ql"), F.col("high").alias("qh"))
+    pairs = c.crossJoin(F.broadcast(q)).select("query_id", "id", (F.bit_count(F.col("low").bitwiseXOR(F.col("ql"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("qh")))).cast("double").alias("distance"))
+    return search.top_k(pairs, 10, False)
+
+
+@register("lsh_median_thresholds", f"WITH {E_}, {U_} SELECT pos, round(median(x), 9) AS threshold FROM u GROUP BY pos")
+def _(spark, d):
+    return unpacked(spark, d).groupBy("pos").agg(F.round(F.percentile("x", F.lit(0.5)), 9).alias("threshold"))
+
+
+# product codes of 8 parts of 8 dimensions; the code book is the parts of the 16 vectors of least id
+BOOK = "b AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS code, v FROM e ORDER BY id LIMIT 16)"
+PART_L2 = "list_sum(list_transform(range(m * 8 + 1, m * 8 + 9), lambda i: (a[i]-b[i])*(a[i]-b[i])))"
+CODES = f"{E_}, {BOOK}, k AS (SELECT id, m, arg_min(code, (distance, code)) AS code FROM (SELECT id, m, code, {PART_L2} AS distance FROM (SELECT e.id, m, b.code, e.v AS a, b.v AS b FROM e, b, range(0, 8) t(m))) GROUP BY 1, 2)"
+
+
+def product_codes(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(code book (m, code, part), codes (id, m, code))."""
+    rows = base(spark, d)
+    first = rows.orderBy("id").limit(16).withColumn("code", F.row_number().over(Window.orderBy("id")) - 1)  # 16 rows
+    cut = lambda df, *c: df.select(*c, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda m: F.slice("v", m * 8 + 1, 8))).alias("m", "part"))
+    book = cut(first, "code")
+    near = cut(rows, "id").join(F.broadcast(book.select("m", "code", F.col("part").alias("bp"))), "m").select("id", "m", "code", V.l2(F.col("part"), F.col("bp")).alias("distance"))
+    return book, near.groupBy("id", "m").agg(F.min(F.struct("distance", "code"))["code"].alias("code"))
+
+
+@register("pq_encode_given_codebook", f"WITH {CODES} SELECT id, CAST(m AS BIGINT) AS m, code FROM k")
+def _(spark, d):
+    return product_codes(spark, d)[1].withColumn("m", F.col("m").cast("long"))
+
+
+@register("pq_adc_knn", f"WITH {CODES}, lut AS (SELECT query_id, m, code, {PART_L2} AS part FROM (SELECT q.id AS query_id, m, b.code, q.v AS a, b.v AS b FROM e q, b, range(0, 8) t(m) WHERE q.id % 20 = 0)), d AS (SELECT query_id, id, round(sum(part), 9) AS distance FROM lut JOIN k USING (m, code) GROUP BY 1, 2) {ranked_sql(False, 10)}")
+def _(spark, d):
+    book, codes = product_codes(spark, d)
+    q = asked(base(spark, d)).select(F.col("id").alias("query_id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda m: F.slice("v", m * 8 + 1, 8))).alias("m", "qp"))
+    lut = q.join(F.broadcast(book), "m").select("query_id", "m", "code", V.l2(F.col("qp"), F.col("part")).alias("part"))
+    pairs = codes.join(lut, ["m", "code"]).groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("distance"))
+    return rounded(search.top_k(pairs, 10, False))
+
+
+@register("kmeans_one_step", f"WITH {E_}, {BOOK}, s AS (SELECT id, arg_min(code, (distance, code)) AS cluster FROM (SELECT id, code, {L2E} AS distance FROM (SELECT e.id, b.code, e.v AS a, b.v AS b FROM e, b)) GROUP BY id), {U_} SELECT cluster, pos, round(avg(x), 6) AS x FROM u JOIN s USING (id) GROUP BY 1, 2")
+def _(spark, d):
+    rows = base(spark, d)
+    seeds = rows.orderBy("id").limit(16).withColumn("list_no", F.row_number().over(Window.orderBy("id")) - 1)
+    own = search.assign(rows, seeds).select("id", F.col("list_no").alias("cluster"))
+    return unpacked(spark, d).join(own, "id").groupBy("cluster", "pos").agg(F.round(F.avg("x"), 6).alias("x"))
+
+
+@register("rabitq_encode", f"WITH {E_}, {U_}, m AS (SELECT pos, round(avg(x), 9) AS c FROM u GROUP BY pos) SELECT id, CAST(count(*) FILTER (WHERE x - c > 0) AS BIGINT) AS ones, round(sum((x - c) * (x - c)), 6) AS norm2, round(sum((x - c) * (x - c)) / nullif(sum(abs(x - c)), 0), 6) AS factor FROM u JOIN m USING (pos) GROUP BY id")
+def _(spark, d):
+    u = unpacked(spark, d)
+    m = u.groupBy("pos").agg(F.round(F.avg("x"), 9).alias("c"))
+    z = u.join(F.broadcast(m), "pos").withColumn("z", F.col("x") - F.col("c"))
+    return z.groupBy("id").agg(F.count_if(F.col("z") > 0).alias("ones"), F.round(F.sum(F.col("z") * F.col("z")), 6).alias("norm2"), F.round(F.sum(F.col("z") * F.col("z")) / F.nullif(F.sum(F.abs("z")), F.lit(0.0)), 6).alias("factor"))
+
+
+# ---- texts
+DOCS = "(SELECT doc_id, text FROM documents)"
+MARK = text.MARK
+
+
+@register("normalize_spaces", f"SELECT doc_id, md5(CASE WHEN trim(text, ' ') = '' THEN '' ELSE '{MARK}' || regexp_replace(trim(text, ' '), ' +', '{MARK}', 'g') END) AS digest FROM {DOCS}")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_spaces(F.col("text")).cast("binary")).alias("digest"))
+
+
+@register("piece_encode_word", f"SELECT doc_id, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, ' ')) AS digest FROM (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(trim(text, ' '), ' +'), lambda w: w <> ''), lambda w: '{MARK}' || w) AS p FROM {DOCS})")
+def _(spark, d):
+    p = table(spark, d, "documents").select("doc_id", text.word_pieces(F.col("text")).alias("p"))
+    return p.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", " ").cast("binary")).alias("digest"))
+
+
+@register("piece_decode", f"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(trim(text, ' '), ' +'), lambda w: w <> ''), ' ')) AS digest FROM {DOCS}")
+def _(spark, d):
+    p = table(spark, d, "documents").select("doc_id", text.word_pieces(F.col("text")).alias("p"))
+    return p.select("doc_id", F.md5(text.decode_pieces(F.col("p")).cast("binary")).alias("digest"))
+
+
+@register("train_word_vocab", f"WITH w AS (SELECT unnest(string_split(text, ' ')) AS piece FROM {DOCS}), c AS (SELECT piece, count(*) AS freq FROM w WHERE piece <> '' GROUP BY 1) SELECT piece, freq, round(ln(freq) - ln((SELECT sum(freq) FROM c)), 6) AS score FROM c ORDER BY freq DESC, piece LIMIT 500")
+def _(spark, d):
+    return text.word_vocabulary(table(spark, d, "documents"), 500)
+
+
+CHARS = f"c AS (SELECT c, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS c FROM {DOCS}) GROUP BY 1)"
+
+
+@register("train_char_vocab", f"WITH {CHARS} SELECT c, freq FROM c")
+def _(spark, d):
+    return text.char_counts(table(spark, d, "documents"))
+
+
+@register("char_coverage", f"WITH {CHARS}, g AS (SELECT freq, count(*) AS k FROM c GROUP BY 1), b AS (SELECT freq, coalesce(sum(freq * k) OVER (ORDER BY freq DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g) SELECT c, freq FROM c JOIN b USING (freq) WHERE before < (SELECT sum(freq) FROM c) * 0.995")
+def _(spark, d):
+    return text.char_coverage(text.char_counts(table(spark, d, "documents")), 0.995)
+
+
+@register("bpe_pair_counts", f"WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM {DOCS}) WHERE length(w) > 1 GROUP BY 1) SELECT substr(w, i, 1) AS a, substr(w, i + 1, 1) AS b, CAST(sum(n) AS BIGINT) AS freq FROM (SELECT w, n, unnest(range(1, length(w))) AS i FROM w) GROUP BY 1, 2")
+def _(spark, d):
+    return text.pair_counts(table(spark, d, "documents"))
+
+
+@register("ngram_next_token", f"WITH w AS (SELECT string_split(text, ' ') AS w FROM {DOCS}) SELECT w[i + 1] || ' ' || w[i + 2] AS gram, w[i + 3] AS next, count(*) AS freq FROM (SELECT w, unnest(range(0, len(w) - 2)) AS i FROM w WHERE len(w) > 2) GROUP BY 1, 2")
+def _(spark, d):
+    return text.next_words(table(spark, d, "documents"), 2)
+
+
+@register("token_windows", f'WITH n AS (SELECT doc_id, len(string_split(text, \' \')) AS n FROM {DOCS}) SELECT doc_id, CAST(s // 56 AS INTEGER) AS "window", CAST(s AS INTEGER) AS start, CAST(least(64, n - s) AS INTEGER) AS n FROM (SELECT doc_id, n, unnest(range(0, n, 56)) AS s FROM n)')
+def _(spark, d):
+    return text.token_windows(table(spark, d, "documents").select("doc_id", F.size(F.split("text", " ")).alias("n_tokens")), 64)
+
+
+def chat_sql(form: str, opening: str) -> str:
+    quoted = "'" + form.replace("'", "''").replace("{role}", "' || role || '").replace("{text}", "' || text || '").replace("{trim}", "' || trim(text, ' ') || '") + "'"
+    return f"SELECT conv_id, string_agg(m, '' ORDER BY turn) || '{opening}' AS prompt FROM (SELECT conv_id, turn, {quoted} AS m FROM conversations) GROUP BY conv_id"
+
+
+for _name, (_form, _opening) in chat.TEMPLATES.items():
+
+    @register(f"chat_{_name}", chat_sql(_form, _opening))
+    def _(spark, d, name=_name):
+        return chat.prompts(table(spark, d, "conversations"), name)
+
+
+# ---- samplers: a step is a vector, a token a component, its logit ten times the component
+LOGITS = "l AS (SELECT vec_id AS step, CAST(pos - 1 AS BIGINT) AS token, CAST(embedding[pos] AS DOUBLE) * 10 AS logit FROM embeddings, range(1, 65) t(pos))"
+SOFT = "s AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY step)) / sum(exp(logit - m)) OVER (PARTITION BY step) AS p FROM (SELECT *, max(logit) OVER (PARTITION BY step) AS m FROM l))"
+
+
+def logits(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("step"), F.posexplode(V.doubles("embedding")).alias("token", "x")).select("step", F.col("token").cast("long").alias("token"), (F.col("x") * 10).alias("logit"))
+
+
+def sampler(name: str, oracle: str):
+    def keep(f):
+        @register(name, oracle)
+        def _(spark, d):
+            out = f(logits(spark, d))
+            return out.select("step", "token", F.round("logit", 6).alias("logit"), *([F.round("p", 6).alias("p")] if "p" in out.columns else []))
+
+    return keep
+
+
+OUT = "step, token, round(logit, 6) AS logit"
+sampler("softmax", f"WITH {LOGITS}, {SOFT} SELECT {OUT}, round(p, 6) AS p FROM s")(sampling.softmax)
+sampler("temperature", f"WITH {LOGITS} SELECT step, token, round(logit / 0.7, 6) AS logit FROM l")(lambda x: sampling.temperature(x, 0.7))
+sampler("top_k", f"WITH {LOGITS} SELECT {OUT} FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY logit DESC, token) AS r FROM l) WHERE r <= 8")(lambda x: sampling.top_k(x, 8))
+sampler("top_p", f"WITH {LOGITS}, {SOFT} SELECT {OUT} FROM (SELECT *, round(sum(p) OVER (PARTITION BY step ORDER BY logit DESC, token ROWS UNBOUNDED PRECEDING) - p, 12) AS b FROM s) WHERE b < 0.8")(lambda x: sampling.top_p(x, 0.8))
+sampler("min_p", f"WITH {LOGITS} SELECT {OUT} FROM (SELECT *, max(logit) OVER (PARTITION BY step) AS m FROM l) WHERE logit >= m + ln(0.2)")(lambda x: sampling.min_p(x, 0.2))
+sampler("typical", f"WITH {LOGITS}, {SOFT}, h AS (SELECT *, sum(-p * ln(p)) OVER (PARTITION BY step) AS h FROM s), o AS (SELECT *, round(abs(-ln(p) - h), 9) AS off FROM h) SELECT {OUT} FROM (SELECT *, round(sum(p) OVER (PARTITION BY step ORDER BY off, token ROWS UNBOUNDED PRECEDING) - p, 9) AS b FROM o) WHERE b <= 0.5")(lambda x: sampling.typical(x, 0.5))
+sampler("top_n_sigma", f"WITH {LOGITS} SELECT {OUT} FROM (SELECT *, max(logit) OVER (PARTITION BY step) - 1.0 * stddev_pop(logit) OVER (PARTITION BY step) AS cut FROM l) WHERE round(logit, 9) >= round(cut, 9)")(lambda x: sampling.top_n_sigma(x, 1.0))
+sampler("xtc", f"WITH {LOGITS}, {SOFT} SELECT {OUT} FROM (SELECT *, count(*) FILTER (WHERE p >= 0.05) OVER (PARTITION BY step) AS n, row_number() OVER (PARTITION BY step ORDER BY logit DESC, token) AS r FROM s) WHERE n < 2 OR r >= n")(lambda x: sampling.xtc(x, 0.05))
+
+
+@register("penalties", f"WITH {LOGITS} SELECT step, token, round(CASE WHEN token % 5 = 0 THEN (CASE WHEN logit > 0 THEN logit / 1.1 ELSE logit * 1.1 END) - (token % 3 + 1) * 0.2 - 0.1 ELSE logit END, 6) AS logit FROM l")
+def _(spark, d):
+    x = logits(spark, d)
+    counts = x.where("token % 5 = 0").select("step", "token", (F.col("token") % 3 + 1).alias("n"))
+    return sampling.penalties(x, counts, 1.1, 0.2, 0.1).select("step", "token", F.round("logit", 6).alias("logit"))
+
+
+@register("greedy", f"WITH {LOGITS} SELECT step, arg_max(token, (logit, -token)) AS token FROM l GROUP BY step")
+def _(spark, d):
+    return sampling.temperature(logits(spark, d), 0).select("step", "token")

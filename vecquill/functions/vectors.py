@@ -69,7 +69,7 @@ def jensen_shannon(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """For positive components; larger is nearer."""
-    return sum_of(a, b, F.least) / F.nullif(sum_of(a, b, F.greatest), ZERO)
+    return sum_of(a, b, lambda x, y: F.least(x, y)) / F.nullif(sum_of(a, b, lambda x, y: F.greatest(x, y)), ZERO)
 
 
 def nan_euclidean(a: Column, b: Column) -> Column:
