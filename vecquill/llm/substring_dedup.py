@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecquill.llm.shared import batches_of, bounded_batches, durable, first_of_groups, pack, packed_schema, unpack, width
 from vecquill.llm.textbytes import inner_windows, mix, slices, span_hashes, text_buffer, window_hashes, word_spans
@@ -197,7 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     bucket_of_k = F.expr(f"cast((pmod(shiftrightunsigned(k, 1), {nb}) * 2 + (k & 1)) % {nb} as int)")
     no = lambda c, t: F.lit(None).cast(t).alias(c)
 
-    def with_docs(packed: DataFrame, n: int, rows: DataFrame, extra: list[tuple[str, str]]) -> DataFrame:
+    def with_docs(packed: DataFrame, n: int, rows: DataFrame, extra: list[tuple[str, T.DataType]]) -> DataFrame:
         cols = [f"c{i}" for i in range(n)]
         a = packed.select("bucket", "kind", *cols, no("k", "long"), no("id", "long"), no("text", "string"), *(no(c, t) for c, t in extra))
         b = rows.select(bucket_of_k.alias("bucket"), F.lit(1).alias("kind"), *(no(c, "binary") for c in cols), "k", "id", "text", *(c for c, _ in extra))
@@ -356,14 +357,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             arrays = [rest.column("__row"), *([pa.array(texts, pa.string())] if with_text else []), pa.array(words_n, pa.int64()), pa.array(removed_n, pa.int64()), pa.array(digests)]
             yield pa.RecordBatch.from_arrays(arrays, names=["__row", *(["__text"] if with_text else []), "n_words", "n_removed", "kept_sha256"])
 
-    row_type = keyed.schema["__row"].dataType.simpleString()
-    extra = [("__row", row_type)]
-    done = with_docs(found, 4, keyed, extra)
-    return done.mapInArrow(finish, f"__row {_quoted(keyed)}, {'__text string, ' if with_text else ''}n_words long, n_removed long, kept_sha256 string")
-
-
-def _quoted(keyed: DataFrame) -> str:
-    return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in keyed.schema["__row"].dataType.fields) + ">"
+    row_type = keyed.schema["__row"].dataType
+    out = T.StructType([T.StructField("__row", row_type), *([T.StructField("__text", T.StringType())] if with_text else []), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    return with_docs(found, 4, keyed, [("__row", row_type)]).mapInArrow(finish, out)
 
 
 def _packed(bucket: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray | None, d: np.ndarray | None, kind: int) -> pa.RecordBatch | None:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecquill.llm.samples import fold, labelled_sample
 from vecquill.llm.shared import batches_of, bounded_batches
@@ -238,14 +239,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, id
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in rest), pa.array(s)], names=[*rest, "__score"])
 
     base = docs.select(F.struct("*").alias("__row") if keep else F.col(f"`{id_col}`").alias("__id"), (fold(id_col, 5) == 0).alias("__held"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("__text"))
-    kept = [f for f in base.schema.fields if f.name != "__text"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString() if f.name != '__row' else _ddl(f.dataType)}" for f in kept) + ", __score double"
+    schema = T.StructType([*(f for f in base.schema.fields if f.name != "__text"), T.StructField("__score", T.DoubleType())])
     scored = base.mapInArrow(score, schema)
     predicted = (F.col("__score") >= 0.5).cast("int")
     if keep:
         return scored.select("__row", "__score", predicted.alias("__predicted"))
     return scored.select(F.col("__id").alias(id_col), F.col("__held").alias("held_out"), F.col("__score").alias("score"), predicted.alias("predicted"))
 
-
-def _ddl(kind) -> str:
-    return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kind.fields) + ">"
