@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
+def zero() -> Column:
+    return F.lit(0.0)
 
 
 def doubles(v: Column | str) -> Column:
@@ -55,11 +56,11 @@ def lp(p: float) -> Callable[[Column, Column], Column]:
 
 
 def canberra(a: Column, b: Column) -> Column:
-    return sum_of(a, b, lambda x, y: F.when(F.abs(x) + F.abs(y) == 0, F.lit(float("nan"))).otherwise(F.abs(x - y) / F.nullif(F.abs(x) + F.abs(y), ZERO)))
+    return sum_of(a, b, lambda x, y: F.when(F.abs(x) + F.abs(y) == 0, F.lit(float("nan"))).otherwise(F.abs(x - y) / F.nullif(F.abs(x) + F.abs(y), zero())))
 
 
 def bray_curtis(a: Column, b: Column) -> Column:
-    return l1(a, b) / F.nullif(sum_of(a, b, lambda x, y: F.abs(x + y)), ZERO)
+    return l1(a, b) / F.nullif(sum_of(a, b, lambda x, y: F.abs(x + y)), zero())
 
 
 def jensen_shannon(a: Column, b: Column) -> Column:
@@ -69,7 +70,7 @@ def jensen_shannon(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """For positive components; larger is nearer."""
-    return sum_of(a, b, lambda x, y: F.least(x, y)) / F.nullif(sum_of(a, b, lambda x, y: F.greatest(x, y)), ZERO)
+    return sum_of(a, b, lambda x, y: F.least(x, y)) / F.nullif(sum_of(a, b, lambda x, y: F.greatest(x, y)), zero())
 
 
 def nan_euclidean(a: Column, b: Column) -> Column:
@@ -77,7 +78,7 @@ def nan_euclidean(a: Column, b: Column) -> Column:
     ok = lambda x, y: ~(F.isnan(x) | F.isnan(y))
     present = sum_of(a, b, lambda x, y: F.when(ok(x, y), 1.0).otherwise(0.0))
     part = sum_of(a, b, lambda x, y: F.when(ok(x, y), (x - y) * (x - y)).otherwise(0.0))
-    return F.when(present == 0, F.lit(float("nan"))).otherwise(F.size(a) / F.nullif(present, ZERO) * part)
+    return F.when(present == 0, F.lit(float("nan"))).otherwise(F.size(a) / F.nullif(present, zero()) * part)
 
 
 def gower(a: Column, b: Column) -> Column:
@@ -93,7 +94,7 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     na, nb = norm(a), norm(b)
-    return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(inner_product(a, b) / F.nullif(na * nb, ZERO))
+    return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(inner_product(a, b) / F.nullif(na * nb, zero()))
 
 
 #: Name -> (expression, larger is nearer). Aliases as accepted by the factory call, in lower case.
@@ -128,5 +129,5 @@ def sign_bits(a: Column, lo: int, hi: int) -> Column:
 
 def scalar_code(x: Column, lo: Column, width: Column, levels: int) -> Column:
     """Scalar quantizer: floor(levels * (x - lo) / width), the fraction kept in [0, 1]."""
-    part = F.when(width == 0, 0.0).otherwise((x - lo) / F.nullif(width, ZERO))
+    part = F.when(width == 0, 0.0).otherwise((x - lo) / F.nullif(width, zero()))
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)) * levels).cast("int")

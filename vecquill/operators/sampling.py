@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STEP = Window.partitionBy("step")
-RANKED = STEP.orderBy(F.desc("logit"), "token")
+def step():
+    """The window of all tokens of a step."""
+    return Window.partitionBy("step")
+
+
+def ranked():
+    """The same, most likely first."""
+    return step().orderBy(F.desc("logit"), "token")
 
 
 def softmax(d: DataFrame) -> DataFrame:
-    e = d.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(STEP)))
-    return e.withColumn("p", F.col("e") / F.sum("e").over(STEP)).drop("e")
+    e = d.withColumn("e", F.exp(F.col("logit") - F.max("logit").over(step())))
+    return e.withColumn("p", F.col("e") / F.sum("e").over(step())).drop("e")
 
 
 def temperature(d: DataFrame, t: float) -> DataFrame:
     """logit / t; t of 0 or less keeps the first greatest."""
     if t <= 0:
-        return d.withColumn("r", F.row_number().over(RANKED)).where("r = 1").drop("r")
+        return d.withColumn("r", F.row_number().over(ranked())).where("r = 1").drop("r")
     return d.withColumn("logit", F.col("logit") / t)
 
 
 def top_k(d: DataFrame, k: int) -> DataFrame:
-    return d if k <= 0 else d.withColumn("r", F.row_number().over(RANKED)).where(F.col("r") <= k).drop("r")
+    return d if k <= 0 else d.withColumn("r", F.row_number().over(ranked())).where(F.col("r") <= k).drop("r")
 
 
 def top_p(d: DataFrame, p: float, min_keep: int = 1) -> DataFrame:
@@ -30,19 +36,19 @@ def top_p(d: DataFrame, p: float, min_keep: int = 1) -> DataFrame:
     if p >= 1:
         return d
     s = softmax(d)
-    s = s.withColumn("before", F.sum("p").over(RANKED.rowsBetween(Window.unboundedPreceding, 0)) - F.col("p")).withColumn("r", F.row_number().over(RANKED))
+    s = s.withColumn("before", F.sum("p").over(ranked().rowsBetween(Window.unboundedPreceding, 0)) - F.col("p")).withColumn("r", F.row_number().over(ranked()))
     return s.where((F.round("before", 12) < p) | (F.col("r") <= min_keep)).select(*d.columns)
 
 
 def min_p(d: DataFrame, p: float) -> DataFrame:
-    return d if p <= 0 else d.withColumn("m", F.max("logit").over(STEP)).where(F.col("logit") >= F.col("m") + F.log(F.lit(p))).drop("m")
+    return d if p <= 0 else d.withColumn("m", F.max("logit").over(step())).where(F.col("logit") >= F.col("m") + F.log(F.lit(p))).drop("m")
 
 
 def typical(d: DataFrame, p: float) -> DataFrame:
     """Tokens nearest to the entropy, until their probabilities exceed p."""
-    s = softmax(d).withColumn("h", F.sum(-F.col("p") * F.ln("p")).over(STEP))
+    s = softmax(d).withColumn("h", F.sum(-F.col("p") * F.ln("p")).over(step()))
     s = s.withColumn("off", F.round(F.abs(-F.ln("p") - F.col("h")), 9))
-    w = STEP.orderBy("off", "token")
+    w = step().orderBy("off", "token")
     s = s.withColumn("before", F.sum("p").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("p"))
     return s.where(F.round("before", 9) <= p).select(*d.columns)
 
@@ -50,7 +56,7 @@ def typical(d: DataFrame, p: float) -> DataFrame:
 def top_n_sigma(d: DataFrame, n: float) -> DataFrame:
     if n <= 0:
         return d
-    return d.withColumn("cut", F.max("logit").over(STEP) - n * F.stddev_pop("logit").over(STEP)).where(F.round("logit", 9) >= F.round("cut", 9)).drop("cut")
+    return d.withColumn("cut", F.max("logit").over(step()) - n * F.stddev_pop("logit").over(step())).where(F.round("logit", 9) >= F.round("cut", 9)).drop("cut")
 
 
 def penalties(d: DataFrame, counts: DataFrame, repeat: float = 1.0, frequency: float = 0.0, presence: float = 0.0) -> DataFrame:
@@ -62,11 +68,11 @@ def penalties(d: DataFrame, counts: DataFrame, repeat: float = 1.0, frequency: f
 
 def xtc(d: DataFrame, threshold: float) -> DataFrame:
     """Drop all tokens at or above the threshold but the least likely of them, if there are two or more."""
-    s = softmax(d).withColumn("above", F.sum((F.col("p") >= threshold).cast("int")).over(STEP)).withColumn("r", F.row_number().over(RANKED))
+    s = softmax(d).withColumn("above", F.sum((F.col("p") >= threshold).cast("int")).over(step())).withColumn("r", F.row_number().over(ranked()))
     return s.where((F.col("above") < 2) | (F.col("r") >= F.col("above"))).select(*d.columns)
 
 
 def draw(d: DataFrame, u: float) -> DataFrame:
     """The token at which the running probability, most likely first, reaches u."""
-    s = softmax(d).withColumn("c", F.sum("p").over(RANKED.rowsBetween(Window.unboundedPreceding, 0)))
+    s = softmax(d).withColumn("c", F.sum("p").over(ranked().rowsBetween(Window.unboundedPreceding, 0)))
     return s.where(F.col("c") >= u).groupBy("step").agg(F.min_by("token", F.struct("c", "token")).alias("token"))
