@@ -96,8 +96,11 @@ def parse_record(raw: bytes) -> dict:
 
 def dictionary(pages: DataFrame, payload_col: str) -> bytes:
     """A dictionary trained on a bounded sample of payloads; b"" if there are too few."""
-    rows = pages.select(F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("p")).orderBy(F.xxhash64("p")).limit(DICTIONARY_ROWS)
-    texts = [r.p.encode() for r in rows.collect()]
+    texts_ = pages.select(F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("p")).where("p <> ''").withColumn("h", F.xxhash64("p"))
+    least = [r.h for r in texts_.select("h").distinct().orderBy("h").limit(DICTIONARY_ROWS).collect()]  # hashes alone are ranked
+    if not least:
+        return b""
+    texts = [r.p.encode() for r in texts_.where(F.col("h") <= max(least)).dropDuplicates(["h"]).select("p").collect()]  # DICTIONARY_ROWS texts at most
     texts = [t for t in texts if t]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
