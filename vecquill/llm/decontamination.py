@@ -91,7 +91,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int =
 
     # 2: fingerprints of these windows
     wanted = windows.groupBy("id", "row").agg(F.collect_set(F.struct("n", "k", "start")).alias("spots"))
-    opened = wanted.join(base.withColumnRenamed("id", "id2").withColumnRenamed("row", "row2"), (F.col("row") == F.col("row2")) & F.col("id").eqNullSafe(F.col("id2"))).select("id", "row", _words(F.col("text")).alias("words"), F.explode("spots").alias("spot"))
+    # the wanted windows grow with the corpus, so this join shuffles at every size instead of turning to a broadcast
+    opened = wanted.hint("merge").join(base.withColumnRenamed("id", "id2").withColumnRenamed("row", "row2"), (F.col("row") == F.col("row2")) & F.col("id").eqNullSafe(F.col("id2"))).select("id", "row", _words(F.col("text")).alias("words"), F.explode("spots").alias("spot"))
     cut = opened.select("id", "row", "spot.*", F.slice("words", F.col("spot.start") + 1, F.col("spot.n")).alias("words"))
     printed = None
     for kk in lengths or [k]:
