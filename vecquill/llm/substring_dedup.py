@@ -10,8 +10,9 @@ A word goes if a window of ``window`` consecutive words around it also starts in
 2. Segments. Runs of windows with recurring anchors are cut out of the documents as word hashes and sent to the shard
    of the first document that has the anchor, so all occurrences of a window meet in one shard.
 3. Phrases. Each task reduces its segments to one copy of each window, with its least document and whether there are
-   others. From these each shard confirms its recurring windows and compiles an Aho-Corasick automaton over them (one
-   symbol a word); large shards are split by salt and each part gets the shard's phrases.
+   others; a shard's copies are reduced once more where they meet. From these each shard confirms its recurring windows
+   and compiles an Aho-Corasick automaton over them (one symbol a word); large shards are split by salt and each part
+   gets the shard's phrases.
 4. Every segment is streamed through its shard's automaton; a hit is confirmed by the window's 64-bit hash and counts
    if the window's least document is smaller than the segment's.
 5. The covered words go back to their documents.
@@ -246,45 +247,30 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     segments = durable(with_docs(flags, 3, words_of, []).mapInArrow(cut_segments, "shard int, id long, k long, start int, words binary"))
 
-    # 3: one copy of each window of a task
+    # 3: one copy of each window of a task, then of a shard
     def distinct_windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows held are reduced in place; what does not shrink to half is passed on, so that memory stays bounded."""
         held, size = [], 0
-
-        def told() -> pa.RecordBatch:
-            lens = np.array([len(w) // 8 for _, _, w in held])
-            flat = np.frombuffer(b"".join(w for _, _, w in held), np.uint64)
-            offs = np.concatenate([[0], np.cumsum(lens)])
-            ids = np.array([i for _, i, _ in held], np.int64)
-            w = window_hashes(flat, window)
-            at = np.flatnonzero(inner_windows(offs, window, len(flat)))
-            seg = np.searchsorted(offs, at, side="right") - 1
-            order = np.lexsort((at, ids[seg], w[at]))
-            s = first_of_groups(w[at][order])
-            last = np.concatenate([s[1:], [len(order)]]) - 1
-            several = ids[seg[order[last]]] != ids[seg[order[s]]]
-            keep = order[s]  # the window's place in its least document
-            by_place = np.argsort(at[keep])
-            keep, several = at[keep][by_place], several[by_place]
-            seg = np.searchsorted(offs, keep, side="right") - 1
-            new = np.ones(len(keep), bool)
-            new[1:] = (keep[1:] != keep[:-1] + 1) | (seg[1:] != seg[:-1]) | (several[1:] != several[:-1])
-            begin = np.flatnonzero(new)
-            end = np.concatenate([begin[1:], [len(keep)]]) - 1
-            return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i in seg[begin]], pa.int32()), pa.array(ids[seg[begin]]), pa.array(several[begin].astype(np.int32)), pa.array([flat[x : y + window].tobytes() for x, y in zip(keep[begin].tolist(), keep[end].tolist())], pa.binary())], names=["shard", "id", "several", "words"])
-
         for b in it:
-            for row in zip(*(b.column(c).to_pylist() for c in ("shard", "id", "words"))):
+            for row in zip(*(b.column(c).to_pylist() for c in ("shard", "id", "several", "words"))):
                 held.append(row)
-                size += len(row[2]) // 8
+                size += len(row[3]) // 8
             if size >= HELD // 2:
-                yield told()
-                held, size = [], 0
-        if size:
-            yield told()
-
-    phrases = segments.select("shard", "id", "words").mapInArrow(distinct_windows, "shard int, id long, several int, words binary")
+                held = one_of_each(held, window)
+                size = sum(len(r[3]) // 8 for r in held)
+                if size >= HELD // 4:
+                    yield phrase_batch(held)
+                    held, size = [], 0
+        if held:
+            yield phrase_batch(one_of_each(held, window))
+
+    phrase_type = "shard int, id long, several int, words binary"
+    of_tasks = segments.select("shard", "id", F.lit(0).alias("several"), "words").mapInArrow(distinct_windows, phrase_type)
+    # a shard's parts all get its phrases, so copies from different tasks are reduced before that
+    phrases = durable(of_tasks.repartition(nb, "shard").mapInArrow(distinct_windows, phrase_type))
     sizes = segments.groupBy("shard").agg(F.sum(F.octet_length("words") / 8).alias("words")).select("shard", F.ceil(F.col("words") / SALT_WORDS).cast("int").alias("salts"))
-    salts = F.broadcast(spark.createDataFrame(sizes.toPandas(), "shard int, salts int"))  # one row a shard
+    # one row of 8 bytes a shard, SHARDS_PER_PART for each part of the input: 40 MB at 100 TB
+    salts = F.broadcast(spark.createDataFrame(sizes.toPandas(), "shard int, salts int"))
 
     # 4: compile and stream
     def locate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,6 +369,37 @@ def _without(raw: bytes, gone: np.ndarray) -> str:
     return data[np.cumsum(edge[:-1]) == 0].tobytes().decode()
 
 
+def one_of_each(rows: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int, bytes]]:
+    """One copy of each window of (shard, id, several, words), with its least id and whether another id has it too."""
+    flat = np.frombuffer(b"".join(r[3] for r in rows), np.uint64)
+    offs = np.concatenate([[0], np.cumsum([len(r[3]) // 8 for r in rows])]).astype(np.int64)
+    ids, more = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    w = window_hashes(flat, window)
+    at = np.flatnonzero(inner_windows(offs, window, len(flat)))
+    if not len(at):
+        return []
+    row = np.searchsorted(offs, at, side="right") - 1
+    order = np.lexsort((at, ids[row], w[at]))
+    s = first_of_groups(w[at][order])
+    last = np.concatenate([s[1:], [len(order)]]) - 1
+    several = (ids[row[order[last]]] != ids[row[order[s]]]) | (np.maximum.reduceat(more[row[order]], s) > 0)
+    keep = at[order[s]]  # the window's place in its least document
+    by_place = np.argsort(keep)
+    keep, several = keep[by_place], several[by_place]
+    row = np.searchsorted(offs, keep, side="right") - 1
+    new = np.ones(len(keep), bool)
+    new[1:] = (keep[1:] != keep[:-1] + 1) | (row[1:] != row[:-1]) | (several[1:] != several[:-1])
+    begin = np.flatnonzero(new)
+    end = np.concatenate([begin[1:], [len(keep)]]) - 1
+    runs = zip(keep[begin].tolist(), keep[end].tolist(), row[begin].tolist(), several[begin].tolist())
+    return [(rows[r][0], rows[r][1], int(m), flat[x : y + window].tobytes()) for x, y, r, m in runs]
+
+
+def phrase_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    shard, ids, several, words = zip(*rows) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(ids, pa.int64()), pa.array(several, pa.int32()), pa.array(words, pa.binary())], names=["shard", "id", "several", "words"])
+
+
 class Automaton:
     """An Aho-Corasick automaton over the confirmed recurring windows of a shard."""
 
