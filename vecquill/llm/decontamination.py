@@ -10,7 +10,8 @@
 3. Candidates within the radius are verified: weighted Jaccard similarity (sum of the lesser counts over the sum of the
    greater) of the shingles.
 
-The benchmark's shingles are broadcast only if their number is within ``BROADCAST_ROWS``; beyond, the same joins shuffle.
+The benchmark's shingles, and the rows of its index of blocks, are broadcast only if their numbers are within
+``BROADCAST_ROWS``; beyond, the same joins shuffle.
 
 Defined results: null or empty texts match nothing; rows that share an id are matched apart; a null id is reported as
 null; items without words are ignored; an empty table gives an empty result; further columns are not read.
@@ -102,7 +103,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int =
     item_prints = known.select("item_id", "n", "shingles", _fingerprint(F.col("shingles")).alias("item_print"))
 
     # 3: the index of blocks, the radius, the similarity
-    index = small(item_prints.select("item_id", "n", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b")).select("item_id", "n", "item_print", "b.*"))
+    index_small = F.broadcast if known.count() * (RADIUS + 1) <= BROADCAST_ROWS else (lambda df: df)
+    index = index_small(item_prints.select("item_id", "n", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b")).select("item_id", "n", "item_print", "b.*"))
     near = (
         printed.select("id", "row", "n", "start", "print", F.explode(_blocks(F.col("print"))).alias("b"))
         .select("id", "row", "n", "start", "print", "b.*")
