@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -41,9 +42,9 @@ ANCHOR, HELD, HOT_LEAST, SHARDS_PER_PART, SALT_WORDS = 5, 1 << 21, 20_000, 4, 1
 NO_ID = (1 << 63) - 1
 
 
-def _symbols(words: np.ndarray) -> str:
-    """One character a word, from its hash: the planes above the surrogates, about a million symbols."""
-    return ((words >> np.uint64(44)).astype(np.uint32) % np.uint32(0x100000) + np.uint32(0xE000)).astype("<u4").tobytes().decode("utf-32-le")
+def _symbols(words: np.ndarray) -> np.ndarray:
+    """A code point for each word, from its hash: the planes above the surrogates, about a million symbols."""
+    return ((words >> np.uint64(44)).astype(np.uint32) % np.uint32(0x100000) + np.uint32(0xE000)).astype("<u4")
 
 
 def window_anchors(h: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,28 +273,37 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     # one row of 8 bytes a shard, SHARDS_PER_PART for each part of the input: 40 MB at 100 TB
     salts = F.broadcast(spark.createDataFrame(sizes.toPandas(), "shard int, salts int"))
 
-    # 4: compile and stream
+    # 4: compile and stream; the segments of a shard's part that a batch holds go through the automaton together
     def locate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows, auto = None, [], None
         for b in it:
-            out_k, out_i, out_s, out_n = [], [], [], []
+            out: list[tuple[np.ndarray, ...]] = []
+            waiting: list[tuple[int, int, int, bytes]] = []
+
+            def stream() -> None:
+                ids, ks, starts = (np.array([r[c] for r in waiting], np.int64) for c in range(3))
+                seg, s, n = auto.covered(ids, [r[3] for r in waiting])
+                out.append((ks[seg], ids[seg], starts[seg] + s, n))
+                waiting.clear()
+
             for shard, salt, kind, id_, k, start, several, words in zip(*(b.column(c).to_pylist() for c in ("shard", "salt", "kind", "id", "k", "start", "several", "words"))):
                 if (shard, salt) != group:
+                    if waiting:
+                        stream()
                     group, rows, auto = (shard, salt), [], None
                 if kind == 0:
                     rows.append((id_, several, words))
                     continue
                 if auto is None:
                     auto, rows = Automaton(rows, window), []
-                for s, n in auto.covered(id_, np.frombuffer(words, np.uint64)):
-                    out_k.append(k)
-                    out_i.append(id_)
-                    out_s.append(start + s)
-                    out_n.append(n)
-            if out_k:
-                k = np.array(out_k, np.int64)
-                part = pack((k.view(np.uint64) % np.uint64(nb)).astype(np.int64), k, np.array(out_i, np.int64), np.array(out_s, np.int32), np.array(out_n, np.int32))
-                yield part
+                waiting.append((id_, k, start, words))
+            if waiting:
+                stream()
+            if out:
+                k, i, s, n = (np.concatenate(x) for x in zip(*out))
+                part = pack((k.view(np.uint64) % np.uint64(nb)).astype(np.int64), k, i, s.astype(np.int32), n.astype(np.int32))
+                if part is not None:
+                    yield part
 
     to_compile = phrases.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "id", no("k", "long"), no("start", "int"), "several", "words")
     to_stream = segments.join(salts, "shard").select("shard", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "k", "start", no("several", "int"), "words")
@@ -416,10 +426,10 @@ class Automaton:
         s = first_of_groups(w[at][order])
         least, most, any_ = np.minimum.reduceat(ids[order], s), np.maximum.reduceat(ids[order], s), np.maximum.reduceat(several[order], s)
         recurs = (least < most) | (any_ > 0)
-        self.hash, self.least = w[at][order][s][recurs].tolist(), least[recurs].tolist()
+        self.hash, self.least = w[at][order][s][recurs], least[recurs]
         self.more: dict[int, list[int]] = {}
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        text = _symbols(flat)
+        text = _symbols(flat).tobytes().decode("utf-32-le")
         for j, a in enumerate(at[order][s][recurs].tolist()):
             phrase = text[a : a + window]
             known = self.machine.get(phrase, -1)
@@ -431,18 +441,30 @@ class Automaton:
         if not self.empty:
             self.machine.make_automaton()
 
-    def covered(self, id_: int, words: np.ndarray) -> list[tuple[int, int]]:
-        """Runs (start, number) of the windows that also start in a document with a smaller id."""
+    def covered(self, ids: np.ndarray, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs (segment, start, number) of the windows that also start in a document with a smaller id than the segment's."""
+        none = np.zeros(0, np.int64)
         if self.empty:
-            return []
-        own, back, hash_, least, out = window_hashes(words, self.window).tolist(), self.window - 1, self.hash, self.least, []
-        for end, j in self.machine.iter(_symbols(words)):
-            start = end - back
-            if hash_[j] != own[start]:
-                j = next((m for m in self.more.get(j, ()) if hash_[m] == own[start]), -1)
-            if j >= 0 and least[j] < id_:
-                if out and out[-1][0] + out[-1][1] == start:
-                    out[-1] = (out[-1][0], out[-1][1] + 1)
-                else:
-                    out.append((start, 1))
-        return out
+            return none, none, none
+        flat = np.frombuffer(b"".join(segments), np.uint64)
+        sizes = np.array([len(x) // 8 for x in segments], np.int64)
+        first = np.cumsum(sizes) - sizes
+        codes = np.full(len(flat) + len(segments), 1, "<u4")  # a code that no word has ends each segment
+        codes[np.arange(len(flat)) + np.repeat(np.arange(len(segments)), sizes)] = _symbols(flat)
+        hits = np.fromiter(chain.from_iterable(self.machine.iter(codes.tobytes().decode("utf-32-le"))), np.int64).reshape(-1, 2)
+        if not len(hits):
+            return none, none, none
+        begin, j = hits[:, 0] - (self.window - 1), hits[:, 1].copy()
+        seg = np.searchsorted(first + np.arange(len(segments)), begin, side="right") - 1
+        at = begin - seg
+        own = window_hashes(flat, self.window)[at]
+        for i in np.flatnonzero(self.hash[j] != own).tolist():
+            j[i] = next((m for m in self.more.get(int(j[i]), ()) if self.hash[m] == own[i]), -1)
+        live = (j >= 0) & (self.least[j] < ids[seg])
+        seg, at = seg[live], at[live]
+        if not len(seg):
+            return none, none, none
+        new = np.ones(len(seg), bool)
+        new[1:] = (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)
+        s = np.flatnonzero(new)
+        return seg[s], at[s] - first[seg[s]], np.diff(np.concatenate([s, [len(seg)]]))
