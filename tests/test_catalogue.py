@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from vecquill import catalogue
 from vecquill.functions import vectors as V
-from vecquill.operators import chat, sampling, text
+from vecquill.operators import chat, sampling, search, text
+from vecquill.streaming import index
 
 TABLES = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["knn_ip", "knn_jaccard_abs", "sel_and_or_xor", "ivf_max_codes", "sq8_encode", "pq_adc_knn", "lsh_knn", "top_p", "typical", "chat_chatml", "token_windows", "char_coverage"])
+@pytest.mark.parametrize("name", ["knn_ip", "knn_jaccard_abs", "sel_and_or_xor", "ivf_max_codes", "sq8_encode", "pq_adc_knn", "lsh_knn", "top_p", "typical", "chat_chatml", "chat_vicuna", "chat_deepseek3", "chat_yandex", "chat_granite", "distance_subset", "search_and_reconstruct", "pad", "dist_draw", "logit_bias", "refine_two_stage", "token_windows", "char_coverage"])
 def test_query_matches_its_oracle(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "documents", "conversations"):
@@ -66,3 +67,33 @@ def test_text_facts(spark):
     assert one(spark, text.decode_pieces(F.array(F.lit("▁a"), F.lit("b"), F.lit("▁c▁d")))) == "ab c▁d"
     with pytest.raises(ValueError):
         chat.prompts(spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string"), "none")
+
+
+def test_kmeans_is_lloyd(spark):
+    import numpy as np
+
+    rows = catalogue.base(spark, TABLES)
+    x = np.array([r.v for r in rows.orderBy("id").collect()])
+    c = x[:4].copy()
+    for _ in range(5):
+        near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.array([x[near == i].mean(0) if (near == i).any() else c[i] for i in range(4)])
+    got = np.array([r.v for r in search.kmeans(rows, 4, 5).orderBy("list_no").collect()])
+    assert np.allclose(got, c, atol=1e-6)
+    assert search.kmeans(rows.where("false"), 4, 5).count() == 0
+
+
+def test_stream_adds_and_answers(spark, tmp_path):
+    rows = catalogue.base(spark, TABLES)
+    rows.where("id < 100").repartition(2).write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    index.add_stream(stream(), f"{tmp_path}/base", f"{tmp_path}/c1").awaitTermination()
+    rows.where("id >= 100").write.mode("append").parquet(f"{tmp_path}/in")
+    index.add_stream(stream(), f"{tmp_path}/base", f"{tmp_path}/c1").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/base").count() == rows.count()
+    rows.where("id % 20 = 0").write.parquet(f"{tmp_path}/asked")
+    asked = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/asked")
+    index.search_stream(asked, f"{tmp_path}/base", f"{tmp_path}/out", f"{tmp_path}/c2", 5).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").select("query_id", "rank", "id")
+    want = search.knn(rows.where("id % 20 = 0"), rows, 5).select("query_id", "rank", "id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -144,6 +144,30 @@ def _(spark, d):
     return hit.agg(F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count("*"), 6).alias("share"))
 
 
+@register("distance_subset", f"WITH {E_}, p AS (SELECT q.id AS query_id, e.id, q.v AS a, e.v AS b FROM e JOIN e q ON e.id % 50 = q.id % 50 AND q.id % 20 = 0) SELECT query_id, id, round({total('(a[i]-b[i])*(a[i]-b[i])')}, 6) AS distance FROM p")
+def _(spark, d):
+    rows = base(spark, d)
+    wanted = asked(rows).select(F.col("id").alias("query_id"), (F.col("id") % 50).alias("r")).join(rows.select("id", (F.col("id") % 50).alias("r")), "r").select("query_id", "id")
+    return rounded(search.distances_of(wanted, asked(rows), rows, "l2"))
+
+
+@register("search_and_reconstruct", f"{pairs_sql('ip')}, t AS ({ranked_sql(True, 3)}) SELECT query_id, rank, t.id, pos - 1 AS pos, round(e.v[pos], 6) AS x FROM t JOIN e USING (id), range(1, 65) r(pos)")
+def _(spark, d):
+    rows = base(spark, d)
+    found = search.knn(asked(rows), rows, 3, "ip").join(rows, "id").select("query_id", "rank", "id", F.posexplode("v").alias("pos", "x"))
+    return found.select("query_id", "rank", "id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@register("kmeans_full")
+def _(spark, d):
+    return search.kmeans(base(spark, d), 16, 10).select("list_no", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+
+
+@register("pad", f"WITH {E_} SELECT id, pos - 1 AS pos, CASE WHEN pos <= 64 THEN round(v[pos], 6) ELSE 0.0 END AS x FROM e, range(1, 81) t(pos)")
+def _(spark, d):
+    return base(spark, d).select("id", F.posexplode(V.padded(F.col("v"), 80)).alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
 # ---- mutation and reconstruction
 @register("reconstruct_ids", f"WITH {E_} SELECT id, pos - 1 AS pos, round(v[pos], 6) AS x FROM e, range(1, 65) t(pos) WHERE id IN (3, 14, 159)")
 def _(spark, d):
@@ -424,14 +448,25 @@ def _(spark, d):
     return text.token_windows(table(spark, d, "documents").select("doc_id", F.size(F.split("text", " ")).alias("n_tokens")), 64)
 
 
-def chat_sql(form: str, opening: str) -> str:
-    quoted = "'" + form.replace("'", "''").replace("{role}", "' || role || '").replace("{text}", "' || text || '").replace("{trim}", "' || trim(text, ' ') || '") + "'"
-    return f"SELECT conv_id, string_agg(m, '' ORDER BY turn) || '{opening}' AS prompt FROM (SELECT conv_id, turn, {quoted} AS m FROM conversations) GROUP BY conv_id"
+def filled_sql(form: str) -> str:
+    return "'" + form.replace("'", "''").replace("{role}", "' || role || '").replace("{text}", "' || text || '").replace("{trim}", "' || trim(text, ' ') || '") + "'"
+
+
+def chat_sql(message: str, opening: str, start: str = "") -> str:
+    return f"SELECT conv_id, '{start}' || string_agg(m, '' ORDER BY turn) || '{opening}' AS prompt FROM (SELECT conv_id, turn, {message} AS m FROM conversations) GROUP BY conv_id"
 
 
 for _name, (_form, _opening) in chat.TEMPLATES.items():
 
-    @register(f"chat_{_name}", chat_sql(_form, _opening))
+    @register(f"chat_{_name}", chat_sql(filled_sql(_form), _opening))
+    def _(spark, d, name=_name):
+        return chat.prompts(table(spark, d, "conversations"), name)
+
+
+for _name, (_start, _forms, _opening) in chat.BY_ROLE.items():
+    _case = "CASE " + " ".join(f"WHEN role = '{r}' THEN {filled_sql(x)}" for r, x in _forms.items()) + " ELSE '' END"
+
+    @register(f"chat_{_name}", chat_sql(_case, _opening, _start))
     def _(spark, d, name=_name):
         return chat.prompts(table(spark, d, "conversations"), name)
 
@@ -476,3 +511,13 @@ def _(spark, d):
 @register("greedy", f"WITH {LOGITS} SELECT step, arg_max(token, (logit, -token)) AS token FROM l GROUP BY step")
 def _(spark, d):
     return sampling.temperature(logits(spark, d), 0).select("step", "token")
+
+
+@register("dist_draw", f"WITH {LOGITS}, {SOFT}, c AS (SELECT step, token, sum(p) OVER (PARTITION BY step ORDER BY logit DESC, token ROWS UNBOUNDED PRECEDING) AS c FROM s) SELECT step, arg_min(token, (c, token)) AS token FROM c WHERE c >= 0.5 GROUP BY step")
+def _(spark, d):
+    return sampling.draw(logits(spark, d), 0.5)
+
+
+@register("logit_bias", f"WITH {LOGITS} SELECT step, token, round(logit + CASE token WHEN 3 THEN 1.5 WHEN 7 THEN -2.0 ELSE 0.0 END, 6) AS logit FROM l")
+def _(spark, d):
+    return sampling.logit_bias(logits(spark, d), {3: 1.5, 7: -2.0}).select("step", "token", F.round("logit", 6).alias("logit"))

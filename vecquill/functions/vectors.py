@@ -131,3 +131,8 @@ def scalar_code(x: Column, lo: Column, width: Column, levels: int) -> Column:
     """Scalar quantizer: floor(levels * (x - lo) / width), the fraction kept in [0, 1]."""
     part = F.when(width == 0, 0.0).otherwise((x - lo) / F.nullif(width, zero()))
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)) * levels).cast("int")
+
+
+def padded(a: Column, size: int) -> Column:
+    """Zeros behind the components up to the size; a longer vector stays."""
+    return F.when(F.size(a) >= size, a).otherwise(F.concat(a, F.array_repeat(F.lit(0.0), F.lit(size) - F.size(a))))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Per-message forms of the named formats and the opening of the assistant's turn.
@@ -14,24 +16,47 @@ TEMPLATES: dict[str, tuple[str, str]] = {
     "phi3": ("<|{role}|>\n{text}<|end|>\n", "<|assistant|>\n"),
     "falcon3": ("<|{role}|>\n{text}\n", "<|assistant|>\n"),
     "phi4": ("<|im_start|>{role}<|im_sep|>{text}<|im_end|>", "<|im_start|>assistant<|im_sep|>"),
+    "granite": ("<|start_of_role|>{role}<|end_of_role|>{text}<|end_of_text|>\n", "<|start_of_role|>assistant<|end_of_role|>\n"),
+    "megrez": ("<|role_start|>{role}<|role_end|>{text}<|turn_end|>", "<|role_start|>assistant<|role_end|>"),
+    "llama4": ("<|header_start|>{role}<|header_end|>\n\n{trim}<|eot|>", "<|header_start|>assistant<|header_end|>\n\n"),
+}
+
+
+# Formats whose messages depend on the role: what stands before all messages, each role's form, the opening.
+# A role without a form is left out.
+BY_ROLE: dict[str, tuple[str, dict[str, str], str]] = {
+    "openchat": ("", {"system": "{text}<|end_of_turn|>", "user": "GPT4 Correct User: {text}<|end_of_turn|>", "assistant": "GPT4 Correct Assistant: {text}<|end_of_turn|>"}, "GPT4 Correct Assistant:"),
+    "vicuna": ("", {"system": "{text}\n\n", "user": "USER: {text}\n", "assistant": "ASSISTANT: {text}</s>\n"}, "ASSISTANT:"),
+    "vicuna_orca": ("", {"system": "SYSTEM: {text}\n", "user": "USER: {text}\n", "assistant": "ASSISTANT: {text}</s>\n"}, "ASSISTANT:"),
+    "deepseek": ("", {"system": "{text}", "user": "### Instruction:\n{text}\n", "assistant": "### Response:\n{text}\n<|EOT|>\n"}, "### Response:\n"),
+    "deepseek3": ("", {"system": "{text}\n\n", "user": "<｜User｜>{text}", "assistant": "<｜Assistant｜>{text}<｜end▁of▁sentence｜>"}, "<｜Assistant｜>"),
+    "command_r": ("", {"system": "<|START_OF_TURN_TOKEN|><|SYSTEM_TOKEN|>{trim}<|END_OF_TURN_TOKEN|>", "user": "<|START_OF_TURN_TOKEN|><|USER_TOKEN|>{trim}<|END_OF_TURN_TOKEN|>", "assistant": "<|START_OF_TURN_TOKEN|><|CHATBOT_TOKEN|>{trim}<|END_OF_TURN_TOKEN|>"}, "<|START_OF_TURN_TOKEN|><|CHATBOT_TOKEN|>"),
+    "chatglm3": ("[gMASK]sop", {"system": "<|system|>\n {text}", "user": "<|user|>\n {text}", "assistant": "<|assistant|>\n {text}"}, "<|assistant|>"),
+    "chatglm4": ("[gMASK]<sop>", {"system": "<|system|>\n{text}", "user": "<|user|>\n{text}", "assistant": "<|assistant|>\n{text}"}, "<|assistant|>\n"),
+    "glmedge": ("", {"system": "<|system|>\n{text}", "user": "<|user|>\n{text}", "assistant": "<|assistant|>\n{text}"}, "<|assistant|>"),
+    "exaone3": ("", {"system": "[|system|]{trim}[|endofturn|]\n", "user": "[|user|]{trim}\n", "assistant": "[|assistant|]{trim}[|endofturn|]\n"}, "[|assistant|]"),
+    "bailing": ("", {"system": "<role>SYSTEM</role>{text}", "user": "<role>HUMAN</role>{text}", "assistant": "<role>ASSISTANT</role>{text}"}, "<role>ASSISTANT</role>"),
+    "yandex": ("", {"user": " Пользователь: {text}\n\n", "assistant": " Ассистент: {text}\n\n"}, " Ассистент:[SEP]"),
 }
 
 
+def _filled(form: str) -> Column:
+    """The form with role and text in their places; nulls count as empty."""
+    values = {"{role}": F.col("role"), "{text}": F.col("text"), "{trim}": F.trim(F.col("text"))}
+    parts = [F.coalesce(values[p], F.lit("")) if p in values else F.lit(p) for p in re.split(r"(\{role\}|\{text\}|\{trim\})", form) if p]
+    return F.concat(*parts)
+
+
 def prompts(conversations: DataFrame, template: str, add_assistant: bool = True) -> DataFrame:
     """(conv_id, prompt) of each conversation."""
-    if template not in TEMPLATES:
+    if template in TEMPLATES:
+        form, opening = TEMPLATES[template]
+        start, message = "", _filled(form)
+    elif template in BY_ROLE:
+        start, forms, opening = BY_ROLE[template]
+        message = F.coalesce(*(F.when(F.col("role") == role, _filled(form)) for role, form in forms.items()), F.lit(""))
+    else:
         raise ValueError(f"unknown template {template!r}")
-    form, opening = TEMPLATES[template]
-    parts, rest = [], form
-    while rest:
-        at, name = min(((rest.find("{" + n + "}"), n) for n in ("role", "text", "trim") if "{" + n + "}" in rest), default=(-1, ""))
-        if at < 0:
-            parts.append(F.lit(rest))
-            break
-        if at:
-            parts.append(F.lit(rest[:at]))
-        parts.append({"role": F.col("role"), "text": F.col("text"), "trim": F.trim(F.col("text"))}[name])
-        rest = rest[at + len(name) + 2 :]
-    rows = conversations.select("conv_id", "turn", F.concat(*(F.coalesce(p, F.lit("")) for p in parts)).alias("m"))
+    rows = conversations.select("conv_id", "turn", message.alias("m"))
     joined = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda s: s["m"]), "").alias("prompt"))
-    return joined.withColumn("prompt", F.concat("prompt", F.lit(opening if add_assistant else "")))
+    return joined.withColumn("prompt", F.concat(F.lit(start), "prompt", F.lit(opening if add_assistant else "")))

@@ -76,3 +76,11 @@ def draw(d: DataFrame, u: float) -> DataFrame:
     """The token at which the running probability, most likely first, reaches u."""
     s = softmax(d).withColumn("c", F.sum("p").over(ranked().rowsBetween(Window.unboundedPreceding, 0)))
     return s.where(F.col("c") >= u).groupBy("step").agg(F.min_by("token", F.struct("c", "token")).alias("token"))
+
+
+def logit_bias(d: DataFrame, bias: dict[int, float]) -> DataFrame:
+    """Adds a fixed amount to the logits of the tokens named."""
+    if not bias:
+        return d
+    known = F.create_map(*(F.lit(x) for pair in bias.items() for x in (int(pair[0]), float(pair[1]))))
+    return d.withColumn("logit", F.col("logit") + F.coalesce(F.try_element_at(known, F.col("token").cast("int")), F.lit(0.0)))

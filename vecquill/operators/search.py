@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecquill.functions.vectors import doubles, metric
+from vecquill.functions.vectors import doubles, l2, metric
 
 #: Rows of a query block that may be broadcast; more queries are joined without a hint.
 BROADCAST_QUERIES = 10_000
@@ -41,12 +41,35 @@ def within(queries: DataFrame, base: DataFrame, radius: float, name: str = "l2")
     return d.where(F.col("distance") > radius if metric(name)[1] else F.col("distance") < radius)
 
 
+def distances_of(pairs: DataFrame, queries: DataFrame, base: DataFrame, name: str) -> DataFrame:
+    """(query_id, id, distance) of the stated pairs (query_id, id)."""
+    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    return pairs.select("query_id", "id").join(q, "query_id").join(base, "id").select("query_id", "id", metric(name)[0](F.col("qv"), F.col("v")).alias("distance"))
+
+
 def refine(candidates: DataFrame, queries: DataFrame, base: DataFrame, k: int, name: str) -> DataFrame:
     """Re-rank candidates (query_id, id) by exact distances."""
-    f, larger = metric(name)
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    pairs = candidates.select("query_id", "id").join(q, "query_id").join(base, "id").select("query_id", "id", f(F.col("qv"), F.col("v")).alias("distance"))
-    return top_k(pairs, k, larger)
+    return top_k(distances_of(candidates, queries, base, name), k, metric(name)[1])
+
+
+def kmeans(rows: DataFrame, k: int, steps: int = 25) -> DataFrame:
+    """(list_no, v): Lloyd's steps from the k rows of least id; ties go to the smaller list, an empty list keeps its centroid.
+
+    The k centroids pass through the driver after each step, so the plan does not grow and each step is one pass over
+    the rows, whose sums are combined before the shuffle.
+    """
+    spark = rows.sparkSession
+    centres = {i: [float(x) for x in r.v] for i, r in enumerate(rows.orderBy("id").limit(k).collect())}
+    schema = "list_no int, v array<double>"
+    for _ in range(steps if centres else 0):
+        book = F.broadcast(spark.createDataFrame([([(i, v) for i, v in centres.items()],)], "book array<struct<list_no: int, v: array<double>>>"))
+        near = F.array_min(F.transform("book", lambda c: F.struct(l2(F.col("v"), c["v"]).alias("distance"), c["list_no"].alias("list_no"))))["list_no"]
+        moved = centroids_of(rows.crossJoin(book).select(near.alias("list_no"), "v"), "list_no")  # book is one row
+        now = centres | {r.list_no: list(r.v) for r in moved.collect()}
+        if now == centres:
+            break
+        centres = now
+    return spark.createDataFrame(list(centres.items()), schema)
 
 
 def centroids_of(rows: DataFrame, key: str) -> DataFrame:
