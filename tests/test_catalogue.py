@@ -14,7 +14,7 @@ from vecquill.streaming import index
 TABLES = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["knn_ip", "knn_jaccard_abs", "sel_and_or_xor", "ivf_max_codes", "sq8_encode", "pq_adc_knn", "lsh_knn", "top_p", "typical", "chat_chatml", "chat_vicuna", "chat_deepseek3", "chat_yandex", "chat_granite", "distance_subset", "search_and_reconstruct", "pad", "dist_draw", "logit_bias", "refine_two_stage", "token_windows", "char_coverage"])
+@pytest.mark.parametrize("name", ["knn_ip", "knn_jaccard_abs", "sel_and_or_xor", "ivf_max_codes", "sq8_encode", "pq_adc_knn", "lsh_knn", "top_p", "typical", "chat_chatml", "chat_vicuna", "chat_deepseek3", "chat_yandex", "chat_granite", "distance_subset", "search_and_reconstruct", "pad", "linear_apply", "pca_total_variance", "dist_draw", "logit_bias", "refine_two_stage", "token_windows", "char_coverage"])
 def test_query_matches_its_oracle(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "documents", "conversations"):

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecquill.functions import vectors as V
-from vecquill.operators import chat, sampling, search, text
+from vecquill.operators import chat, projection, sampling, search, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -256,6 +257,27 @@ def _(spark, d):
     return rows.select("id", F.posexplode(F.transform("v", lambda x: F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255).cast("int"))).alias("pos", "code")).withColumn("pos", F.col("pos").cast("long"))
 
 
+@register("linear_apply", f"WITH {E_} SELECT id, CAST(r AS BIGINT) AS pos, round(list_sum(list_transform(range(0, 64), lambda c: v[c + 1] * ((r * 7 + c * 3) % 11 - 5) / 10.0)) + r, 6) AS x FROM e, range(0, 4) t(r)")
+def _(spark, d):
+    r, c = np.indices((4, 64))
+    out = projection.LinearMap(((r * 7 + c * 3) % 11 - 5) / 10.0, np.arange(4.0)).apply(base(spark, d))
+    return out.select("id", F.posexplode("v").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@register("pca_total_variance", f"WITH {E_}, {U_} SELECT round(sum(s), 6) AS total FROM (SELECT var_pop(x) AS s FROM u GROUP BY pos)")
+def _(spark, d):
+    rows = base(spark, d)
+    x = projection.pca(rows, 64).apply(rows).select(F.posexplode("v").alias("pos", "x"))
+    return x.groupBy("pos").agg(F.var_pop("x").alias("s")).agg(F.round(F.sum("s"), 6).alias("total"))
+
+
+@register("pca_apply")
+def _(spark, d):
+    rows = base(spark, d)
+    out = projection.pca(rows, 8).apply(rows)
+    return out.select("id", F.posexplode("v").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
 # ---- inverted lists: the centroids are the means of the labels
 CENTROIDS = f"{E_}, {U_}, c AS (SELECT label AS list_no, list(round(x, 9) ORDER BY pos) AS v FROM (SELECT label, pos, avg(x) AS x FROM u GROUP BY 1, 2) GROUP BY 1)"
 L2E = total("(a[i]-b[i])*(a[i]-b[i])")
