@@ -59,5 +59,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_substring_dedup, op4_quality, op5_token_counts, op6_packing, op7_sharding, op8_decontamination, op9_quality_rules, op10_minhash)}
 
 
+#: Base 32 of a SHA-1 in eight groups of five hexadecimal digits, four characters each.
+_DIGEST = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INTEGER), 5)) AS INTEGER) // [32768, 1024, 32, 1][i % 4 + 1] % 32 + 1, 1)), '')"""
+
+OP2_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_DIGEST} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f"""
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(0, len(w) - 12)) AS s, unnest(list_transform(range(0, len(w) - 12), lambda i: md5(array_to_string(w[i + 1 : i + 13], ' ')))) AS g FROM w WHERE len(w) >= 13),
+f AS (SELECT g, min(doc_id) AS first FROM x GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, s + o AS p FROM x JOIN f USING (g), range(0, 13) t(o) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM w)
+SELECT d.doc_id, count(word) AS n_words, count(gone.p) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY words.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
+FROM documents d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p
+GROUP BY d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": OP2_SQL, "op3_substring_dedup": OP3_SQL}
