@@ -471,7 +471,7 @@ def _(spark, d):
 
 
 def filled_sql(form: str) -> str:
-    return "'" + form.replace("'", "''").replace("{role}", "' || role || '").replace("{text}", "' || text || '").replace("{trim}", "' || trim(text, ' ') || '") + "'"
+    return "'" + form.replace("'", "''").replace("{role}", "' || role || '").replace("{text}", "' || text || '").replace("{trim}", f"' || trim(text, '{chat.BLANKS}') || '").replace("{open}", "' || opens || '").replace("{pending}", "' || pending || '") + "'"
 
 
 def chat_sql(message: str, opening: str, start: str = "") -> str:
@@ -493,6 +493,29 @@ for _name, (_start, _forms, _opening) in chat.BY_ROLE.items():
         return chat.prompts(table(spark, d, "conversations"), name)
 
 
+def placed_sql(start: str, turns: tuple[str, str], forms: dict[str, str], opening: str) -> str:
+    """The prompts of a format whose messages depend on their place; the roles of the table are user, system, assistant."""
+    whole = sorted({r.partition("@")[0] for r in forms} - {"*"})
+    rest = "role NOT IN (" + ", ".join(f"'{r}'" for r in whole) + ")" if whole else "true"
+    at = {"": "", "first": " AND place = 1", "last": " AND after IS NULL"}
+    named = {k: (rest if k.partition("@")[0] == "*" else f"role = '{k.partition('@')[0]}'") for k in forms}
+    takes = " OR ".join(named[k] for k, f in forms.items() if "{pending}" in f) or "false"
+    case = "CASE " + " ".join(f"WHEN {named[k]}{at[k.partition('@')[2]]} THEN {filled_sql(f)}" for k, f in forms.items()) + " ELSE '' END"
+    own = f"trim(text, '{chat.BLANKS}')" if "{trim}" in "".join(forms.values()) else "text"
+    w = "OVER (PARTITION BY conv_id ORDER BY turn"
+    return f"""WITH a AS (SELECT *, row_number() {w}) AS place, lag(role) {w}) AS before, lead(turn) {w}) AS after, coalesce(sum(CASE WHEN {takes} THEN 1 ELSE 0 END) {w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM conversations),
+    b AS (SELECT *, coalesce(string_agg(CASE WHEN role = 'system' THEN {own} END, '') OVER (PARTITION BY conv_id, taken ORDER BY turn ROWS UNBOUNDED PRECEDING), '') AS sys FROM a),
+    c AS (SELECT *, CASE WHEN sys <> '' THEN sys || '\n\n' ELSE '' END AS pending, CASE WHEN place = 1 THEN '{turns[0]}' WHEN before IN ('user', 'system') THEN '' ELSE '{turns[1]}' END AS opens FROM b)
+    SELECT conv_id, '{start}' || string_agg({case}, '' ORDER BY turn) || '{opening}' AS prompt FROM c GROUP BY conv_id"""
+
+
+for _name, _rules in chat.BY_PLACE.items():
+
+    @register(f"chat_{_name}", placed_sql(*_rules))
+    def _(spark, d, name=_name):
+        return chat.prompts(table(spark, d, "conversations"), name)
+
+
 # ---- samplers: a step is a vector, a token a component, its logit ten times the component
 LOGITS = "l AS (SELECT vec_id AS step, CAST(pos - 1 AS BIGINT) AS token, CAST(embedding[pos] AS DOUBLE) * 10 AS logit FROM embeddings, range(1, 65) t(pos))"
 SOFT = "s AS (SELECT *, exp(logit - max(logit) OVER (PARTITION BY step)) / sum(exp(logit - m)) OVER (PARTITION BY step) AS p FROM (SELECT *, max(logit) OVER (PARTITION BY step) AS m FROM l))"
