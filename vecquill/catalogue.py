@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecquill.functions import vectors as V
-from vecquill.operators import chat, projection, sampling, search, text
+from vecquill.operators import chat, pieces, projection, sampling, search, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -566,3 +566,120 @@ def _(spark, d):
 @register("logit_bias", f"WITH {LOGITS} SELECT step, token, round(logit + CASE token WHEN 3 THEN 1.5 WHEN 7 THEN -2.0 ELSE 0.0 END, 6) AS logit FROM l")
 def _(spark, d):
     return sampling.logit_bias(logits(spark, d), {3: 1.5, 7: -2.0}).select("step", "token", F.round("logit", 6).alias("logit"))
+
+
+sampler("dynamic_temperature", f"WITH {LOGITS}, {SOFT}, h AS (SELECT *, sum(-p * ln(p)) OVER (PARTITION BY step) / ln(64) AS h FROM s) SELECT step, token, round(logit / (0.3 + 1.0 * pow(h, 1.5)), 6) AS logit FROM h")(lambda x: sampling.dynamic_temperature(x, 0.8, 0.5, 1.5))
+sampler("mirostat_v2", f"WITH {LOGITS}, {SOFT} SELECT {OUT} FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY logit DESC, token) AS r FROM s) WHERE round(-log2(p), 9) <= 5.0 OR r = 1")(lambda x: sampling.mirostat_v2(x, 5.0))
+sampler("mirostat", f"WITH {LOGITS}, {SOFT}, r AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY logit DESC, token) AS r, lead(p) OVER (PARTITION BY step ORDER BY logit DESC, token) AS n FROM s), k AS (SELECT step, sum(ln((r + 1.0) / r) * ln(p / n)) / sum(ln((r + 1.0) / r) * ln((r + 1.0) / r)) AS s FROM r WHERE r < 20 AND n IS NOT NULL GROUP BY step) SELECT {OUT} FROM r JOIN k USING (step) WHERE r <= greatest(1, coalesce(floor(pow((s - 1) * pow(2, 4.0) / nullif(1 - pow(64, 1 - s), 0), 1 / s)), 1))")(lambda x: sampling.mirostat(x, 4.0, 64, 20))
+
+
+@register("dry_penalty", f"WITH {LOGITS} SELECT step, token, round(logit - CASE WHEN token = 2 THEN 0.8 * pow(1.75, 3 - 2) WHEN token = 5 THEN 0.8 * pow(1.75, 2 - 2) ELSE 0 END, 6) AS logit FROM l")
+def _(spark, d):
+    x = logits(spark, d)  # every step follows 7 0 1 2 9 0 1 5 7 0 1: 7 0 1 came before 2, 0 1 before 5
+    histories = x.select("step").distinct().withColumn("history", F.array(*(F.lit(t) for t in (7, 0, 1, 2, 9, 0, 1, 5, 7, 0, 1))))
+    return sampling.dry(x, histories, 0.8, 1.75, 2).select("step", "token", F.round("logit", 6).alias("logit"))
+
+
+@register("n_ctx_autosize", "SELECT p_partkey, CAST(least(floor(p_retailprice * 1000000 / floor(32 * (8 * 128 * (1.125 + 2.0)))), 4294967295) AS BIGINT) AS n_ctx FROM part")
+def _(spark, d):
+    size = sampling.context_size(F.col("p_retailprice") * 1000000, F.lit(32), F.lit(4096), F.lit(32), F.lit(8), "q8_0", "f16")
+    return table(spark, d, "part").select("p_partkey", size.alias("n_ctx"))
+
+
+@register("context_shift", "SELECT event_id, CASE WHEN event_id % 600 + 1 >= 512 AND event_id % 600 > 64 THEN (event_id % 600 - 64) // 2 ELSE 0 END AS gone FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", sampling.context_shift(F.col("event_id") % 600, F.lit(64), F.lit(512)).alias("gone"))
+
+
+# ---- ranges, pooling, packing of vectors
+@register("range_topn_cap", f"{pairs_sql('l2')} SELECT query_id, id, round(distance, 6) AS distance FROM d WHERE distance < (SELECT max(distance) FROM (SELECT distance FROM d ORDER BY distance LIMIT 201))")
+def _(spark, d):
+    return rounded(search.capped_range(search.distances(asked(base(spark, d)), base(spark, d), "l2"), 200, False))
+
+
+@register("threshold_radius", f"{pairs_sql('l2')}, t AS ({ranked_sql(False, 10)}) SELECT * FROM t WHERE distance < 1.5")
+def _(spark, d):
+    return rounded(search.knn(asked(base(spark, d)), base(spark, d), 10, "l2")).where("distance < 1.5")
+
+
+@register("range_pr", f"{pairs_sql('l2')} SELECT count(*) FILTER (WHERE distance < 1.2 AND id % 3 <> 0) / count(*) FILTER (WHERE distance < 1.4 AND id % 3 <> 0) AS precision, count(*) FILTER (WHERE distance < 1.2 AND id % 3 <> 0) / count(*) FILTER (WHERE distance < 1.2) AS recall FROM d")
+def _(spark, d):
+    q, rows = asked(base(spark, d)), base(spark, d)
+    return search.range_scores(search.within(q, rows, 1.2), search.within(q, rows.where("id % 3 <> 0"), 1.4))
+
+
+for _mode, _size in {"none": "1.0", "maxabs": "list_max(list_transform(a, lambda x: abs(x))) / 32760.0", "l2": NORM, "p3": f"pow({total('pow(abs(a[i]), 3)')}, 1.0 / 3)"}.items():
+
+    @register(f"embd_normalize_{_mode}", f"WITH {E_}, n AS (SELECT id, a, {_size} AS s FROM (SELECT id, v AS a FROM e)) SELECT id, CAST(pos - 1 AS BIGINT) AS pos, round(a[pos] / s, 4) AS x FROM n, range(1, 65) t(pos)")
+    def _(spark, d, mode={"none": -1, "maxabs": 0, "l2": 2, "p3": 3}[_mode]):
+        out = base(spark, d).select("id", F.posexplode(V.scaled(F.col("v"), mode)).alias("pos", "x"))
+        return out.select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 4).alias("x"))
+
+
+for _mode, _sql in {"mean": "avg(x)", "cls": "arg_min(x, id)", "last": "arg_max(x, id)"}.items():
+
+    @register(f"pool_{_mode}", f"WITH {E_}, {U_} SELECT label AS doc_id, pos, round({_sql}, 6) AS x FROM u GROUP BY 1, 2")
+    def _(spark, d, mode=_mode):
+        rows = table(spark, d, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("pos"), V.doubles("embedding").alias("v"))
+        return search.pooled(rows, mode).select("doc_id", F.posexplode("v").alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@register("window_avg_vec", f"WITH {E_}, {U_}, n AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS y FROM u), m AS (SELECT id // 7 AS doc_id, pos, avg(y) AS x FROM n GROUP BY 1, 2) SELECT doc_id, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)), 6) AS x FROM m")
+def _(spark, d):
+    rows = base(spark, d).select(F.expr("id div 7").alias("doc_id"), "v")
+    return search.window_average(rows).select("doc_id", F.posexplode("v").alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+@register("fp16_roundtrip")
+def _(spark, d):
+    packed = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.packer(half=True)("embedding").alias("code"))
+    return packed.select("id", F.length("code").alias("n_bytes"), V.unpacker(half=True)("code").alias("v"))
+
+
+@register("fp32_roundtrip", f"WITH {E_} SELECT id, CAST(pos - 1 AS BIGINT) AS pos, round(v[pos], 9) AS x FROM e, range(1, 65) t(pos)")
+def _(spark, d):
+    packed = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.packer()("embedding").alias("code"))
+    out = packed.select("id", F.posexplode(V.unpacker()("code")).alias("pos", "x"))
+    return out.select("id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 9).alias("x"))
+
+
+# ---- pieces of a vocabulary
+def encoded(spark, d, encode) -> DataFrame:
+    p = table(spark, d, "documents").select("doc_id", pieces.over_batches(encode)(text.normalize_spaces(F.col("text"))).alias("p"))
+    return p.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", " ").cast("binary")).alias("digest"))
+
+
+def word_scores(spark, d) -> dict[str, float]:
+    """The 500 most frequent words, marked, as a vocabulary."""
+    return {text.MARK + r.piece: r.score for r in text.word_vocabulary(table(spark, d, "documents"), 500).collect()}
+
+
+@register("piece_encode_char", f"SELECT doc_id, CAST(length(t) AS INTEGER) AS n, md5(array_to_string(string_split(t, ''), ' ')) AS digest FROM (SELECT doc_id, CASE WHEN trim(text, ' ') = '' THEN '' ELSE '{MARK}' || regexp_replace(trim(text, ' '), ' +', '{MARK}', 'g') END AS t FROM {DOCS})")
+def _(spark, d):
+    return encoded(spark, d, list)
+
+
+@register("bpe_train")
+def _(spark, d):
+    return spark.createDataFrame(list(pieces.train_merges(table(spark, d, "documents"), 12).items()), "piece string, score double")
+
+
+@register("bpe_encode")
+def _(spark, d):
+    return encoded(spark, d, pieces.pair_merger(pieces.train_merges(table(spark, d, "documents"), 12)))
+
+
+@register("unigram_encode")
+def _(spark, d):
+    return encoded(spark, d, pieces.best_path(word_scores(spark, d)))
+
+
+@register("wpm_encode")
+def _(spark, d):
+    return encoded(spark, d, pieces.word_parts(set(word_scores(spark, d))))
+
+
+@register("chunk_by_separator")
+def _(spark, d):
+    c = table(spark, d, "documents").select("doc_id", F.posexplode(pieces.over_batches(pieces.chunks(". ", 200))("text")).alias("chunk", "t"))
+    return c.select("doc_id", "chunk", F.length("t").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -136,3 +138,47 @@ def scalar_code(x: Column, lo: Column, width: Column, levels: int) -> Column:
 def padded(a: Column, size: int) -> Column:
     """Zeros behind the components up to the size; a longer vector stays."""
     return F.when(F.size(a) >= size, a).otherwise(F.concat(a, F.array_repeat(F.lit(0.0), F.lit(size) - F.size(a))))
+
+
+def scaled(a: Column, mode: int) -> Column:
+    """-1 none, 0 greatest absolute component to 32760, 2 Euclidean, else the norm of that power; a zero vector gives zeros."""
+    if mode == -1:
+        return a
+    if mode == 0:
+        size = F.array_max(F.transform(a, F.abs)) / 32760.0
+    elif mode == 2:
+        size = norm(a)
+    else:
+        size = F.pow(fold_sum(F.transform(a, lambda x: F.pow(F.abs(x), F.lit(float(mode))))), F.lit(1.0 / mode))
+    return F.transform(a, lambda x: F.when(size > 0, x / F.nullif(size, zero())).otherwise(0.0))
+
+
+def packer(half: bool = False) -> Callable[[Column], Column]:
+    """Numbers to little-endian bytes of 32 or 16 bits a component, over Arrow batches."""
+    kind = "<f2" if half else "<f4"
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield rows.map(lambda v: None if v is None else np.asarray(v, kind).tobytes())
+
+    return run
+
+
+def unpacker(half: bool = False) -> Callable[[Column], Column]:
+    """Bytes to numbers; an empty or ragged value is an error."""
+    kind = "<f2" if half else "<f4"
+
+    def one(b: bytes | None) -> np.ndarray | None:
+        if b is None:
+            return None
+        if not b or len(b) % np.dtype(kind).itemsize:
+            raise ValueError(f"{len(b)} bytes are no whole number of components")
+        return np.frombuffer(b, kind).astype(np.float32)
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield rows.map(one)
+
+    return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecquill.functions.vectors import doubles, l2, metric
+from vecquill.functions.vectors import doubles, l2, metric, normalized
 
 #: Rows of a query block that may be broadcast; more queries are joined without a hint.
 BROADCAST_QUERIES = 10_000
@@ -72,10 +72,10 @@ def kmeans(rows: DataFrame, k: int, steps: int = 25) -> DataFrame:
     return spark.createDataFrame(list(centres.items()), schema)
 
 
-def centroids_of(rows: DataFrame, key: str) -> DataFrame:
-    """(list_no, v): the mean vector of each group."""
+def centroids_of(rows: DataFrame, key: str, digits: int | None = 9) -> DataFrame:
+    """(list_no, v): the mean vector of each group, rounded so that the order of summation does not show."""
     parts = rows.select(key, F.posexplode("v").alias("pos", "x")).groupBy(key, "pos").agg(F.avg("x").alias("x"))
-    return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: F.round(s["x"], 9)).alias("v")).withColumnRenamed(key, "list_no")
+    return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"] if digits is None else F.round(s["x"], digits)).alias("v")).withColumnRenamed(key, "list_no")
 
 
 def assign(rows: DataFrame, centroids: DataFrame, name: str = "l2", k: int = 1) -> DataFrame:
@@ -90,3 +90,39 @@ def probe(queries: DataFrame, lists: DataFrame, centroids: DataFrame, nprobe: in
     chosen = assign(queries, centroids, name, nprobe).withColumnRenamed("id", "query_id")
     q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
     return chosen.join(q, "query_id").join(lists, "list_no").select("query_id", "list_no", "probe", "id", f(F.col("qv"), F.col("v")).alias("distance"))
+
+
+def capped_range(pairs: DataFrame, most: int, larger: bool) -> DataFrame:
+    """The pairs strictly nearer than the pair in place ``most`` + 1, so ``most`` or fewer; all if there are no more.
+
+    Only ``most`` + 1 distances are ranked, in each task and then once.
+    """
+    order = F.desc("distance") if larger else F.asc("distance")
+    nearest = pairs.select("distance").orderBy(order).limit(most + 1)
+    edge = nearest.agg((F.min if larger else F.max)("distance").alias("edge"), F.count("*").alias("n"))
+    inside = (F.col("distance") > F.col("edge")) if larger else (F.col("distance") < F.col("edge"))
+    return pairs.crossJoin(F.broadcast(edge)).where((F.col("n") <= most) | inside).select(*pairs.columns)  # edge is one row
+
+
+def range_scores(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """(precision, recall) over all (query_id, id): with nothing found precision is 1, with nothing to find recall is 1 or 0."""
+    t = truth.select("query_id", "id").distinct().withColumn("t", F.lit(1))
+    f = found.select("query_id", "id").distinct().withColumn("f", F.lit(1))
+    n = t.join(f, ["query_id", "id"], "full").agg(F.count("t").alias("nt"), F.count("f").alias("nf"), F.count_if(F.col("t").isNotNull() & F.col("f").isNotNull()).alias("both"))
+    none = F.when(F.col("nf") == 0, 1.0).otherwise(0.0)
+    return n.select(F.coalesce(F.col("both") / F.nullif("nf", F.lit(0)), F.lit(1.0)).alias("precision"), F.coalesce(F.col("both") / F.nullif("nt", F.lit(0)), none).alias("recall"))
+
+
+def pooled(rows: DataFrame, mode: str) -> DataFrame:
+    """(doc_id, v) of token vectors (doc_id, pos, v): mean, cls (least position) or last (greatest)."""
+    if mode in ("cls", "last"):
+        return rows.groupBy("doc_id").agg((F.min_by if mode == "cls" else F.max_by)("v", "pos").alias("v"))
+    if mode != "mean":
+        raise ValueError(f"unknown pooling {mode!r}")
+    return centroids_of(rows, "doc_id", None).withColumnRenamed("list_no", "doc_id")
+
+
+def window_average(windows: DataFrame) -> DataFrame:
+    """(doc_id, v): the mean of the normalised window vectors, normalised; a single window's vector is itself."""
+    unit = windows.select("doc_id", normalized(F.col("v")).alias("v"))
+    return pooled(unit.withColumn("pos", F.lit(0)), "mean").select("doc_id", normalized(F.col("v")).alias("v"))
