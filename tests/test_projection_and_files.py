@@ -5,7 +5,7 @@ import pytest
 
 from vecquill import catalogue
 from vecquill.operators import projection
-from vecquill.sources.vecfiles import read_vectors
+from vecquill.sources.vecfiles import read_vectors, write_vectors
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -52,3 +52,12 @@ def test_vector_files(spark, tmp_path, form, dtype):
     assert [r.id for r in got] == list(range(50)) and np.array_equal(np.array([r.v for r in got]), x)
     with pytest.raises(ValueError):
         read_vectors(spark, str(tmp_path / "x"), 12, "other")
+
+
+def test_written_vectors_read_back(spark, rows, tmp_path):
+    write_vectors(rows, f"{tmp_path}/out", records=200)
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert len(names) > 1 and all(n.endswith(".fvecs") for n in names)
+    (tmp_path / "one").write_bytes(b"".join((tmp_path / "out" / n).read_bytes() for n in names))
+    got = read_vectors(spark, str(tmp_path / "one"), 64).orderBy("id").collect()
+    assert np.allclose(np.array([r.v for r in got]), array(rows))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecquill.functions import vectors as V
-from vecquill.operators import chat, pieces, projection, sampling, search, text
+from vecquill.operators import chat, pieces, projection, sampling, search, text, vector_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -683,3 +683,20 @@ def _(spark, d):
 def _(spark, d):
     c = table(spark, d, "documents").select("doc_id", F.posexplode(pieces.over_batches(pieces.chunks(". ", 200))("text")).alias("chunk", "t"))
     return c.select("doc_id", "chunk", F.length("t").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+# ---- the index as a whole: kinds that lose nothing equal exact search, the others are tested for recall
+EXACT_KINDS = {"index_flat": "Flat", "index_ivf_all_lists": "IVF8,Flat", "index_hnsw": "IDMap,HNSW32,Flat", "index_rotated": "Pad80,RR80,Flat"}
+CODED_KINDS = {"index_sq8": "IVF8,SQ8", "index_pq_rflat": "IVF8,PQ16x6,RFlat", "index_opq": "OPQ16,PQ16x6", "index_rq": "RQ6x6", "index_rabitq": "RaBitQ", "index_pca_sq": "PCAR32,SQ8", "index_lsh": "LSH256r", "index_itq": "ITQ,LSH", "index_sqfp16": "SQfp16"}
+
+
+def index_of(spark, d, description: str):
+    rows, index = base(spark, d), vector_index.open_factory(description, 64)
+    return (index.train(rows) if index.spec.needs_training else index).add(rows)
+
+
+for _name, _text in (EXACT_KINDS | CODED_KINDS).items():
+
+    @register(_name, f"{pairs_sql('l2')} {ranked_sql(False, 10)}" if _name in EXACT_KINDS else None)
+    def _(spark, d, description=_text):
+        return rounded(index_of(spark, d, description).search(asked(base(spark, d)), 10, nprobe=8))

@@ -6,10 +6,15 @@ are split between tasks.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _FORMS = {"fvecs": ("<f4", "array<float>"), "ivecs": ("<i4", "array<int>"), "bvecs": ("u1", "array<int>")}
 
@@ -29,3 +34,40 @@ def read_vectors(spark: SparkSession, path: str, dimensions: int, form: str = "f
             yield i, np.frombuffer(raw, dtype, offset=4).tolist()
 
     return spark.createDataFrame(records.zipWithIndex().mapPartitions(rows), f"id long, v {type_}")
+
+
+def vector_records(rows: DataFrame, form: str = "fvecs") -> DataFrame:
+    """(id, record): the bytes of each (id, v); a null vector has none. Joined in the order of ids they are a vector file."""
+    if form not in _FORMS:
+        raise ValueError(f"unknown form {form!r}")
+    dtype = _FORMS[form][0]
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for vectors in batches:
+            yield vectors.map(lambda v: None if v is None else np.int32(len(v)).tobytes() + np.asarray(v).astype(dtype).tobytes())
+
+    return rows.select("id", run("v").alias("record")).where("record is not null")
+
+
+def write_vectors(rows: DataFrame, path: str, form: str = "fvecs", records: int = 1_000_000) -> None:
+    """Vector files of at most about ``records`` rows under ``path``, by ranges of ids, so that their names keep the order.
+
+    Each task writes its own file and renames it when whole, so a repeated task leaves one. The folder must be shared.
+    """
+    parts = max(1, -(-rows.count() // records))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        whole = os.path.join(path, f"part-{number:06d}.{form}")
+        n = 0
+        with open(f"{whole}.{attempt}", "wb") as out:
+            for batch in batches:
+                n += len(batch)
+                out.writelines(batch.column(0).to_pylist())
+        os.replace(f"{whole}.{attempt}", whole)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    os.makedirs(path, exist_ok=False)
+    ordered = vector_records(rows, form).repartitionByRange(parts, "id").sortWithinPartitions("id").select("record")
+    ordered.mapInArrow(write, "n long").agg(F.sum("n")).collect()
