@@ -5,16 +5,17 @@ A word goes if a window of ``window`` consecutive words around it also starts in
 1. Anchors. Of every window, the least hash of its ``ANCHOR`` -word runs is its anchor, so equal windows have equal
    anchors and a document has about one anchor in five words. Anchors are counted by hash buckets, aggregated within
    each task first; an anchor of one document only rules its windows out. The few anchors of a bucket that hold an
-   eighth of its occurrences or more - eight a bucket at most - are told to all tasks, the others are looked up in
-   their bucket.
+   eighth of its occurrences or more - stock phrases, eight a bucket at most - are told to all tasks, the others are
+   looked up in their bucket.
 2. Segments. Runs of windows with recurring anchors are cut out of the documents as word hashes and sent to the shard
-   of the first document that has the anchor, so all occurrences of a window meet in one shard.
+   of the first document that has the anchor, so all occurrences of a window meet in one shard. A window whose anchor
+   is a stock phrase goes to a shard by its own hash instead, so that a phrase's many unlike surroundings are spread.
 3. Phrases. Each task reduces its segments to one copy of each window, with its least document and whether there are
-   others; a shard's copies are reduced once more where they meet. From these each shard confirms its recurring windows
-   and compiles an Aho-Corasick automaton over them (one symbol a word); large shards are split by salt and each part
-   gets the shard's phrases.
-4. Every segment is streamed through its shard's automaton; a hit is confirmed by the window's 64-bit hash and counts
-   if the window's least document is smaller than the segment's.
+   others; where a shard's copies meet, the windows of one document only are dropped. What is left is confirmed.
+4. Automata. Large shards are split by salt; each part gets the shard's confirmed phrases and no others. It compiles an
+   Aho-Corasick automaton (one symbol a word) over runs of ``SEED`` words of them, so placed that every confirmed window
+   holds one, and streams its segments through it. The windows around a hit are compared, by 64-bit hash, with the
+   confirmed ones and count if a window's least document is smaller than the segment's.
 5. The covered words go back to their documents.
 
 Defined results: a null or empty text has no words and stays as it is; a null id sorts after all others, so that it
@@ -35,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecquill.llm.shared import batches_of, bounded_batches, durable, first_of_groups, pack, packed_schema, unpack, width
+from vecquill.llm.shared import batches_of, bounded_batches, durable, expand, first_of_groups, pack, packed_schema, unpack, width
 from vecquill.llm.textbytes import inner_windows, mix, slices, span_hashes, text_buffer, window_hashes, word_spans
 
-ANCHOR, HELD, HOT_LEAST, SHARDS_PER_PART, SALT_WORDS = 5, 1 << 21, 20_000, 4, 1 << 20
+ANCHOR, SEED, HELD, HOT_LEAST, SHARDS_PER_PART, SALT_WORDS = 5, 6, 1 << 21, 20_000, 16, 1 << 16
+#: Shards with parts are told to all tasks up to so many; beyond, they are joined.
+BROADCAST_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1
 
 
@@ -144,10 +147,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 yield part
 
     anchors = durable(words_of.mapInArrow(count_anchors, packed_schema(4)).repartition(nb, "bucket").mapInArrow(recurring, packed_schema(2)))
-    hot_rows = anchors.where("kind = 1").select("c0", "c1").toArrow()  # 8 a partition at most
-    hot_h, hot_d = unpack(hot_rows["c0"], np.uint64), unpack(hot_rows["c1"], np.int64)
-    order = np.argsort(hot_h)
-    hot_h, hot_d = hot_h[order], hot_d[order]
+    hot = np.sort(unpack(anchors.where("kind = 1").select("c0").toArrow()["c0"], np.uint64))  # 8 a partition at most
 
     # 2: which anchors of each document recur, and where first
     def look_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,20 +155,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             _, at, a = window_anchors(h, first, window)
             at = np.unique(at)
             own, k = a[at], ks[np.searchsorted(first, at, side="right") - 1]
-            j = _find(hot_h, own)
-            cold = j < 0
-            for part in (
-                _packed((own[cold] % np.uint64(nb)).astype(np.int64), own[cold], k[cold], None, None, 1),
-                _packed((k[~cold].view(np.uint64) % np.uint64(nb)).astype(np.int64), own[~cold], k[~cold], hot_d[j[~cold]], None, 2),
-            ):
-                if part is not None:
-                    yield part
+            cold = _find(hot, own) < 0
+            part = pack((own[cold] % np.uint64(nb)).astype(np.int64), own[cold], k[cold], kind=1)
+            if part is not None:
+                yield part
 
     def flag(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_h, known_d, table = [], [], None
         for b in it:
             out_k, out_h, out_d = [], [], []
-            for kind, c0, c1, c2 in zip(*(b.column(c).to_pylist() for c in ("kind", "c0", "c1", "c2"))):
+            for kind, c0, c1 in zip(*(b.column(c).to_pylist() for c in ("kind", "c0", "c1"))):
                 if kind == 0:
                     known_h.append(np.frombuffer(c0, np.uint64))
                     known_d.append(np.frombuffer(c1, np.int64))
@@ -178,23 +174,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                     order = np.argsort(hs)
                     table, first_doc = hs[order], ds[order]
                 h, k = np.frombuffer(c0, np.uint64), np.frombuffer(c1, np.int64)
-                if kind == 1:
-                    j = _find(table, h)
-                    h, k, d = h[j >= 0], k[j >= 0], first_doc[j[j >= 0]]
-                else:
-                    d = np.frombuffer(c2, np.int64)
-                out_k.append(k)
-                out_h.append(h)
-                out_d.append(d)
+                j = _find(table, h)
+                out_k.append(k[j >= 0])
+                out_h.append(h[j >= 0])
+                out_d.append(first_doc[j[j >= 0]])
             if out_k:
                 k, h, d = np.concatenate(out_k), np.concatenate(out_h), np.concatenate(out_d)
                 part = pack((k.view(np.uint64) % np.uint64(nb)).astype(np.int64), k, h, d, kind=0)
                 if part is not None:
                     yield part
 
-    cold_anchors = anchors.where("kind = 0").select("bucket", "kind", "c0", "c1", F.lit(None).cast("binary").alias("c2"))
-    looked = words_of.mapInArrow(look_up, packed_schema(4)).drop("c3")
-    flags = looked.unionByName(cold_anchors).repartition(nb, "bucket").sortWithinPartitions("kind").mapInArrow(flag, packed_schema(3))
+    flags = words_of.mapInArrow(look_up, packed_schema(2)).unionByName(anchors.where("kind = 0")).repartition(nb, "bucket").sortWithinPartitions("kind").mapInArrow(flag, packed_schema(3))
 
     # the remainder of k as an unsigned number, as Python takes it
     bucket_of_k = F.expr(f"cast((pmod(shiftrightunsigned(k, 1), {nb}) * 2 + (k & 1)) % {nb} as int)")
@@ -233,6 +223,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 j = _find(table, mix(ks[doc].view(np.uint64) ^ mix(a[spots])))
                 shard = np.where(j >= 0, (mix(first_doc[j].view(np.uint64)) % np.uint64(shards)).astype(np.int64) if len(first_doc) else -1, -1)[which]
                 doc = doc[which]
+                stock = np.flatnonzero((_find(hot, a[spots]) >= 0)[which])
+                if len(stock):
+                    shard[stock] = (mix(window_hashes(h, window)[starts[stock]]) % np.uint64(shards)).astype(np.int64)
                 new = np.ones(len(starts), bool)
                 new[1:] = (shard[1:] != shard[:-1]) | (doc[1:] != doc[:-1]) | (starts[1:] != starts[:-1] + 1)
                 begin = np.flatnonzero(new)
@@ -265,13 +258,39 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         if held:
             yield phrase_batch(one_of_each(held, window))
 
+    def confirmed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of each shard that have several documents; rows come sorted by shard."""
+        held, done, size, most = [], [], 0, HELD // 2
+
+        def closed() -> None:
+            nonlocal held, size, most
+            done.extend(r for r in one_of_each(held, window) if r[2])
+            held, size, most = [], 0, HELD // 2
+
+        for b in it:
+            for row in zip(*(b.column(c).to_pylist() for c in ("shard", "id", "several", "words"))):
+                if held and held[0][0] != row[0]:
+                    closed()
+                held.append(row)
+                size += len(row[3]) // 8
+                if size >= most:
+                    held = one_of_each(held, window)
+                    size = sum(len(r[3]) // 8 for r in held)
+                    most = max(HELD // 2, 2 * size)
+            if len(done) >= 512:
+                yield phrase_batch(done)
+                done = []
+        if held:
+            closed()
+        if done:
+            yield phrase_batch(done)
+
     phrase_type = "shard int, id long, several int, words binary"
     of_tasks = segments.select("shard", "id", F.lit(0).alias("several"), "words").mapInArrow(distinct_windows, phrase_type)
-    # a shard's parts all get its phrases, so copies from different tasks are reduced before that
-    phrases = durable(of_tasks.repartition(nb, "shard").mapInArrow(distinct_windows, phrase_type))
+    phrases = durable(of_tasks.repartition(nb, "shard").sortWithinPartitions("shard").mapInArrow(confirmed, phrase_type))
     sizes = segments.groupBy("shard").agg(F.sum(F.octet_length("words") / 8).alias("words")).select("shard", F.ceil(F.col("words") / SALT_WORDS).cast("int").alias("salts"))
-    # one row of 8 bytes a shard, SHARDS_PER_PART for each part of the input: 40 MB at 100 TB
-    salts = F.broadcast(spark.createDataFrame(sizes.toPandas(), "shard int, salts int"))
+    parted = durable(sizes.where("salts > 1"))
+    salts = F.broadcast(parted) if parted.count() <= BROADCAST_ROWS else parted
 
     # 4: compile and stream; the segments of a shard's part that a batch holds go through the automaton together
     def locate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,13 +305,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 out.append((ks[seg], ids[seg], starts[seg] + s, n))
                 waiting.clear()
 
-            for shard, salt, kind, id_, k, start, several, words in zip(*(b.column(c).to_pylist() for c in ("shard", "salt", "kind", "id", "k", "start", "several", "words"))):
+            for shard, salt, kind, id_, k, start, words in zip(*(b.column(c).to_pylist() for c in ("shard", "salt", "kind", "id", "k", "start", "words"))):
                 if (shard, salt) != group:
                     if waiting:
                         stream()
                     group, rows, auto = (shard, salt), [], None
                 if kind == 0:
-                    rows.append((id_, several, words))
+                    rows.append((id_, words))
                     continue
                 if auto is None:
                     auto, rows = Automaton(rows, window), []
@@ -305,8 +324,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 if part is not None:
                     yield part
 
-    to_compile = phrases.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "id", no("k", "long"), no("start", "int"), "several", "words")
-    to_stream = segments.join(salts, "shard").select("shard", F.pmod(F.xxhash64("k"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "k", "start", no("several", "int"), "words")
+    n_salts = F.coalesce("salts", F.lit(1))
+    to_compile = phrases.join(salts, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("salt"), F.lit(0).alias("kind"), "id", no("k", "long"), no("start", "int"), "words")
+    to_stream = segments.join(salts, "shard", "left").select("shard", F.pmod(F.xxhash64("k"), n_salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "k", "start", "words")
     found = to_compile.unionByName(to_stream).repartition(nb, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(locate, packed_schema(4))
 
     # 5: back to the documents
@@ -411,32 +431,23 @@ def phrase_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 
 class Automaton:
-    """An Aho-Corasick automaton over the confirmed recurring windows of a shard."""
-
-    def __init__(self, rows: list[tuple[int, int, bytes]], window: int):
-        self.window = window
-        lens = np.array([len(w) // 8 for _, _, w in rows])
-        flat = np.frombuffer(b"".join(w for _, _, w in rows), np.uint64)
-        offs = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
-        w = window_hashes(flat, window)
+    """An Aho-Corasick automaton over the confirmed phrases (least id, words) of a shard's part."""
+
+    def __init__(self, rows: list[tuple[int, bytes]], window: int):
+        self.window, self.seed = window, min(SEED, window)
+        self.step = window - self.seed + 1  # every window holds a run of ``seed`` words that starts at its last place modulo this
+        flat = np.frombuffer(b"".join(w for _, w in rows), np.uint64)
+        sizes = np.array([len(w) // 8 for _, w in rows], np.int64)
+        offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         at = np.flatnonzero(inner_windows(offs, window, len(flat)))
-        row = np.searchsorted(offs, at, side="right") - 1
-        ids, several = np.array([i for i, _, _ in rows], np.int64)[row], np.array([s for _, s, _ in rows], np.int64)[row]
-        order = np.argsort(w[at], kind="stable")
-        s = first_of_groups(w[at][order])
-        least, most, any_ = np.minimum.reduceat(ids[order], s), np.maximum.reduceat(ids[order], s), np.maximum.reduceat(several[order], s)
-        recurs = (least < most) | (any_ > 0)
-        self.hash, self.least = w[at][order][s][recurs], least[recurs]
-        self.more: dict[int, list[int]] = {}
+        hashes = window_hashes(flat, window)[at]
+        order = np.argsort(hashes, kind="stable")
+        self.hash, self.least = hashes[order], np.array([i for i, _ in rows], np.int64)[np.searchsorted(offs, at[order], side="right") - 1]
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         text = _symbols(flat).tobytes().decode("utf-32-le")
-        for j, a in enumerate(at[order][s][recurs].tolist()):
-            phrase = text[a : a + window]
-            known = self.machine.get(phrase, -1)
-            if known >= 0:  # another window with the same symbols
-                self.more.setdefault(known, []).append(j)
-            else:
-                self.machine.add_word(phrase, j)
+        n = np.maximum(-(-(sizes - window + 1) // self.step), 0)
+        for a in (expand(np.zeros(len(n), np.int64), n) * self.step + np.repeat(offs[:-1], n) + self.step - 1).tolist():
+            self.machine.add_word(text[a : a + self.seed], 1)
         self.empty = not len(self.hash)
         if not self.empty:
             self.machine.make_automaton()
@@ -451,15 +462,18 @@ class Automaton:
         first = np.cumsum(sizes) - sizes
         codes = np.full(len(flat) + len(segments), 1, "<u4")  # a code that no word has ends each segment
         codes[np.arange(len(flat)) + np.repeat(np.arange(len(segments)), sizes)] = _symbols(flat)
-        hits = np.fromiter(chain.from_iterable(self.machine.iter(codes.tobytes().decode("utf-32-le"))), np.int64).reshape(-1, 2)
+        hits = np.fromiter(chain.from_iterable(self.machine.iter(codes.tobytes().decode("utf-32-le"))), np.int64)[::2] - (self.seed - 1)
         if not len(hits):
             return none, none, none
-        begin, j = hits[:, 0] - (self.window - 1), hits[:, 1].copy()
-        seg = np.searchsorted(first + np.arange(len(segments)), begin, side="right") - 1
-        at = begin - seg
-        own = window_hashes(flat, self.window)[at]
-        for i in np.flatnonzero(self.hash[j] != own).tolist():
-            j[i] = next((m for m in self.more.get(int(j[i]), ()) if self.hash[m] == own[i]), -1)
+        seg = np.searchsorted(first + np.arange(len(segments)), hits, side="right") - 1
+        at = hits - seg
+        # the windows that hold a hit
+        lo, hi = np.maximum(at - self.step + 1, first[seg]), np.minimum(at, first[seg] + sizes[seg] - self.window)
+        whole = lo <= hi
+        around = np.bincount(lo[whole], minlength=len(flat) + 1) - np.bincount(hi[whole] + 1, minlength=len(flat) + 1)
+        at = np.flatnonzero(np.cumsum(around) > 0)
+        seg = np.searchsorted(first, at, side="right") - 1
+        j = _find(self.hash, window_hashes(flat, self.window)[at])
         live = (j >= 0) & (self.least[j] < ids[seg])
         seg, at = seg[live], at[live]
         if not len(seg):
