@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from vecquill.llm.shared import batches_of, bounded_batches, durable, expand, first_of_groups, pack, packed_schema, unpack, width
 from vecquill.llm.textbytes import inner_windows, mix, slices, span_hashes, text_buffer, window_hashes, word_spans
 
-ANCHOR, SEED, HELD, HOT_LEAST, SHARDS_PER_PART, SALT_WORDS = 5, 6, 1 << 21, 20_000, 16, 1 << 16
+ANCHOR, SEED, HELD, HOT_LEAST, SHARDS_PER_PART, SALT_WORDS = 5, 6, 1 << 21, 20_000, 32, 1 << 15
 #: Shards with parts are told to all tasks up to so many; beyond, they are joined.
 BROADCAST_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1
