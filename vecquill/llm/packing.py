@@ -4,11 +4,13 @@ A document is its token ids and an end id. Longer ones are cut into pieces of th
 be shorter. Packing is planned on the histogram of piece lengths, which has ``capacity`` rows at most, so the plan
 does not grow with the input: a bin is filled greedily, longest first; then its smallest piece gives way to two
 unpacked pieces that fit the expanded gap more tightly; and the bin's pattern is repeated while its lengths last.
-Each piece then finds its place by its rank among the pieces of its length, which is taken within salts, so that a
-length that very many pieces share is not ranked in one task.
+A piece of the full length fills a sequence alone and needs no rank. Each other piece finds its place by its rank among
+the pieces of its length, which is taken within salts; a length has a salt for every ``RANKED`` of its pieces, so no task
+ranks more than about that many, however common a length is.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are packed one by one; a null
-id is packed as any other; an empty table gives an empty result.
+id is packed as any other; which of two pieces of equal length goes to which place is arbitrary, as the contract leaves
+it; an empty table gives an empty result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from vecquill.llm import bytebpe
 from vecquill.llm.shared import batches_of, bounded_batches, durable
 from vecquill.llm.textbytes import slices, text_buffer
 
-#: Parts of a length's pieces that are ranked apart.
-SALTS = 128
+#: Pieces of one length that are ranked together, on average.
+RANKED = 100_000
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -98,7 +100,7 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
 
 
 def piece_table(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
-    """id, piece, start, length, ids_crc32 and salt of every piece."""
+    """id, piece, start, length, ids_crc32 and spread (a hash for salts) of every piece."""
     id_type = dict(docs.dtypes)[id_col]
 
     def cut_up(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +121,10 @@ def piece_table(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id
                         length.append(n)
                         crc.append(zlib.crc32(own[s : s + n].tobytes()))
                 crcs = np.array(crc, np.int64)
-                salt = (crcs ^ (np.array(row, np.int64) * 40503) ^ np.array(piece, np.int64)) % SALTS
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crcs), pa.array(salt.astype(np.int32))], names=["id", "piece", "start", "length", "ids_crc32", "salt"])
+                spread = (crcs ^ (np.array(row, np.int64) * 40503) ^ np.array(piece, np.int64)) & 0x7FFFFFFF
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crcs), pa.array(spread.astype(np.int32))], names=["id", "piece", "start", "length", "ids_crc32", "spread"])
 
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(cut_up, f"id {id_type}, piece int, start long, length long, ids_crc32 long, salt int")
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(cut_up, f"id {id_type}, piece int, start long, length long, ids_crc32 long, spread int")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,14 +132,21 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
     spark = docs.sparkSession
     bounded_batches(spark)
     pieces = durable(piece_table(docs, vocabulary, end_id, capacity, id_col, text_col))
-    sizes = pieces.groupBy("length", "salt").count().toPandas()  # capacity x SALTS rows at most
+    by_length = pieces.groupBy("length").count().toPandas()  # capacity rows at most
     counts = np.zeros(capacity + 1, np.int64)
-    np.add.at(counts, sizes["length"].to_numpy(np.int64), sizes["count"].to_numpy(np.int64))
+    counts[by_length["length"].to_numpy(np.int64)] = by_length["count"].to_numpy(np.int64)
     patterns = plan(counts, capacity)
-    # of each length: the first rank of each salt, and the runs of ranks that a pattern takes
-    first = np.zeros((capacity + 1, SALTS), np.int64)
-    np.add.at(first, (sizes["length"].to_numpy(np.int64), sizes["salt"].to_numpy(np.int64)), sizes["count"].to_numpy(np.int64))
-    first = np.cumsum(first, axis=1) - first
+    n_salts = np.maximum(-(-counts // RANKED), 1)
+    salts_of = F.array(*(F.lit(int(n)) for n in n_salts))
+    salted = pieces.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("id", "piece", "spread"), F.get(salts_of, F.col("length").cast("int"))).cast("int"))
+    sizes = salted.groupBy("length", "salt").count().toPandas()  # capacity rows at most, and one for each RANKED pieces
+    # of each length: the first rank of each salt (salts of one length after the other), and the runs of ranks that a pattern takes
+    base_of = np.cumsum(n_salts) - n_salts
+    first = np.zeros(int(n_salts.sum()), np.int64)
+    at_ = base_of[sizes["length"].to_numpy(np.int64)] + sizes["salt"].to_numpy(np.int64)
+    first[at_] = sizes["count"].to_numpy(np.int64)
+    before = np.cumsum(first) - first
+    first = before - np.repeat(before[base_of], n_salts)
     runs: dict[int, list[tuple[int, int, int, int]]] = {}
     ranks, base = np.zeros(capacity + 1, np.int64), 0
     for bin_, times in patterns:
@@ -153,7 +162,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it):
             length, salt, rank = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "salt", "rank"))
-            rank = rank + first[length, salt]
+            rank = rank + first[base_of[length] + salt]
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for n in np.unique(length):
                 own = np.flatnonzero(length == n)
@@ -165,5 +174,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=[id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     id_type = dict(docs.dtypes)[id_col]
-    ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")) - 1)
-    return ranked.mapInArrow(place, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")) - 1)
+    placed = ranked.mapInArrow(place, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    alone = pieces.where(F.col("length") == capacity).select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(alone)
