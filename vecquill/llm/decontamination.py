@@ -1,31 +1,45 @@
 """Benchmark decontamination by SimHash of item-sized windows, with DataFrame functions only.
 
-1. Words are lower-cased; a shingle is five words (an item with fewer words is one shingle). Document shingles are
-   looked up in the benchmark's. A window whose similarity to an item is at or above the threshold must hold a known
-   number of the item's shingles, and moving its start to its first such shingle only adds to them; so the windows of
-   the item's size that start at a shared shingle and hold enough of them miss nothing.
-2. These windows get a 64-bit SimHash of their shingles, weighted by how often each occurs. Fingerprints are cut into
-   ``RADIUS`` + 1 blocks; within the radius at least one block is equal, so an equi-join on (size, block, value) finds
-   every item of the window's size within it.
+1. Words are lower-cased; a shingle is five words (an item with fewer words is one shingle). A window has an item's
+   number of words. If any window of a text is similar to an item, so is the one that starts at the first shingle they
+   share: it holds all the shared ones and is no longer. So windows are laid at those places only where a text has a
+   shingle of some item of their size, whichever; nothing is lost, and nothing else about the item is asked.
+2. Each window gets a fingerprint of ``BITS`` bits, the majority of its shingles' hashes, each weighted by how often it
+   occurs. Fingerprints are cut into blocks of ``BLOCK`` bits. Within ``RADIUS`` bits of each other, two have a block
+   that differs in ``NEAR`` bits at most (pigeonhole). Windows ask with all values within ``ASKED`` bits of their blocks,
+   items are entered under all values within ``NEAR`` - ``ASKED`` bits of theirs, so an equi-join on (size, block, value)
+   finds every fingerprint within the radius. Of the ways in which a pair meets, one is kept.
 3. Candidates within the radius are verified: weighted Jaccard similarity (sum of the lesser counts over the sum of the
    greater) of the shingles.
 
-The benchmark's shingles, and the rows of its index of blocks, are broadcast only if their numbers are within
-``BROADCAST_ROWS``; beyond, the same joins shuffle.
+At a similarity of 0.8 two fingerprints differ in 18 of 120 bits on average, four bits being a standard deviation; the
+radius of 31 loses about one such pair in a thousand and fewer above. Unrelated windows are 60 bits apart.
+
+The tables of items that are broadcast hold ``BROADCAST_ROWS`` rows at most: larger benchmarks are taken in so many
+parts, each against all windows. No text is shuffled; a pair of window and item is, once, for the best of each document.
 
 Defined results: null or empty texts match nothing; rows that share an id are matched apart; a null id is reported as
-null; items without words are ignored; an empty table gives an empty result; further columns are not read.
+null; items without words are ignored; of equal similarities the first window, of these the shorter one is told; an
+empty table gives an empty result; further columns, whatever their names, are not read. Very long texts and items need no
+bound: the work is linear but for shingles that are repeated in both window and item.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecquill.llm.shared import durable
 
-RADIUS, BITS, BROADCAST_ROWS = 24, 64, 1_000_000
+BITS, BLOCK, RADIUS, ASKED, BROADCAST_ROWS = 120, 15, 31, 1, 2_000_000
+BLOCKS = BITS // BLOCK
+NEAR = RADIUS // BLOCKS
 _WHITE = " \t\n\x0b\f\r"
+#: A one in each of the four 15-bit fields of a long; half of a fingerprint fills these fields.
+_ONES = sum(1 << 15 * i for i in range(4))
 
 
 def _let(value: Column, body) -> Column:
@@ -33,6 +47,18 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _long(x: int) -> Column:
+    return F.lit(x).cast("bigint")
+
+
+def _up(x: Column, by: Column | int) -> Column:
+    return F.call_function("shiftleft", x, F.lit(by) if isinstance(by, int) else by)
+
+
+def _down(x: Column, by: Column | int) -> Column:
+    return F.call_function("shiftrightunsigned", x, F.lit(by) if isinstance(by, int) else by)
+
+
 def _words(text: Column) -> Column:
     lowered = F.btrim(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(_WHITE))
     return _let(lowered, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[ \t\n\x0B\f\r]+")))
@@ -44,25 +70,56 @@ def _shingles(words: Column, k: int) -> Column:
     return _let(words, lambda w: F.when(F.size(w) < k, none).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))))
 
 
-def _fingerprint(shingles: Column) -> Column:
-    """SimHash: bit b is set if most occurrences of shingles have it set."""
-    set_ = lambda s: F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.aggregate(s, F.lit(0), lambda a, x: a + F.call_function("shiftright", x, b).bitwiseAND(F.lit(1).cast("bigint")).cast("int")) * 2 > F.size(s))
-    return F.aggregate(_let(shingles, set_), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)))
+def _majority(hashes: Column, n: Column) -> Column:
+    """60 bits, each set if more than half of the n hashes have it set; counted in 15-bit fields, four to a long."""
+    spare = ((F.lit((1 << 14) - 1) - F.floor(n / 2)) * _long(_ONES)).cast("bigint")
+
+    def of(shift: int) -> Column:
+        counts = F.aggregate(hashes, _long(0), lambda a, x: a + F.shiftrightunsigned(x, shift).bitwiseAND(_long(_ONES)))
+        return F.shiftleft(F.shiftrightunsigned(counts + spare, 14).bitwiseAND(_long(_ONES)), shift)
+
+    return reduce(lambda a, b: a.bitwiseOR(b), map(of, range(15)))
+
+
+def _majority_of_many(hashes: Column, n: Column) -> Column:
+    """The same for any number of hashes, bit by bit."""
+    set_ = F.filter(F.sequence(F.lit(0), F.lit(59)), lambda b: F.aggregate(hashes, _long(0), lambda a, x: a + _down(x, b).bitwiseAND(_long(1))) * 2 > n)
+    return F.aggregate(set_, _long(0), lambda a, b: a.bitwiseOR(_up(_long(1), b)))
 
 
-def _blocks(fingerprint: Column) -> Column:
-    """(block, value) of all RADIUS + 1 blocks."""
-    edges = [round(i * BITS / (RADIUS + 1)) for i in range(RADIUS + 2)]
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:]))))
+def fingerprinted(rows: DataFrame, shingles: str) -> DataFrame:
+    """Adds p0 and p1, the two halves of the fingerprint of an array of shingles."""
+    n = F.size(shingles)
+    rows = rows.withColumn("__more", F.transform(shingles, lambda x: F.xxhash64(x)))
+    half = lambda c: F.when(n < 1 << 15, _majority(F.col(c), n)).otherwise(_majority_of_many(F.col(c), n))
+    return rows.withColumn("p0", half(shingles)).withColumn("p1", half("__more")).drop("__more")
+
+
+def _masks(most: int) -> list[int]:
+    """The changes of a block in ``most`` bits at most."""
+    return [sum(1 << b for b in bits) for r in range(most + 1) for bits in combinations(range(BLOCK), r)]
+
+
+def _asks(rows: DataFrame, most: int) -> DataFrame:
+    """Adds block, mask and key for every value within ``most`` bits of each block of (n, p0, p1)."""
+    every = F.array(*(F.lit(block << BLOCK | mask) for block in range(BLOCKS) for mask in _masks(most)))
+    out = rows.withColumn("__ask", F.explode(every))
+    out = out.withColumn("block", _down(F.col("__ask"), BLOCK)).withColumn("mask", F.col("__ask").bitwiseAND(F.lit((1 << BLOCK) - 1)).cast("bigint")).drop("__ask")
+    half = F.when(F.col("block") < BLOCKS // 2, F.col("p0")).otherwise(F.col("p1"))
+    value = _down(half, F.col("block") % (BLOCKS // 2) * BLOCK).bitwiseAND(_long((1 << BLOCK) - 1)).bitwiseXOR(F.col("mask"))
+    return out.withColumn("key", _up(F.col("n").cast("bigint") * BLOCKS + F.col("block"), BLOCK).bitwiseOR(value))
 
 
 def _shared_weight(a: Column, b: Column) -> Column:
-    """The sum over distinct shingles of the lesser of their counts in two arrays."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))))
+    """The sum over shingles of the lesser of their counts in two arrays: once each, and more only where both repeat them."""
+    repeated = lambda x: _let(F.array_sort(x), lambda s: F.array_distinct(F.filter(s, lambda y, i: (i > 0) & (F.get(s, i - 1) == y))))
+    count = lambda x, y: F.size(F.filter(x, lambda z: z == y))
+    more = F.aggregate(F.array_intersect(repeated(a), repeated(b)), F.lit(0), lambda s, y: s + F.least(count(a, y), count(b, y)) - 1)
+    return F.size(F.array_intersect(a, b)) + more
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """id, item_id, start (word), n_words and similarity of the best window for each document and item that match."""
+def item_table(benchmark: DataFrame, k: int, item_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
+    """(item_id, n words, k, shingles, p0, p1) of the items with words, and the values of k, five at most."""
     items = (
         benchmark.select(F.col(f"`{item_col}`").alias("item_id"), _words(F.col(f"`{text_col}`")).alias("words"))
         .where(F.size("words") > 0)
@@ -70,54 +127,57 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int =
         .withColumn("k", F.least(F.col("n"), F.lit(k)))
     )
     lengths = sorted(r.k for r in items.select("k").distinct().collect())  # k values at most
-    parts = [items.where(F.col("k") == kk).withColumn("shingles", _shingles(F.col("words"), kk)) for kk in lengths] or [items.withColumn("shingles", F.array().cast("array<bigint>"))]
-    known = parts[0]
-    for p in parts[1:]:
-        known = known.unionByName(p)
-    known = durable(known.drop("words").withColumn("m", F.size("shingles")).withColumn("need", F.ceil(F.lit(2 * percent) * F.col("m") / F.lit(100 + percent)).cast("int")))
-    rows = known.agg(F.sum("m").alias("n")).first().n or 0
-    small = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
-    of_item = small(known.select(F.explode(F.array_distinct("shingles")).alias("shingle"), "item_id", "n", "k", "m", "need"))
-
-    # 1: shared shingles, and the windows that hold enough of them
+    parts = [items.where(F.col("k") == kk).withColumn("shingles", _shingles(F.col("words"), kk)) for kk in lengths or [k]]
+    return durable(fingerprinted(reduce(DataFrame.unionByName, parts), "shingles").drop("words")), lengths
+
+
+def windows_of(base: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, row, n, start, window, p0, p1): the windows of each item size that start at a shingle of an item of that size."""
+    places = durable(items.select(F.explode("shingles").alias("shingle"), "n", "k", (F.col("n") - F.col("k") + 1).alias("m")).distinct())
+    passes = max(1, -(-places.count() // BROADCAST_ROWS))
+    found = []
+    for kk in lengths:
+        own = base.select("id", "row", _shingles(_words(F.col("text")), kk).alias("shingles"))
+        opened = own.select("id", "row", "shingles", F.posexplode("shingles").alias("start", "shingle"))
+        for i in range(passes):
+            part = F.broadcast(places.where((F.col("k") == kk) & (F.pmod(F.xxhash64("shingle"), F.lit(passes)) == i)))
+            found.append(opened.join(part, "shingle").select("id", "row", "n", "start", F.slice("shingles", F.col("start") + 1, F.col("m")).alias("window")))
+    return fingerprinted(reduce(DataFrame.unionByName, found), "window")
+
+
+def candidates(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs of a window and an item of its size whose fingerprints differ in ``RADIUS`` bits at most, each once."""
+    entered = _asks(items.select("item_id", "n", "p0", "p1"), NEAR - ASKED).select("key", "item_id", F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+    rows = items.count() * BLOCKS * len(_masks(NEAR - ASKED))
+    passes = max(1, -(-rows // BROADCAST_ROWS))
+    asking = _asks(windows, ASKED)
+    x0, x1 = F.col("p0").bitwiseXOR(F.col("q0")), F.col("p1").bitwiseXOR(F.col("q1"))
+    differ = [F.shiftrightunsigned(x, i * BLOCK).bitwiseAND(_long((1 << BLOCK) - 1)) for x in (x0, x1) for i in range(BLOCKS // 2)]
+    # one meeting of a pair counts: in its first near block, by the least change on the window's side
+    first = reduce(lambda rest, i: F.when(F.bit_count(differ[i]) <= NEAR, F.lit(i)).otherwise(rest), reversed(range(BLOCKS)), F.lit(-1))
+    here = reduce(lambda rest, i: F.when(F.col("block") == i, differ[i]).otherwise(rest), range(1, BLOCKS), differ[0])
+    change = F.when(F.bit_count(here) <= NEAR - ASKED, _long(0)).otherwise(here.bitwiseAND(-here))
+    found = []
+    for i in range(passes):
+        part = F.broadcast(entered.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i))
+        met = asking.join(part, "key").where((F.bit_count(x0) + F.bit_count(x1) <= RADIUS) & (F.col("block") == first) & (F.col("mask") == change))
+        found.append(met.select("id", "row", "n", "start", "window", "item_id"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """id, item_id, start (word), n_words and similarity of the best window for each document and item that match."""
+    items, lengths = item_table(benchmark, k, item_col, text_col)
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null").withColumn("row", F.xxhash64("id", "text"))
-    hits = None
-    for kk in lengths or [k]:
-        own = base.select("id", "row", F.posexplode(_shingles(_words(F.col("text")), kk)).alias("at", "shingle"))
-        found = own.join(of_item.where(F.col("k") == kk), "shingle").select("id", "row", "item_id", "n", "k", "m", "need", "at")
-        hits = found if hits is None else hits.unionByName(found)
-    grouped = hits.groupBy("id", "row", "item_id", "n", "k", "m", "need").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    starts = grouped.select("id", "row", "n", "k", F.explode(F.expr("filter(ats, (x, i) -> coalesce(get(ats, i + need - 1) - x < m, false))")).alias("start")).distinct()
-    windows = durable(starts)
-
-    # 2: fingerprints of these windows
-    wanted = windows.groupBy("id", "row").agg(F.collect_set(F.struct("n", "k", "start")).alias("spots"))
-    # the wanted windows grow with the corpus, so this join shuffles at every size instead of turning to a broadcast
-    opened = wanted.hint("merge").join(base.withColumnRenamed("id", "id2").withColumnRenamed("row", "row2"), (F.col("row") == F.col("row2")) & F.col("id").eqNullSafe(F.col("id2"))).select("id", "row", _words(F.col("text")).alias("words"), F.explode("spots").alias("spot"))
-    cut = opened.select("id", "row", "spot.*", F.slice("words", F.col("spot.start") + 1, F.col("spot.n")).alias("words"))
-    printed = None
-    for kk in lengths or [k]:
-        part = cut.where(F.col("k") == kk).select("id", "row", "n", "start", _shingles(F.col("words"), kk).alias("window"))
-        printed = part if printed is None else printed.unionByName(part)
-    printed = durable(printed.withColumn("print", _fingerprint(F.col("window"))))
-    item_prints = known.select("item_id", "n", "shingles", _fingerprint(F.col("shingles")).alias("item_print"))
-
-    # 3: the index of blocks, the radius, the similarity
-    index_small = F.broadcast if known.count() * (RADIUS + 1) <= BROADCAST_ROWS else (lambda df: df)
-    index = index_small(item_prints.select("item_id", "n", "item_print", F.explode(_blocks(F.col("item_print"))).alias("b")).select("item_id", "n", "item_print", "b.*"))
-    near = (
-        printed.select("id", "row", "n", "start", "print", F.explode(_blocks(F.col("print"))).alias("b"))
-        .select("id", "row", "n", "start", "print", "b.*")
-        .join(index, ["n", "block", "value"])
-        .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-        .select("id", "row", "n", "start", "item_id")
-        .distinct()
-    )
-    a, b = near.alias("a"), printed.alias("b")
+    windows = durable(windows_of(base, items, lengths or [k]))
+    pairs = candidates(windows, items)
+    n_items = items.count()
+    verified = []
+    for i in range(passes := max(1, -(-n_items // (BROADCAST_ROWS // 64)))):  # an item's row holds its shingles
+        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i).select(F.col("item_id").alias("item"), F.col("n").alias("size"), "shingles")
+        verified.append(pairs.join(F.broadcast(own), F.col("item_id").eqNullSafe(F.col("item")) & (F.col("n") == F.col("size"))))
     judged = (
-        a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.start") == F.col("b.start")) & (F.col("a.n") == F.col("b.n")) & F.col("a.id").eqNullSafe(F.col("b.id")))
-        .select("a.id", "a.row", "a.n", "a.start", "a.item_id", "b.window")
-        .join(small(item_prints.select("item_id", "n", "shingles")), ["item_id", "n"])
+        reduce(DataFrame.unionByName, verified)
         .withColumn("both", _shared_weight(F.col("window"), F.col("shingles")))
         .withColumn("all", F.size("window") + F.size("shingles") - F.col("both"))
         .where(F.col("both") * 100 >= F.col("all") * percent)
