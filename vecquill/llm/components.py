@@ -8,23 +8,21 @@ from pyspark.sql import functions as F
 from vecquill.llm.shared import durable
 
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v, least): each edge from both ends with the least of u and u's neighbours; the least is aggregated before the shuffle."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
-    return both.join(least, "u")
-
-
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of links(u, v); a component's name is its least node. Loops and repeated links do no harm."""
+    """(node, component) for every node of links(u, v); a component's name is its least node. Loops and repeated links do no harm.
+
+    The least neighbours are a table of their own in each step, so the join that hands them on has two plain inputs: AQE
+    broadcasts the smaller one or splits the rows of a node that a large part of all links meets.
+    """
     edges = durable(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(most_rounds):
-        # large star: larger neighbours join the least node around
-        large = _with_least(edges).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
-        # small star: a node and its smaller neighbours join the least of them; a node's smaller neighbours are its edges now
-        least = large.groupBy("u").agg(F.min("v").alias("least"))
-        small = large.join(least, "u").select(F.col("v").alias("a"), "least").unionByName(least.select(F.col("u").alias("a"), "least"))
+        # large star: a node's larger neighbours join the least node around it, which is itself if none is smaller
+        least = durable(edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("least")))
+        large = durable(edges.join(least, F.col("v") == F.col("x"), "left").select("u", F.coalesce("least", "v").alias("v")).distinct())
+        # small star: a node and its smaller neighbours join the least of them
+        least = durable(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("least")))
+        small = large.join(least, F.col("u") == F.col("x")).select(F.col("v").alias("a"), "least").unionByName(least.select(F.col("x").alias("a"), "least"))
         edges = durable(small.where("a <> least").select(F.col("a").alias("u"), F.col("least").alias("v")).distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.countDistinct("u").alias("m")).first()
         if now.n == now.m and (now.n, now.s) == mark:  # every node has one edge and nothing moved

@@ -7,11 +7,12 @@
 3. First links: each class is paired with the least class of its buckets and of a salted part of them, at most two
    pairs a class, those that agree in most bands; pairs whose signatures agree are confirmed on full sets. The links
    give first components, which take in nearly all of even the largest groups.
-4. All the rest, exactly: in a bucket with several components, the members outside of the largest one (its host) are
-   queries against all members of the host and against each other. Queries and members meet in blocks of bounded size,
-   each block compares by an inverted index of its queries' shingles, and one link for each query and component is
-   enough. So every pair that shares a bucket is either confirmed, refuted or already connected, without any bucket's
-   pairs being listed.
+4. All the rest, exactly: in a bucket with several components, the members outside of the bucket's largest one are
+   queries against the bucket's members of other components. They meet in blocks of ``BLOCK`` queries and members, first
+   by their signatures alone: a pair counts in the first band that it shares and only if its signatures agree. Queries
+   and members without such a pair are done; the sets of the others meet in the same blocks and are compared by an
+   inverted index of the queries' shingles; one link for each query and component is enough. So every pair that shares a
+   bucket is either confirmed, refuted or already connected, without any bucket's pairs being listed.
 5. Components of all links by large-star and small-star.
 
 A pair of Jaccard similarity s shares a bucket with probability 1 - (1 - s**ROWS)**BANDS: at 0.8, all but 7 in a million.
@@ -39,8 +40,10 @@ BANDS, ROWS = 30, 5
 _SEEDS = np.random.default_rng(90210)
 _FACTOR = _SEEDS.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _OFFSET = _SEEDS.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
-#: Queries and members of a block of step 4.
-QUERY_BLOCK, MEMBER_BLOCK = 2000, 2000
+#: Queries, and members, of a block of step 4.
+BLOCK = 1000
+#: How far below the threshold the signatures of a pair may agree: five standard deviations of 150 minima at 0.8.
+SLACK = 0.2
 #: Parts of a bucket that have a least class of their own in step 3.
 PARTS = 16
 
@@ -105,6 +108,28 @@ def _block_links(queries: list[tuple[int, int, np.ndarray]], percent: int):
     return links
 
 
+def agreeing(signatures: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """For each pair of rows of two tables of signatures: do as many minima agree as the threshold, less the slack, asks?"""
+    return (signatures == others).mean(axis=-1) >= percent / 100 - SLACK
+
+
+def signature_rows(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist() if isinstance(column, (pa.Array, pa.ChunkedArray)) else column), np.uint32).reshape(-1, BANDS * ROWS)
+
+
+def met_first(queries: np.ndarray, q_comp: np.ndarray, members: np.ndarray, m_comp: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which queries and which members of a bucket of a band have a pair of unlike components that agrees and shares no earlier band."""
+    q_on, m_on = np.zeros(len(queries), bool), np.zeros(len(members), bool)
+    q_keys, m_keys = band_keys(queries)[:, :band], band_keys(members)[:, :band]
+    for i in range(len(queries)):
+        at = np.flatnonzero(m_comp != q_comp[i])
+        at = at[~(m_keys[at] == q_keys[i]).any(axis=1)]
+        at = at[agreeing(members[at], queries[i], percent)]
+        q_on[i] = len(at) > 0
+        m_on[at] = True
+    return q_on, m_on
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept of each row. Links: Jaccard similarity of the sets of k-word shingles of percent / 100 or more."""
     spark = docs.sparkSession
@@ -129,26 +154,25 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     def bands(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it):
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), BANDS)), pa.array(band_keys(sig).ravel().view(np.int64))], names=["node", "bucket"])
+            keys = band_keys(sig)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), BANDS)), pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys)))], names=["node", "bucket", "band"])
 
-    banded = classes.where("n > 0 and node is not null").select("node", "signature").mapInArrow(bands, "node long, bucket long")
-    heads = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1").select("bucket", "head")
+    banded = classes.where("n > 0 and node is not null").select("node", "signature").mapInArrow(bands, "node long, bucket long, band int")
+    # tables of their own, so that AQE can split the rows of a bucket that very many classes share
+    heads = durable(banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1").select("bucket", "head"))
     members = durable(banded.join(heads, "bucket"))
 
     # full sets of the classes that share a bucket
-    wanted = members.select("node").distinct()
+    wanted = durable(members.select("node").distinct())
 
     def take_sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(it):
             data, offs = text_buffer(b.column(1))
-            blobs, signs = [], []
-            for _, _, d, o in slices(data, offs):
-                for _, s in shingle_sets(d, o, k):
-                    blobs.append(s.tobytes())
-                    signs.append(signature(s).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary()), pa.array(signs, pa.binary())], names=["node", "shingles", "signature"])
+            blobs = [s.tobytes() for _, _, d, o in slices(data, offs) for _, s in shingle_sets(d, o, k)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary())], names=["node", "shingles"])
 
-    sets = durable(base.join(wanted, base["id"] == wanted["node"], "left_semi").mapInArrow(take_sets, "node long, shingles binary, signature binary"))
+    sets = durable(base.join(wanted, base["id"] == wanted["node"], "left_semi").mapInArrow(take_sets, "node long, shingles binary"))
+    signatures = durable(classes.select("node", "signature").join(wanted, "node", "left_semi"))
 
     # step 3: two pairs a class at most
     def best(pairs: DataFrame) -> DataFrame:
@@ -160,58 +184,76 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     part_heads = split.groupBy("bucket", "part").agg(F.min("node").alias("other"))
     pairs = best(members.select("node", F.col("head").alias("other"))).unionByName(best(split.join(part_heads, ["bucket", "part"]).select("node", "other"))).distinct()
 
+    def agree(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(it):
+            yield b.select(["node", "other"]).filter(pa.array(agreeing(signature_rows(b.column("gx")), signature_rows(b.column("gy")), percent)))
+
     def confirm(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            u, v = [], []
-            for x, y, sx, sy, gx, gy in zip(*(b.column(c).to_pylist() for c in ("node", "other", "sx", "sy", "gx", "gy"))):
-                agree = (np.frombuffer(gx, np.uint32) == np.frombuffer(gy, np.uint32)).mean()
-                if agree >= percent / 100 - 0.2 and jaccard_at_least(np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64), percent):
-                    u.append(x)
-                    v.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    left = sets.select("node", F.col("shingles").alias("sx"), F.col("signature").alias("gx"))
-    right = sets.select(F.col("node").alias("other"), F.col("shingles").alias("sy"), F.col("signature").alias("gy"))
-    first_links = durable(pairs.join(left, "node").join(right, "other").mapInArrow(confirm, "u long, v long"))
+        for b in batches_of(it):
+            sets_of = zip(b.column("sx").to_pylist(), b.column("sy").to_pylist())
+            linked = [jaccard_at_least(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sets_of]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("other")], names=["u", "v"]).filter(pa.array(linked, pa.bool_()))
+
+    signed_pairs = pairs.join(signatures.withColumnRenamed("signature", "gx"), "node").join(signatures.select(F.col("node").alias("other"), F.col("signature").alias("gy")), "other")
+    near = signed_pairs.mapInArrow(agree, "node long, other long")
+    both = near.join(sets.withColumnRenamed("shingles", "sx"), "node").join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("sy")), "other")
+    first_links = durable(both.mapInArrow(confirm, "u long, v long"))
     first = connected_components(first_links)
 
     # step 4: what other components a bucket holds, against its largest one
-    placed = durable(members.select("bucket", "node").join(first, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
-    in_component = placed.select("node", "component").distinct()
-    mass = in_component.groupBy("component").agg(F.count("*").alias("mass"))
-    host = (
-        placed.select("bucket", "component")
-        .distinct()
-        .join(mass, "component")
-        .groupBy("bucket")
-        .agg(F.count("*").alias("kinds"), F.max(F.struct("mass", "component"))["component"].alias("host"))
-        .where("kinds > 1")
-        .select("bucket", "host")
-    )
-    queries = durable(placed.join(host, "bucket").where("component <> host").select("host", "node", "component").distinct())
+    placed = durable(members.join(first, "node", "left").select("bucket", "band", "node", F.coalesce("component", "node").alias("component")))
+    held = placed.groupBy("bucket", "component").agg(F.count("*").alias("mass"))
     shape = (
-        queries.groupBy("host")
-        .agg(F.count("*").alias("asked"))
-        .join(mass.withColumnRenamed("component", "host"), "host")
-        .select("host", F.ceil(F.col("asked") / QUERY_BLOCK).cast("int").alias("query_blocks"), F.ceil((F.col("asked") + F.col("mass")) / MEMBER_BLOCK).cast("int").alias("member_blocks"))
+        held.groupBy("bucket")
+        .agg(F.count("*").alias("kinds"), F.sum("mass").alias("all"), F.max(F.struct("mass", "component")).alias("host"))
+        .where("kinds > 1")
+        .select("bucket", F.col("host.component").alias("host"), F.ceil((F.col("all") - F.col("host.mass")) / BLOCK).cast("int").alias("query_blocks"), F.ceil(F.col("all") / BLOCK).cast("int").alias("member_blocks"))
     )
-    shape = durable(shape)
-    asked = queries.join(shape, "host")
-    spot = F.xxhash64("node")
-    q = asked.select("host", "node", "component", F.pmod(spot, F.col("query_blocks")).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("member_blocks") - 1)).alias("mb"), F.lit(0).alias("kind"))
-    everyone = in_component.join(shape, in_component["component"] == shape["host"]).select("host", "node", "component", "query_blocks", "member_blocks").unionByName(asked)
-    m = everyone.select("host", "node", "component", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), F.pmod(spot, F.col("member_blocks")).cast("int").alias("mb"), F.lit(1).alias("kind"))
-    parts = width(docs)
-    # a node's set goes along with the list of blocks where it is wanted
+    mixed = placed.join(durable(shape), "bucket")  # a table of its own as above
+    spot, every = F.xxhash64("node"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(spot, F.col(n)).cast("int")
+    q = mixed.where("component <> host").select("bucket", "band", "node", "component", one("query_blocks").alias("qb"), every("member_blocks").alias("mb"), F.lit(0).alias("kind"))
+    m = mixed.select("bucket", "band", "node", "component", every("query_blocks").alias("qb"), one("member_blocks").alias("mb"), F.lit(1).alias("kind"))
     places = q.unionByName(m)
+    parts = width(docs)
+    block = ["bucket", "qb", "mb"]
+
+    def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "qb", "mb", "band", "kind", "node", "component"]
+        rows: list[tuple] = []
+
+        def kept(rows: list[tuple]) -> list[tuple]:
+            sides = [[r for r in rows if r[4] == kind] for kind in (0, 1)]
+            if not all(sides):
+                return []
+            table = [signature_rows([r[7] for r in side]) for side in sides]
+            comp = [np.array([r[6] for r in side], np.int64) for side in sides]
+            on = met_first(table[0], comp[0], table[1], comp[1], rows[0][3], percent)
+            return [r[:7] for side, yes in zip(sides, on) for r, y in zip(side, yes.tolist()) if y]
+
+        def told(out: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+
+        for b in it:
+            out: list[tuple] = []
+            for row in zip(*(b.column(c).to_pylist() for c in (*names, "signature"))):
+                if rows and rows[0][:3] != row[:3]:
+                    out += kept(rows)
+                    rows = []
+                rows.append(row)
+            if out:
+                yield told(out)
+        if rows and (out := kept(rows)):
+            yield told(out)
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, waiting, links = None, [], None
+        at, waiting, links = None, [], None
         for b in it:
             out = []
-            for host_, qb, mb, kind, node, comp, blob in zip(*(b.column(c).to_pylist() for c in ("host", "qb", "mb", "kind", "node", "component", "shingles"))):
-                if (host_, qb, mb) != block:
-                    block, waiting, links = (host_, qb, mb), [], None
+            for bucket, qb, mb, kind, node, comp, blob in zip(*(b.column(c).to_pylist() for c in (*block, "kind", "node", "component", "shingles"))):
+                if (bucket, qb, mb) != at:
+                    at, waiting, links = (bucket, qb, mb), [], None
                 own = np.frombuffer(blob, np.uint64)
                 if kind == 0:
                     waiting.append((node, comp, own))
@@ -221,10 +263,17 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
                     out += links(node, comp, own)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["u", "v"])
 
+    meeting = (
+        places.join(signatures, "node")
+        .repartition(parts, *block)
+        .sortWithinPartitions(*block, "kind")
+        .mapInArrow(meet, "bucket long, qb int, mb int, band int, kind int, node long, component long")
+    )
     more_links = (
-        places.join(sets.select("node", "shingles"), "node")
-        .repartition(parts, "host", "qb", "mb")
-        .sortWithinPartitions("host", "qb", "mb", "kind")
+        durable(meeting)
+        .join(sets, "node")
+        .repartition(parts, *block)
+        .sortWithinPartitions(*block, "kind")
         .mapInArrow(compare, "u long, v long")
     )
     final = connected_components(first_links.unionByName(durable(more_links)))
