@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecquill.llm.shared import durable
+from vecquill.llm.shared import durable, mark, release
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -14,8 +14,9 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     The least neighbours are a table of their own in each step, so the join that hands them on has two plain inputs: AQE
     broadcasts the smaller one or splits the rows of a node that a large part of all links meets.
     """
+    spark, done = links.sparkSession, mark()
     edges = durable(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
+    before = None
     for _ in range(most_rounds):
         # large star: a node's larger neighbours join the least node around it, which is itself if none is smaller
         least = durable(edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("least")))
@@ -24,10 +25,12 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = durable(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("least")))
         small = large.join(least, F.col("u") == F.col("x")).select(F.col("v").alias("a"), "least").unionByName(least.select(F.col("x").alias("a"), "least"))
         edges = durable(small.where("a <> least").select(F.col("a").alias("u"), F.col("least").alias("v")).distinct())
+        release(spark, done, mark() - 1)
+        done = mark() - 1
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.countDistinct("u").alias("m")).first()
-        if now.n == now.m and (now.n, now.s) == mark:  # every node has one edge and nothing moved
+        if now.n == now.m and (now.n, now.s) == before:  # every node has one edge and nothing moved
             break
-        mark = (now.n, now.s)
+        before = (now.n, now.s)
     else:
         raise RuntimeError("the components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

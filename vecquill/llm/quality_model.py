@@ -6,7 +6,8 @@ three arrays (statistic, bin, leaf value), which numpy walks for many documents
 statistics of its whole text.
 
 Defined results: a null or empty text has statistics of 0 and is scored by them; a null id is not held out; with no
-labelled rows every score is 0.0, with one class only that class's value; an empty table gives an empty result;
+labelled rows every score is 0.0, with one class only that class's value; of rows that repeat an id, training takes the least text, and
+all are scored; of repeated labels the greater one holds; an empty table gives an empty result;
 further columns are not read.
 """
 

@@ -65,7 +65,7 @@ _DIGEST = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCD
 OP2_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
-SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_DIGEST} AS payload_digest,
+SELECT page_id, CAST(NULL AS VARCHAR) AS error, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_DIGEST} AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f"""
 
@@ -80,5 +80,32 @@ FROM documents d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN gone ON go
 GROUP BY d.doc_id"""
 
 
+#: Every window that starts at a shingle it shares with an item; the index may lose none at a similarity of 0.8.
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+i AS MATERIALIZED (SELECT item_id, len(w) AS n, least(len(w), 5) AS k, len(w) - least(len(w), 5) + 1 AS m, unnest(list_transform(range(0, len(w) - least(len(w), 5) + 1), lambda j: array_to_string(w[j + 1 : j + least(len(w), 5)], ' '))) AS g FROM x WHERE len(w) > 0),
+c AS MATERIALIZED (SELECT item_id, n, k, m, g, count(*) AS times FROM i GROUP BY ALL),
+s AS MATERIALIZED (SELECT doc_id, k, unnest(range(0, len(w) - k + 1)) AS at, len(w) - k + 1 AS total, unnest(list_transform(range(0, len(w) - k + 1), lambda j: array_to_string(w[j + 1 : j + k], ' '))) AS g FROM w, (SELECT DISTINCT k FROM i) WHERE len(w) >= k),
+h AS MATERIALIZED (SELECT s.doc_id, c.item_id, c.n, c.m, s.at, s.total, c.g, c.times FROM s JOIN c USING (k, g)),
+t AS (SELECT a.doc_id, a.item_id, a.n, a.m, a.at AS start, a.total, b.g, least(count(*), any_value(b.times)) AS shared FROM h a JOIN h b ON b.doc_id = a.doc_id AND b.item_id = a.item_id AND b.at >= a.at AND b.at < a.at + a.m GROUP BY a.doc_id, a.item_id, a.n, a.m, a.at, a.total, b.g),
+j AS (SELECT doc_id, item_id, n, start, sum(shared) AS shared, least(m, any_value(total) - start) + m - sum(shared) AS whole FROM t GROUP BY doc_id, item_id, n, m, start)
+SELECT doc_id, item_id, arg_min(start, (-shared / whole, start, n)) AS start, arg_min(n, (-shared / whole, start, n)) AS n_words, round(max(shared / whole), 9) AS similarity
+FROM j WHERE 100 * shared >= 80 * whole GROUP BY doc_id, item_id"""
+
+#: All pairs that share a shingle, and the components of those that are links.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[i + 1 : i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, 1))) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+e AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT DISTINCT u AS node, u AS reach FROM e UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.reach),
+c AS (SELECT node, min(reach) AS component FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, d.doc_id = coalesce(c.component, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_substring_dedup": OP3_SQL}
+    return {"op2_warc": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op10_minhash": OP10_SQL}

@@ -1,4 +1,4 @@
-"""A bounded sample of labelled texts for training, never holding a row of the held-out fold."""
+"""A bounded sample of labelled texts for training, never holding a row of the held-out fold. It does not depend on the order of rows."""
 
 from __future__ import annotations
 
@@ -22,5 +22,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = docs.sparkSession.createDataFrame(chosen.toPandas(), "id long, y int") if chosen is not None else chosen
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
-    table = rows.dropDuplicates(["id"]).toArrow().sort_by("id")
+    table = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).toArrow().sort_by("id")  # of a repeated id, the least text
     return table["text"].combine_chunks() if len(table) else pa.array([], pa.string()), table["y"].to_numpy().astype(np.int64) if len(table) else np.zeros(0, np.int64)

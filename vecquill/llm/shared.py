@@ -17,14 +17,17 @@ BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches. Plans read this when they run, so it stays set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; one of our own where the session names none (local runs)."""
+    """The cluster's shared folder from spark.checkpoint.dir; one of our own in a local session that names none (tests)."""
     set_ = spark.conf.get("spark.checkpoint.dir", None)
     if not set_:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="vecquill-")
         atexit.register(shutil.rmtree, folder, True)
         set_ = f"file://{folder}"
@@ -32,14 +35,43 @@ def shared_folder(spark: SparkSession) -> str:
     return set_
 
 
+#: The folders that durable() has written and release() has not deleted yet.
+_written: list[str] = []
+
+
 def durable(df: DataFrame, partition_by: Iterable[str] = ()) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
+    """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation.
+
+    The table lives until release() or until the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/vecquill-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_delete_all, spark)
+    _written.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """The number of tables so far, for release()."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Delete the tables of durable() from one mark to another; nothing that is still to run may read them."""
+    for i in range(since, len(_written) if until is None else until):
+        if _written[i]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(_written[i])
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _written[i] = ""
+
+
+def _delete_all(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        release(spark, 0)
+
+
 def width(df: DataFrame) -> int:
     """Partitions for an exchange that holds about as much as ``df``: grows with the input and follows the session."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
@@ -71,10 +103,6 @@ def unpack(column, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-def csr(values: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)
-
-
 def first_of_groups(sorted_keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values in a sorted array."""
     if len(sorted_keys) == 0:
@@ -99,9 +127,5 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def plain_columns(df: DataFrame) -> list[str]:
-    return list(df.columns)
-
-
 def batches_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in it if b.num_rows)

@@ -11,8 +11,9 @@ A word goes if a window of ``window`` consecutive words around it also starts in
    of the first document that has the anchor, so all occurrences of a window meet in one shard. A window whose anchor
    is a stock phrase goes to a shard by its own hash instead, so that a phrase's many unlike surroundings are spread.
 3. Phrases. Each task reduces its segments to one copy of each window, with its least document and whether there are
-   others; where a shard's copies meet, the windows of one document only are dropped. What is left is confirmed.
-4. Automata. Large shards are split by salt; each part gets the shard's confirmed phrases and no others. It compiles an
+   others; where a shard's copies meet, the windows of one document only are dropped. What is left is confirmed. The
+   copies of a shard of more than ``SALT_WORDS`` words meet window by window, in parts by the windows' hashes.
+4. Automata. Large shards are split by document; each part gets the shard's confirmed phrases and no others. It compiles an
    Aho-Corasick automaton (one symbol a word) over runs of ``SEED`` words of them, so placed that every confirmed window
    holds one, and streams its segments through it. The windows around a hit are compared, by 64-bit hash, with the
    confirmed ones and count if a window's least document is smaller than the segment's.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vecquill.llm.shared import batches_of, bounded_batches, durable, expand, first_of_groups, pack, packed_schema, unpack, width
+from vecquill.llm.shared import batches_of, bounded_batches, durable, expand, first_of_groups, mark, pack, packed_schema, release, unpack, width
 from vecquill.llm.textbytes import inner_windows, mix, slices, span_hashes, text_buffer, window_hashes, word_spans
 
 ANCHOR, SEED, HELD, HOT_LEAST, SHARDS_PER_PART, SALT_WORDS = 5, 6, 1 << 21, 20_000, 32, 1 << 15
@@ -146,6 +147,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             if part is not None:
                 yield part
 
+    since = mark()
     anchors = durable(words_of.mapInArrow(count_anchors, packed_schema(4)).repartition(nb, "bucket").mapInArrow(recurring, packed_schema(2)))
     hot = np.sort(unpack(anchors.where("kind = 1").select("c0").toArrow()["c0"], np.uint64))  # 8 a partition at most
 
@@ -240,39 +242,47 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array(shard_, pa.int32()), pa.array(id_, pa.int64()), pa.array(k_, pa.int64()), pa.array(start_, pa.int32()), pa.array(words_, pa.binary())], names=["shard", "id", "k", "start", "words"])
 
     segments = durable(with_docs(flags, 3, words_of, []).mapInArrow(cut_segments, "shard int, id long, k long, start int, words binary"))
+    release(spark, since, since + 1)  # the anchors
+
+    sizes = segments.groupBy("shard").agg(F.sum(F.octet_length("words") / 8).alias("words")).select("shard", F.ceil(F.col("words") / SALT_WORDS).cast("int").alias("salts"))
+    parted = durable(sizes.where("salts > 1"))
+    salts = F.broadcast(parted) if parted.count() <= BROADCAST_ROWS else parted
+    n_salts = F.coalesce("salts", F.lit(1))
 
     # 3: one copy of each window of a task, then of a shard
     def distinct_windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows held are reduced in place; what does not shrink to half is passed on, so that memory stays bounded."""
-        held, size = [], 0
+        held, size, parts_of = [], 0, {}
+
+        def told() -> pa.RecordBatch:
+            return phrase_batch([p for r in held for p in parted_row(r, parts_of.get(r[0], 1), window)])
+
         for b in it:
-            for row in zip(*(b.column(c).to_pylist() for c in ("shard", "id", "several", "words"))):
-                held.append(row)
+            for *row, salts_ in zip(*(b.column(c).to_pylist() for c in ("shard", "id", "several", "words", "salts"))):
+                if salts_ > 1:
+                    parts_of[row[0]] = salts_
+                held.append(tuple(row))
                 size += len(row[3]) // 8
             if size >= HELD // 2:
                 held = one_of_each(held, window)
                 size = sum(len(r[3]) // 8 for r in held)
                 if size >= HELD // 4:
-                    yield phrase_batch(held)
+                    yield told()
                     held, size = [], 0
         if held:
-            yield phrase_batch(one_of_each(held, window))
+            held = one_of_each(held, window)
+            yield told()
 
     def confirmed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows of each shard that have several documents; rows come sorted by shard."""
-        held, done, size, most = [], [], 0, HELD // 2
-
-        def closed() -> None:
-            nonlocal held, size, most
-            done.extend(r for r in one_of_each(held, window) if r[2])
-            held, size, most = [], 0, HELD // 2
-
+        """The windows of each shard's part that have several documents; rows come sorted by shard and part."""
+        held, at, done, size, most = [], None, [], 0, HELD // 2
         for b in it:
-            for row in zip(*(b.column(c).to_pylist() for c in ("shard", "id", "several", "words"))):
-                if held and held[0][0] != row[0]:
-                    closed()
-                held.append(row)
-                size += len(row[3]) // 8
+            for shard, part, *row in zip(*(b.column(c).to_pylist() for c in ("shard", "part", "id", "several", "words"))):
+                if (shard, part) != at:
+                    done += [(r[0], 0, *r[1:]) for r in one_of_each(held, window) if r[2]]
+                    held, at, size, most = [], (shard, part), 0, HELD // 2
+                held.append((shard, *row))
+                size += len(row[2]) // 8
                 if size >= most:
                     held = one_of_each(held, window)
                     size = sum(len(r[3]) // 8 for r in held)
@@ -280,17 +290,13 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             if len(done) >= 512:
                 yield phrase_batch(done)
                 done = []
-        if held:
-            closed()
+        done += [(r[0], 0, *r[1:]) for r in one_of_each(held, window) if r[2]]
         if done:
             yield phrase_batch(done)
 
-    phrase_type = "shard int, id long, several int, words binary"
-    of_tasks = segments.select("shard", "id", F.lit(0).alias("several"), "words").mapInArrow(distinct_windows, phrase_type)
-    phrases = durable(of_tasks.repartition(nb, "shard").sortWithinPartitions("shard").mapInArrow(confirmed, phrase_type))
-    sizes = segments.groupBy("shard").agg(F.sum(F.octet_length("words") / 8).alias("words")).select("shard", F.ceil(F.col("words") / SALT_WORDS).cast("int").alias("salts"))
-    parted = durable(sizes.where("salts > 1"))
-    salts = F.broadcast(parted) if parted.count() <= BROADCAST_ROWS else parted
+    phrase_type = "shard int, part int, id long, several int, words binary"
+    of_tasks = segments.join(salts, "shard", "left").select("shard", "id", F.lit(0).alias("several"), "words", n_salts.alias("salts")).mapInArrow(distinct_windows, phrase_type)
+    phrases = durable(of_tasks.repartition(nb, "shard", "part").sortWithinPartitions("shard", "part").mapInArrow(confirmed, phrase_type))
 
     # 4: compile and stream; the segments of a shard's part that a batch holds go through the automaton together
     def locate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +330,6 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 if part is not None:
                     yield part
 
-    n_salts = F.coalesce("salts", F.lit(1))
     to_compile = phrases.join(salts, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("salt"), F.lit(0).alias("kind"), "id", no("k", "long"), no("start", "int"), "words")
     to_stream = segments.join(salts, "shard", "left").select("shard", F.pmod(F.xxhash64("k"), n_salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "k", "start", "words")
     found = to_compile.unionByName(to_stream).repartition(nb, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(locate, packed_schema(4))
@@ -399,8 +404,19 @@ def _without(raw: bytes, gone: np.ndarray) -> str:
     return data[np.cumsum(edge[:-1]) == 0].tobytes().decode()
 
 
+def parted_row(row: tuple[int, int, int, bytes], parts: int, window: int) -> list[tuple[int, int, int, int, bytes]]:
+    """(shard, part, id, several, words): the row as it is, or, if its shard has several parts, each of its windows in the part of its hash."""
+    shard, id_, several, words = row
+    if parts == 1:
+        return [(shard, 0, id_, several, words)]
+    part = (mix(window_hashes(np.frombuffer(words, np.uint64), window)) % np.uint64(parts)).tolist()
+    return [(shard, p, id_, several, words[8 * i : 8 * (i + window)]) for i, p in enumerate(part)]
+
+
 def one_of_each(rows: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int, bytes]]:
     """One copy of each window of (shard, id, several, words), with its least id and whether another id has it too."""
+    if not rows:
+        return []
     flat = np.frombuffer(b"".join(r[3] for r in rows), np.uint64)
     offs = np.concatenate([[0], np.cumsum([len(r[3]) // 8 for r in rows])]).astype(np.int64)
     ids, more = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
@@ -425,9 +441,9 @@ def one_of_each(rows: list[tuple[int, int, int, bytes]], window: int) -> list[tu
     return [(rows[r][0], rows[r][1], int(m), flat[x : y + window].tobytes()) for x, y, r, m in runs]
 
 
-def phrase_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    shard, ids, several, words = zip(*rows) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(ids, pa.int64()), pa.array(several, pa.int32()), pa.array(words, pa.binary())], names=["shard", "id", "several", "words"])
+def phrase_batch(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    shard, part, ids, several, words = zip(*rows) if rows else ((), (), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array(several, pa.int32()), pa.array(words, pa.binary())], names=["shard", "part", "id", "several", "words"])
 
 
 class Automaton:
@@ -445,8 +461,14 @@ class Automaton:
         self.hash, self.least = hashes[order], np.array([i for i, _ in rows], np.int64)[np.searchsorted(offs, at[order], side="right") - 1]
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         text = _symbols(flat).tobytes().decode("utf-32-le")
-        n = np.maximum(-(-(sizes - window + 1) // self.step), 0)
-        for a in (expand(np.zeros(len(n), np.int64), n) * self.step + np.repeat(offs[:-1], n) + self.step - 1).tolist():
+        # a run of windows has a seed in every ``step`` words; a window alone has its seed of least hash, which its neighbours often share
+        alone, run = offs[:-1][sizes == window], sizes > window
+        n = -(-(sizes[run] - window + 1) // self.step)
+        at = expand(np.zeros(len(n), np.int64), n) * self.step + np.repeat(offs[:-1][run], n) + self.step - 1
+        if len(alone):
+            seeds = window_hashes(flat, self.seed)
+            at = np.concatenate([at, alone + np.argmin(seeds[alone[:, None] + np.arange(self.step)], axis=1)])
+        for a in at.tolist():
             self.machine.add_word(text[a : a + self.seed], 1)
         self.empty = not len(self.hash)
         if not self.empty:

@@ -11,7 +11,8 @@ Training reads ``per_class`` rows of each class at most (a documented bound); ev
 
 Defined results: a null or empty text has no words and gets the score of an all-padding text; a null id is in the
 held-out fold; with no labelled rows, or rows of one class only, every score is 0.0 or 1.0 for that class (0.0 for
-none); an empty table gives an empty result; further columns are not read.
+none); of rows that repeat an id, training takes the least text, and
+all are scored; of repeated labels the greater one holds; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
