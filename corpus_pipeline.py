@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecquill.llm import decontamination, minhash, packing, substring_dedup, toxicity
-from vecquill.llm.shared import durable, read
+from vecquill.llm.shared import durable, mark, read, release
 
 #: Shingles of the near-duplicate and benchmark stages: five words, similarity 0.8 or more.
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -63,9 +63,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    rows = read(spark, sf_dir, "documents")
+    rows, since = read(spark, sf_dir, "documents"), mark()
     for i, (_, stage) in enumerate(STAGES):
         rows = stage(spark, rows, sf_dir)
         if i < len(STAGES) - 1:
             rows = durable(rows)
+            release(spark, since, mark() - 1)  # what the stage has written and read, but for its result
+            since = mark() - 1
     return rows
