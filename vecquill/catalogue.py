@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecquill.functions import vectors as V
-from vecquill.operators import chat, pieces, projection, sampling, search, text, vector_index
+from vecquill.operators import chat, codecs, pieces, projection, sampling, scan, search, text, vector_index
+from vecquill.plans.spec import parse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -159,9 +161,19 @@ def _(spark, d):
     return found.select("query_id", "rank", "id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
-@register("kmeans_full")
+def lloyd_sql(steps: int, k: int) -> str:
+    """Steps of k-means from the vectors of the k least ids, one after the other."""
+    out = [f"WITH {E_}, k0 AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS list_no, list_transform(v, lambda x: round(x, 9)) AS v FROM e ORDER BY id LIMIT {k})"]
+    for i in range(steps):
+        out.append(f"a{i} AS MATERIALIZED (SELECT id, arg_min(list_no, (d, list_no)) AS list_no FROM (SELECT id, list_no, {total('(a[i]-b[i])*(a[i]-b[i])')} AS d FROM (SELECT e.id, k.list_no, e.v AS a, k.v AS b FROM e, k{i} k)) GROUP BY id)")
+        out.append(f"k{i + 1} AS MATERIALIZED (SELECT list_no, list(x ORDER BY pos) AS v FROM (SELECT list_no, pos, round(avg(v[pos]), 9) AS x FROM e JOIN a{i} USING (id), range(1, 65) t(pos) GROUP BY 1, 2) GROUP BY 1)")
+    return ", ".join(out) + f" SELECT list_no, CAST(pos - 1 AS BIGINT) AS pos, round(v[pos], 6) AS x FROM k{steps}, range(1, 65) t(pos)"
+
+
+@register("kmeans_full", lloyd_sql(10, 16))
 def _(spark, d):
-    return search.kmeans(base(spark, d), 16, 10).select("list_no", F.posexplode("v").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    found = search.kmeans(base(spark, d), 16, 10).select("list_no", F.posexplode("v").alias("pos", "x"))
+    return found.select("list_no", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
 @register("pad", f"WITH {E_} SELECT id, pos - 1 AS pos, CASE WHEN pos <= 64 THEN round(v[pos], 6) ELSE 0.0 END AS x FROM e, range(1, 81) t(pos)")
@@ -271,11 +283,11 @@ def _(spark, d):
     return x.groupBy("pos").agg(F.var_pop("x").alias("s")).agg(F.round(F.sum("s"), 6).alias("total"))
 
 
-@register("pca_apply")
+@register("pca_apply", f"WITH {E_}, {U_}, m AS (SELECT list(m ORDER BY pos) AS m FROM (SELECT pos, avg(x) AS m FROM u GROUP BY pos)), z AS (SELECT id, list_transform(range(1, 65), lambda i: v[i] - m[i]) AS v FROM e, m), p AS (SELECT q.id AS query_id, z.id, q.v AS a, z.v AS b FROM z, z q WHERE q.id % 20 = 0) SELECT query_id, id, round({total('a[i]*b[i]')}, 6) + 0.0 AS distance FROM p")
 def _(spark, d):
-    rows = base(spark, d)
-    out = projection.pca(rows, 8).apply(rows)
-    return out.select("id", F.posexplode("v").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+    rows = base(spark, d)  # all directions: inner products are those of the centred vectors, whatever the directions' signs
+    out = projection.pca(rows, 64).apply(rows)
+    return search.distances(asked(out), out, "ip").withColumn("distance", F.round("distance", 6) + 0.0)
 
 
 # ---- inverted lists: the centroids are the means of the labels
@@ -329,22 +341,34 @@ def _(spark, d):
     return unpacked(spark, d).groupBy("pos").agg(F.round(F.min("x"), 9).alias("lo"), F.round(F.max("x") - F.min("x"), 9).alias("width"))
 
 
+def bounds(rows: DataFrame) -> DataFrame:
+    """(low, width): one row of arrays, from one row a position."""
+    one = rows.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.min("x").alias("lo"), (F.max("x") - F.min("x")).alias("width"))
+    ordered = one.agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "width"))).alias("b"))  # a row for each dimension
+    return ordered.select(F.transform("b", lambda x: x["lo"]).alias("low"), F.transform("b", lambda x: x["width"]).alias("width"))
+
+
+def scalar_codes(rows: DataFrame, levels: int) -> DataFrame:
+    """(id, codes, low, width); the bounds are one row, sent to all tasks."""
+    code = F.transform("v", lambda x, i: V.scalar_code(x, F.get("low", i), F.get("width", i), levels))
+    return rows.crossJoin(F.broadcast(bounds(rows))).select("id", code.alias("codes"), "low", "width")
+
+
 for _bits in (4, 6, 8):
 
     @register(f"sq{_bits}_encode", f"WITH {E_}, {U_}, {RANGES} SELECT id, pos, CAST(floor(greatest(0.0, least(1.0, (x - lo) / width)) * {2**_bits - 1}) AS INTEGER) AS code FROM u JOIN r USING (pos)")
     def _(spark, d, levels=2**_bits - 1):
-        u = unpacked(spark, d)
-        r = u.groupBy("pos").agg(F.min("x").alias("lo"), (F.max("x") - F.min("x")).alias("width"))
-        return u.join(F.broadcast(r), "pos").select("id", "pos", V.scalar_code(F.col("x"), F.col("lo"), F.col("width"), levels).alias("code"))
+        return scalar_codes(base(spark, d), levels).select("id", F.posexplode("codes").alias("pos", "code")).withColumn("pos", F.col("pos").cast("long"))
+
 
+SQ_KNN = {b: f"WITH {E_}, {U_}, {RANGES}, k AS (SELECT id, list((floor(greatest(0.0, least(1.0, (x - lo) / width)) * {2**b - 1}) + 0.5) / {2**b - 1} * width + lo ORDER BY pos) AS v FROM u JOIN r USING (pos) GROUP BY id), d AS (SELECT query_id, id, {L2E} AS distance FROM (SELECT q.id AS query_id, k.id, q.v AS a, k.v AS b FROM e q, k WHERE q.id % 20 = 0)) {ranked_sql(False, 10)}" for b in (4, 6, 8)}
 
-@register("sq8_decode_knn", f"WITH {E_}, {U_}, {RANGES}, k AS (SELECT id, list((floor(greatest(0.0, least(1.0, (x - lo) / width)) * 255) + 0.5) / 255 * width + lo ORDER BY pos) AS v FROM u JOIN r USING (pos) GROUP BY id), d AS (SELECT query_id, id, {L2E} AS distance FROM (SELECT q.id AS query_id, k.id, q.v AS a, k.v AS b FROM e q, k WHERE q.id % 20 = 0)) {ranked_sql(False, 10)}")
+
+@register("sq8_decode_knn", SQ_KNN[8])
 def _(spark, d):
-    u = unpacked(spark, d)
-    r = u.groupBy("pos").agg(F.min("x").alias("lo"), (F.max("x") - F.min("x")).alias("width"))
-    code = u.join(F.broadcast(r), "pos").withColumn("y", (V.scalar_code(F.col("x"), F.col("lo"), F.col("width"), 255) + 0.5) / 255 * F.col("width") + F.col("lo"))
-    decoded = code.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "y"))), lambda s: s["y"]).alias("v"))
-    return rounded(search.knn(asked(base(spark, d)), decoded, 10, "l2"))
+    rows = base(spark, d)
+    decoded = F.transform("codes", lambda c, i: (c + 0.5) / 255 * F.get("width", i) + F.get("low", i))
+    return rounded(search.knn(asked(rows), scalar_codes(rows, 255).select("id", decoded.alias("v")), 10, "l2"))
 
 
 def bits_sql(lo: int) -> str:
@@ -356,12 +380,14 @@ def _(spark, d):
     return base(spark, d).select("id", V.sign_bits(F.col("v"), 0, 32).alias("low"), V.sign_bits(F.col("v"), 32, 64).alias("high"))
 
 
-@register("lsh_knn", f"WITH {E_}, c AS (SELECT id, {bits_sql(0)} AS low, {bits_sql(32)} AS high FROM e), d AS (SELECT q.id AS query_id, c.id, CAST(bit_count(xor(q.low, c.low)) + bit_count(xor(q.high, c.high)) AS DOUBLE) AS distance FROM c q, c WHERE q.id % 20 = 0) {ranked_sql(False, 10)}")
+LSH_KNN = f"WITH {E_}, c AS (SELECT id, {bits_sql(0)} AS low, {bits_sql(32)} AS high FROM e), d AS (SELECT q.id AS query_id, c.id, CAST(bit_count(xor(q.low, c.low)) + bit_count(xor(q.high, c.high)) AS DOUBLE) AS distance FROM c q, c WHERE q.id % 20 = 0) {ranked_sql(False, 10)}"
+
+
+@register("lsh_knn", LSH_KNN)
 def _(spark, d):
-    c = base(spark, d).select("id", V.sign_bits(F.col("v"), 0, 32).alias("low"), V.sign_bits(F.col("v"), 32, 64).alias("high"))
-    q = asked(c).select(F.col("id").alias("query_id"), F.col("low").alias("ql"), F.col("high").alias("qh"))
-    pairs = c.crossJoin(F.broadcast(q)).select("query_id", "id", (F.bit_count(F.col("low").bitwiseXOR(F.col("ql"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("qh")))).cast("double").alias("distance"))
-    return search.top_k(pairs, 10, False)
+    rows = base(spark, d)
+    found = scan.all_blocks(rows, asked(rows), lambda ids, q: scan.nearest(rows, lambda b: scan.hamming(scan.vectors_of(b.column("v")) >= 0, q >= 0), ids, 10, False))
+    return scan.ranked(found, 10, False)
 
 
 @register("lsh_median_thresholds", f"WITH {E_}, {U_} SELECT pos, round(median(x), 9) AS threshold FROM u GROUP BY pos")
@@ -375,28 +401,33 @@ PART_L2 = "list_sum(list_transform(range(m * 8 + 1, m * 8 + 9), lambda i: (a[i]-
 CODES = f"{E_}, {BOOK}, k AS (SELECT id, m, arg_min(code, (distance, code)) AS code FROM (SELECT id, m, code, {PART_L2} AS distance FROM (SELECT e.id, m, b.code, e.v AS a, b.v AS b FROM e, b, range(0, 8) t(m))) GROUP BY 1, 2)"
 
 
-def product_codes(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(code book (m, code, part), codes (id, m, code))."""
-    rows = base(spark, d)
-    first = rows.orderBy("id").limit(16).withColumn("code", F.row_number().over(Window.orderBy("id")) - 1)  # 16 rows
-    cut = lambda df, *c: df.select(*c, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda m: F.slice("v", m * 8 + 1, 8))).alias("m", "part"))
-    book = cut(first, "code")
-    near = cut(rows, "id").join(F.broadcast(book.select("m", "code", F.col("part").alias("bp"))), "m").select("id", "m", "code", V.l2(F.col("part"), F.col("bp")).alias("distance"))
-    return book, near.groupBy("id", "m").agg(F.min(F.struct("distance", "code"))["code"].alias("code"))
+def product_book(rows: DataFrame) -> codecs.Model:
+    """The parts of the 16 vectors of least id."""
+    first = np.array([r.v for r in rows.orderBy("id").limit(16).collect()], float)
+    return {f"book{m}": first[:, 8 * m : 8 * m + 8] for m in range(8)}
 
 
 @register("pq_encode_given_codebook", f"WITH {CODES} SELECT id, CAST(m AS BIGINT) AS m, code FROM k")
 def _(spark, d):
-    return product_codes(spark, d)[1].withColumn("m", F.col("m").cast("long"))
+    rows = base(spark, d)
+    numbers = codecs.numbered(parse("PQ8x4", 64).code, product_book(rows))("v")
+    return rows.select("id", F.posexplode(numbers).alias("m", "code")).withColumn("m", F.col("m").cast("long"))
+
 
+PQ_KNN = f"WITH {CODES}, lut AS (SELECT query_id, m, code, {PART_L2} AS part FROM (SELECT q.id AS query_id, m, b.code, q.v AS a, b.v AS b FROM e q, b, range(0, 8) t(m) WHERE q.id % 20 = 0)), d AS (SELECT query_id, id, round(sum(part), 9) AS distance FROM lut JOIN k USING (m, code) GROUP BY 1, 2) {ranked_sql(False, 10)}"
 
-@register("pq_adc_knn", f"WITH {CODES}, lut AS (SELECT query_id, m, code, {PART_L2} AS part FROM (SELECT q.id AS query_id, m, b.code, q.v AS a, b.v AS b FROM e q, b, range(0, 8) t(m) WHERE q.id % 20 = 0)), d AS (SELECT query_id, id, round(sum(part), 9) AS distance FROM lut JOIN k USING (m, code) GROUP BY 1, 2) {ranked_sql(False, 10)}")
+
+@register("pq_adc_knn", PQ_KNN)
 def _(spark, d):
-    book, codes = product_codes(spark, d)
-    q = asked(base(spark, d)).select(F.col("id").alias("query_id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda m: F.slice("v", m * 8 + 1, 8))).alias("m", "qp"))
-    lut = q.join(F.broadcast(book), "m").select("query_id", "m", "code", V.l2(F.col("qp"), F.col("part")).alias("part"))
-    pairs = codes.join(lut, ["m", "code"]).groupBy("query_id", "id").agg(F.round(F.sum("part"), 9).alias("distance"))
-    return rounded(search.top_k(pairs, 10, False))
+    rows, code = base(spark, d), parse("PQ8x4", 64).code
+    book = product_book(rows)
+    coded = rows.select("id", codecs.encoder(code, book)("v").alias("code"))
+
+    def of_block(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        tables = codecs.split_tables(q, book, code, False)
+        return scan.nearest(coded, lambda b: codecs.looked_up(tables, codecs.numbers_of(scan.codes_of(b.column("code")), code)).round(9), ids, 10, False)
+
+    return rounded(scan.ranked(scan.all_blocks(coded, asked(rows), of_block), 10, False))
 
 
 @register("kmeans_one_step", f"WITH {E_}, {BOOK}, s AS (SELECT id, arg_min(code, (distance, code)) AS cluster FROM (SELECT id, code, {L2E} AS distance FROM (SELECT e.id, b.code, e.v AS a, b.v AS b FROM e, b)) GROUP BY id), {U_} SELECT cluster, pos, round(avg(x), 6) AS x FROM u JOIN s USING (id) GROUP BY 1, 2")
@@ -630,10 +661,14 @@ def _(spark, d):
     return search.window_average(rows).select("doc_id", F.posexplode("v").alias("pos", "x")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
 
 
-@register("fp16_roundtrip")
+HALF = "CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END"  # of a 16-bit float; x is finite and not large
+
+
+@register("fp16_roundtrip", f"WITH {E_} SELECT id, CAST(pos - 1 AS BIGINT) AS pos, CAST(128 AS INTEGER) AS n_bytes, round({HALF}, 9) AS x FROM (SELECT id, pos, v[pos] AS x FROM e, range(1, 65) t(pos))")
 def _(spark, d):
     packed = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.packer(half=True)("embedding").alias("code"))
-    return packed.select("id", F.length("code").alias("n_bytes"), V.unpacker(half=True)("code").alias("v"))
+    out = packed.select("id", F.length("code").alias("n_bytes"), F.posexplode(V.unpacker(half=True)("code")).alias("pos", "x"))
+    return out.select("id", F.col("pos").cast("long").alias("pos"), "n_bytes", F.round(F.col("x").cast("double"), 9).alias("x"))
 
 
 @register("fp32_roundtrip", f"WITH {E_} SELECT id, CAST(pos - 1 AS BIGINT) AS pos, round(v[pos], 9) AS x FROM e, range(1, 65) t(pos)")
@@ -679,15 +714,27 @@ def _(spark, d):
     return encoded(spark, d, pieces.word_parts(set(word_scores(spark, d))))
 
 
-@register("chunk_by_separator")
+CHUNKS = """WITH p AS (SELECT doc_id, text, string_split(text, '. ') AS p FROM documents), r AS (SELECT doc_id, list_reduce(list_prepend('', list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i < len(p) THEN '. ' || chr(2) ELSE '' END)),
+  lambda acc, x: acc || replace(x, chr(2), '') || CASE WHEN contains(x, chr(2)) AND length(string_split(acc, chr(1))[-1]) + length(x) - 1 > 200 THEN chr(1) ELSE '' END) AS t FROM p WHERE text <> ''),
+q AS (SELECT doc_id, string_split(t, chr(1)) AS q FROM r), c AS (SELECT doc_id, CASE WHEN len(q) = 1 THEN q ELSE list_append(q[1 : len(q) - 2], q[len(q) - 1] || q[len(q)]) END AS c FROM q)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk, CAST(length(c[i]) AS INTEGER) AS n_chars, md5(c[i]) AS digest FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)"""
+
+
+@register("chunk_by_separator", CHUNKS)
 def _(spark, d):
     c = table(spark, d, "documents").select("doc_id", F.posexplode(pieces.over_batches(pieces.chunks(". ", 200))("text")).alias("chunk", "t"))
     return c.select("doc_id", "chunk", F.length("t").alias("n_chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
 
 
 # ---- the index as a whole: kinds that lose nothing equal exact search, the others are tested for recall
-EXACT_KINDS = {"index_flat": "Flat", "index_ivf_all_lists": "IVF8,Flat", "index_hnsw": "IDMap,HNSW32,Flat", "index_rotated": "Pad80,RR80,Flat"}
-CODED_KINDS = {"index_sq8": "IVF8,SQ8", "index_pq_rflat": "IVF8,PQ16x6,RFlat", "index_opq": "OPQ16,PQ16x6", "index_rq": "RQ6x6", "index_rabitq": "RaBitQ", "index_pca_sq": "PCAR32,SQ8", "index_lsh": "LSH256r", "index_itq": "ITQ,LSH", "index_sqfp16": "SQfp16"}
+EXACT_KINDS = {"index_flat": "Flat", "index_ivf_all_lists": "IVF8,Flat", "index_hnsw": "IDMap,HNSW32,Flat", "index_nsg": "NSG32", "index_rotated": "Pad80,RR80,Flat", "index_dedup": "IVF4,FlatDedup", "index_imi": "IMI2x2,Flat", "index_coarse_graph": "IVF8_HNSW16,Flat", "index_opq": "OPQ16,Flat,RFlat", "index_itq": "ITQ,Flat,RFlat", "index_pca": "PCAR64,Flat,RFlat"}
+#: Kinds that lose something, with what SQL makes of the same training.
+CODED_KINDS = {
+    "index_sq8": ("SQ8", SQ_KNN[8]), "index_sq6": ("SQ6", SQ_KNN[6]), "index_sq4": ("SQ4", SQ_KNN[4]), "index_lsh": ("LSH", LSH_KNN),
+    "index_lsh_thresholds": ("LSH64t", LSH_KNN.replace("FROM e)", "FROM (SELECT id, list_transform(range(1, 65), lambda i: v[i] - t[i]) AS v FROM e, (SELECT list(m ORDER BY pos) AS t FROM (SELECT pos, median(v[pos]) AS m FROM e, range(1, 65) t(pos) GROUP BY pos))))")),
+    "index_sqfp16": ("SQfp16", f"WITH {E_}, h AS (SELECT id, list({HALF} ORDER BY pos) AS v FROM (SELECT id, pos, v[pos] AS x FROM e, range(1, 65) t(pos)) GROUP BY id), d AS (SELECT query_id, id, {L2E} AS distance FROM (SELECT q.id AS query_id, h.id, q.v AS a, h.v AS b FROM e q, h WHERE q.id % 20 = 0)) {ranked_sql(False, 10)}"),
+    "index_rabitq": ("RaBitQ", f"WITH {E_}, {U_}, m AS (SELECT pos, avg(x) AS c FROM u GROUP BY pos), z AS (SELECT id, pos, c, x - c AS z FROM u JOIN m USING (pos)), f AS (SELECT id, sum(z * z) / sum(abs(z)) AS f FROM z GROUP BY id), k AS (SELECT id, list(c + CASE WHEN z > 0 THEN f ELSE -f END ORDER BY pos) AS v FROM z JOIN f USING (id) GROUP BY id), d AS (SELECT query_id, id, {L2E} AS distance FROM (SELECT q.id AS query_id, k.id, q.v AS a, k.v AS b FROM e q, k WHERE q.id % 20 = 0)) {ranked_sql(False, 10)}"),
+}
 
 
 def index_of(spark, d, description: str):
@@ -695,8 +742,64 @@ def index_of(spark, d, description: str):
     return (index.train(rows) if index.spec.needs_training else index).add(rows)
 
 
-for _name, _text in (EXACT_KINDS | CODED_KINDS).items():
+for _name, _text in EXACT_KINDS.items():
+
+    @register(_name, f"{pairs_sql('l2')} {ranked_sql(False, 10)}")
+    def _(spark, d, description=_text):
+        return rounded(index_of(spark, d, description).search(asked(base(spark, d)), 10, nprobe=16, width=256))
+
+
+for _name, (_text, _sql) in CODED_KINDS.items():
 
-    @register(_name, f"{pairs_sql('l2')} {ranked_sql(False, 10)}" if _name in EXACT_KINDS else None)
+    @register(_name, _sql)
     def _(spark, d, description=_text):
-        return rounded(index_of(spark, d, description).search(asked(base(spark, d)), 10, nprobe=8))
+        return rounded(index_of(spark, d, description).search(asked(base(spark, d)), 10))
+
+
+@register("index_pq", PQ_KNN)
+def _(spark, d):
+    index = replace(vector_index.open_factory("PQ8x4", 64), model=product_book(base(spark, d)))
+    return rounded(index.add(base(spark, d)).search(asked(base(spark, d)), 10))
+
+
+# lists of the nearest label means; product codes of what the centroids leave, the book from the 16 vectors of least id
+IVFPQ = f"""{CENTROIDS}, own AS (SELECT id, arg_min(list_no, (d, list_no)) AS list_no FROM (SELECT id, list_no, {L2E} AS d FROM (SELECT e.id, c.list_no, e.v AS a, c.v AS b FROM e, c)) GROUP BY id),
+r AS MATERIALIZED (SELECT e.id, own.list_no, list_transform(range(1, 65), lambda i: e.v[i] - c.v[i]) AS v FROM e JOIN own USING (id) JOIN c ON c.list_no = own.list_no),
+b AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS code, v FROM r ORDER BY id LIMIT 16),
+k AS MATERIALIZED (SELECT id, any_value(list_no) AS list_no, m, arg_min(code, (distance, code)) AS code FROM (SELECT id, list_no, m, code, {PART_L2} AS distance FROM (SELECT r.id, r.list_no, m, b.code, r.v AS a, b.v AS b FROM r, b, range(0, 8) t(m))) GROUP BY id, m),
+pr AS (SELECT query_id, list_no, v FROM (SELECT query_id, list_no, v, row_number() OVER (PARTITION BY query_id ORDER BY d, list_no) AS p FROM (SELECT q.id AS query_id, c.list_no, list_transform(range(1, 65), lambda i: q.v[i] - c.v[i]) AS v, list_sum(list_transform(range(1, 65), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i]))) AS d FROM e q, c WHERE q.id % 20 = 0)) WHERE p <= 3),
+d AS (SELECT query_id, id, sum(part) AS distance FROM (SELECT query_id, id, m, {PART_L2} AS part FROM (SELECT pr.query_id, k.id, k.m, pr.v AS a, b.v AS b FROM pr JOIN k USING (list_no) JOIN b USING (code))) GROUP BY 1, 2)"""
+
+
+@register("index_ivfpq", f"WITH {IVFPQ} {ranked_sql(False, 10)}")
+def _(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", V.doubles("embedding").alias("v"))
+    centres = np.array([r.v for r in search.centroids_of(rows, "label").orderBy("list_no").collect()], float)
+    index = vector_index.open_factory(f"IVF{len(centres)},PQ8x4", 64)
+    first = np.array([r.v for r in rows.orderBy("id").limit(16).collect()], float)
+    coarse = vector_index.Coarse((centres,))
+    rest = first - coarse.vector(coarse.number(first))
+    index = replace(index, coarse=coarse, model={f"book{m}": rest[:, 8 * m : 8 * m + 8] for m in range(8)})
+    return rounded(index.add(rows.select("id", "v")).search(asked(rows), 10, nprobe=3))
+
+
+# two books of given vectors; the five best sums are kept after the first
+RQ = f"""{E_}, b AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS n, v FROM e ORDER BY id LIMIT 32), b1 AS (SELECT n AS i, v FROM b WHERE n < 16), b2 AS (SELECT n - 16 AS j, list_transform(v, lambda x: x / 2) AS v FROM b WHERE n >= 16),
+s AS MATERIALIZED (SELECT id, i, v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, i) AS place FROM (SELECT e.id, b1.i, list_transform(range(1, 65), lambda x: e.v[x] - b1.v[x]) AS v, list_sum(list_transform(range(1, 65), lambda x: (e.v[x] - b1.v[x]) * (e.v[x] - b1.v[x]))) AS d FROM e, b1)) WHERE place <= 5),
+k AS (SELECT id, arg_min(i, (d, i, j)) AS i, arg_min(j, (d, i, j)) AS j FROM (SELECT s.id, s.i, b2.j, list_sum(list_transform(range(1, 65), lambda x: (s.v[x] - b2.v[x]) * (s.v[x] - b2.v[x]))) AS d FROM s, b2) GROUP BY id),
+y AS (SELECT k.id, list_transform(range(1, 65), lambda x: b1.v[x] + b2.v[x]) AS v FROM k JOIN b1 USING (i) JOIN b2 USING (j)),
+d AS (SELECT query_id, id, {L2E} AS distance FROM (SELECT q.id AS query_id, y.id, q.v AS a, y.v AS b FROM e q, y WHERE q.id % 20 = 0))"""
+
+
+@register("index_rq", f"WITH {RQ} {ranked_sql(False, 10)}")
+def _(spark, d):
+    rows = base(spark, d)
+    first = np.array([r.v for r in rows.orderBy("id").limit(32).collect()], float)
+    index = replace(vector_index.open_factory("RQ2x4", 64), model={"book0": first[:16], "book1": first[16:] / 2})
+    return rounded(index.add(rows).search(asked(rows), 10))
+
+
+@register("index_pq_rflat", PQ_KNN.replace(ranked_sql(False, 10), f", c AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS r FROM d) WHERE r <= 40), d2 AS (SELECT query_id, id, {L2E} AS distance FROM (SELECT c.query_id, c.id, q.v AS a, x.v AS b FROM c JOIN e q ON q.id = c.query_id JOIN e x ON x.id = c.id)) {ranked_sql(False, 10, 'd2')}"))
+def _(spark, d):
+    index = replace(vector_index.open_factory("PQ8x4,RFlat", 64), model=product_book(base(spark, d)), refine_model={})
+    return rounded(index.add(base(spark, d)).search(asked(base(spark, d)), 10, k_factor=4))

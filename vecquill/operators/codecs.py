@@ -291,6 +291,11 @@ def encoder(code: Code, model: Model) -> Callable[[Column], Column]:
     return _mapped(lambda rows: [c.tobytes() for c in encode(code, model, np.array(rows, float))], "binary")
 
 
+def numbered(code: Code, model: Model) -> Callable[[Column], Column]:
+    """Vectors to the numbers of their code; null stays null."""
+    return _mapped(lambda rows: list(_unpack(encode(code, model, np.array(rows, float)), code.sizes).astype(np.int32)), "array<int>")
+
+
 def decoder(code: Code, model: Model, d: int) -> Callable[[Column], Column]:
     """Bytes to vectors; null stays null."""
     return _mapped(lambda rows: list(decode(code, model, np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), d)), "array<double>")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecquill.functions.vectors import doubles, l2, metric, normalized
+from vecquill.operators import scan
+from vecquill.functions.vectors import ALIASES, doubles, inner_product, metric, norm, normalized
 
-#: Rows of a query block that may be broadcast; more queries are joined without a hint.
+#: Rows of a query block that is broadcast; a larger stated set is taken in several blocks.
 BROADCAST_QUERIES = 10_000
 
 
@@ -16,13 +22,20 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding"
 
 
 def distances(queries: DataFrame, base: DataFrame, name: str = "ip", p: float | None = None, where: Column | None = None) -> DataFrame:
-    """(query_id, id, distance) of a stated query set against all base rows; ``where`` selects base ids before ranking."""
+    """(query_id, id, distance) of a stated query set against all base rows; ``where`` selects base ids before ranking.
+
+    The queries are counted when the plan is made, for their blocks; base rows are neither counted nor shuffled.
+    """
     f, _ = metric(name, p)
     q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        q = F.broadcast(q)
     rows = base if where is None else base.where(where)
-    return rows.crossJoin(q).select("query_id", "id", f(F.col("qv"), F.col("v")).alias("distance"))
+    if ALIASES.get(name.lower(), name.lower()) == "cosine":  # lengths once a row, not once a pair
+        unit = lambda df, v: df.withColumn("__zero", norm(F.col(v)) == 0).withColumn(v, normalized(F.col(v)))
+        q, rows = unit(q, "qv").withColumnRenamed("__zero", "__qzero"), unit(rows, "v")
+        f = lambda a, b: F.when(F.col("__zero") & F.col("__qzero"), 1.0).otherwise(inner_product(a, b))
+    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
+    parts = [rows.crossJoin(F.broadcast(q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, (j.select("query_id", "id", f(F.col("qv"), F.col("v")).alias("distance")) for j in parts))
 
 
 def top_k(pairs: DataFrame, k: int, larger: bool) -> DataFrame:
@@ -52,24 +65,55 @@ def refine(candidates: DataFrame, queries: DataFrame, base: DataFrame, k: int, n
     return top_k(distances_of(candidates, queries, base, name), k, metric(name)[1])
 
 
-def kmeans(rows: DataFrame, k: int, steps: int = 25) -> DataFrame:
-    """(list_no, v): Lloyd's steps from the k rows of least id; ties go to the smaller list, an empty list keeps its centroid.
+def _sums(rows: DataFrame, centres: np.ndarray, spherical: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, sums) of the rows of each list; one table a task comes to the driver."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = np.zeros(len(centres)), np.zeros_like(centres)
+        for b in it:
+            if b.num_rows:
+                x = scan.vectors_of(b.column("v"))
+                own = nearest_list(x, centres, spherical)
+                n += np.bincount(own, minlength=len(centres))
+                np.add.at(total, own, x)
+        yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["n", "total"])
+
+    n, total = np.zeros(len(centres)), np.zeros_like(centres)
+    for r in rows.where("v is not null").select(F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "n binary, total binary").toLocalIterator():
+        n += np.frombuffer(r.n)
+        total += np.frombuffer(r.total).reshape(centres.shape)
+    return n, total
+
 
-    The k centroids pass through the driver after each step, so the plan does not grow and each step is one pass over
-    the rows, whose sums are combined before the shuffle.
+def nearest_list(x: np.ndarray, centres: np.ndarray, inner: bool = False) -> np.ndarray:
+    """The nearest centre of each row, the first of equals."""
+    d = -scan.inner(x, centres) if inner else scan.squared_l2(x, centres)
+    return d.argmin(1)
+
+
+def kmeans(rows: DataFrame, k: int, steps: int = 25, spherical: bool = False) -> DataFrame:
+    """(list_no, v): Lloyd's steps from the k rows of least id; ties go to the smaller list, an empty list takes half of the
+    largest. spherical: nearest by inner product, centres of length 1.
+
+    The k centroids pass through the driver after each step, so the plan does not grow; each step is one pass over the
+    rows, without a shuffle.
     """
     spark = rows.sparkSession
-    centres = {i: [float(x) for x in r.v] for i, r in enumerate(rows.orderBy("id").limit(k).collect())}
-    schema = "list_no int, v array<double>"
-    for _ in range(steps if centres else 0):
-        book = F.broadcast(spark.createDataFrame([([(i, v) for i, v in centres.items()],)], "book array<struct<list_no: int, v: array<double>>>"))
-        near = F.array_min(F.transform("book", lambda c: F.struct(l2(F.col("v"), c["v"]).alias("distance"), c["list_no"].alias("list_no"))))["list_no"]
-        moved = centroids_of(rows.crossJoin(book).select(near.alias("list_no"), "v"), "list_no")  # book is one row
-        now = centres | {r.list_no: list(r.v) for r in moved.collect()}
-        if now == centres:
+    centres = np.round(np.array([r.v for r in rows.where("v is not null").orderBy("id").limit(k).collect()], float), 9)
+    for _ in range(steps if len(centres) else 0):
+        n, total = _sums(rows, centres, spherical)
+        now = centres.copy()
+        now[n > 0] = np.round(total[n > 0] / n[n > 0, None], 9)
+        for empty in np.flatnonzero(n == 0):
+            big = int(n.argmax())
+            now[empty], now[big] = now[big] * (1 + 1 / 1024), now[big] * (1 - 1 / 1024)
+            n[empty] = n[big] = n[big] / 2
+        if spherical:
+            now = np.round(now / np.maximum(np.linalg.norm(now, axis=1, keepdims=True), 1e-12), 9)
+        if (now == centres).all():
             break
         centres = now
-    return spark.createDataFrame(list(centres.items()), schema)
+    return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list_no int, v array<double>")
 
 
 def centroids_of(rows: DataFrame, key: str, digits: int | None = 9) -> DataFrame:
@@ -78,10 +122,39 @@ def centroids_of(rows: DataFrame, key: str, digits: int | None = 9) -> DataFrame
     return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"] if digits is None else F.round(s["x"], digits)).alias("v")).withColumnRenamed(key, "list_no")
 
 
+#: Numbers of the centroids that travel with a task; more are taken in blocks.
+CENTROID_NUMBERS = 4_000_000
+
+
 def assign(rows: DataFrame, centroids: DataFrame, name: str = "l2", k: int = 1) -> DataFrame:
-    """(id, list_no, probe): the k nearest centroids of each row."""
-    c = centroids.select(F.col("list_no").alias("id"), "v")
-    return knn(rows, c, k, name).select(F.col("query_id").alias("id"), F.col("id").alias("list_no"), F.col("rank").alias("probe"))
+    """(id, list_no, probe): the k nearest centroids (list_no, v) of each row, by distance, then list. The rows are not
+    shuffled; centroids travel with the tasks, in blocks if there are very many."""
+    table = sorted((r.list_no, r.v) for r in centroids.select("list_no", F.col("v").cast("array<double>").alias("v")).collect())
+    numbers, book = np.array([c for c, _ in table], np.int64), np.array([v for _, v in table], float)
+    larger = metric(name)[1]
+    per = max(1, CENTROID_NUMBERS // max(1, book.shape[1] if len(book) else 1))
+
+    def of_block(part: np.ndarray, x_numbers: np.ndarray):
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in it:
+                for at in range(0, whole.num_rows, scan.ROWS_AT_ONCE):
+                    b = whole.slice(at, scan.ROWS_AT_ONCE)
+                    x = scan.vectors_of(b.column("v"))
+                    d = (-scan.inner(x, part) if larger else scan.squared_l2(x, part)).T
+                    s, c = scan.least(d, np.broadcast_to(x_numbers[:, None], d.shape), min(k, len(part)))
+                    ids = np.broadcast_to(b.column("id").to_numpy(zero_copy_only=False).astype(np.int64)[None, :], s.shape)
+                    rank = np.broadcast_to(np.arange(1, len(s) + 1, dtype=np.int32)[:, None], s.shape)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids.T.ravel()), pa.array(c.T.ravel()), pa.array(rank.T.ravel()), pa.array((-s if larger else s).T.ravel())], names=["id", "list_no", "probe", "distance"])
+
+        return run
+
+    base = rows.where("v is not null").select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
+    found = [base.mapInArrow(of_block(book[i : i + per], numbers[i : i + per]), "id long, list_no long, probe int, distance double") for i in range(0, len(book), per)]
+    list_type = dict(centroids.dtypes)["list_no"]
+    if len(found) == 1:
+        return found[0].select("id", F.col("list_no").cast(list_type).alias("list_no"), "probe")
+    pairs = reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], "id long, list_no long, probe int, distance double")
+    return top_k(pairs.select(F.col("id").alias("query_id"), F.col("list_no").alias("id"), "distance"), k, larger).select(F.col("query_id").alias("id"), F.col("id").cast(list_type).alias("list_no"), F.col("rank").alias("probe"))
 
 
 def probe(queries: DataFrame, lists: DataFrame, centroids: DataFrame, nprobe: int, name: str = "l2") -> DataFrame:
