@@ -502,7 +502,7 @@ def _(spark, d):
 
 
 def filled_sql(form: str) -> str:
-    return "'" + form.replace("'", "''").replace("{role}", "' || role || '").replace("{text}", "' || text || '").replace("{trim}", f"' || trim(text, '{chat.BLANKS}') || '").replace("{open}", "' || opens || '").replace("{pending}", "' || pending || '") + "'"
+    return "'" + form.replace("'", "''").replace("{role}", "' || role || '").replace("{Role}", "' || upper(substr(role, 1, 1)) || substr(role, 2) || '").replace("{ROLE}", "' || upper(role) || '").replace("{text}", "' || text || '").replace("{trim}", f"' || trim(text, '{chat.BLANKS}') || '").replace("{open}", "' || opens || '").replace("{pending}", "' || pending || '") + "'"
 
 
 def chat_sql(message: str, opening: str, start: str = "") -> str:
@@ -517,13 +517,26 @@ for _name, (_form, _opening) in chat.TEMPLATES.items():
 
 
 for _name, (_start, _forms, _opening) in chat.BY_ROLE.items():
-    _case = "CASE " + " ".join(f"WHEN role = '{r}' THEN {filled_sql(x)}" for r, x in _forms.items()) + " ELSE '' END"
+    _case = "CASE WHEN false THEN '' " + " ".join(f"WHEN role = '{r}' THEN {filled_sql(x)}" for r, x in _forms.items() if r != "*") + f" ELSE {filled_sql(_forms.get('*', ''))} END"
 
     @register(f"chat_{_name}", chat_sql(_case, _opening, _start))
     def _(spark, d, name=_name):
         return chat.prompts(table(spark, d, "conversations"), name)
 
 
+#: Formats whose prompts themselves hold the marks of their templates.
+MARKED = ["chatml", "phi4", "gemma", "openchat", "command_r", "llama3", "minicpm", "granite", "megrez", "llama4", "kimi_k2", "seed_oss"]
+
+
+@register("chat_detect", " UNION ALL ".join(f"SELECT '{n}' AS format, '{n}' AS detected, count(DISTINCT conv_id) AS n FROM conversations" for n in MARKED))
+def _(spark, d):
+    made = [chat.prompts(table(spark, d, "conversations"), n).select(F.lit(n).alias("format"), chat.detected(F.col("prompt")).alias("detected")) for n in MARKED]
+    rows = made[0]
+    for m in made[1:]:
+        rows = rows.unionByName(m)
+    return rows.groupBy("format", "detected").agg(F.count("*").alias("n"))
+
+
 def placed_sql(start: str, turns: tuple[str, str], forms: dict[str, str], opening: str) -> str:
     """The prompts of a format whose messages depend on their place; the roles of the table are user, system, assistant."""
     whole = sorted({r.partition("@")[0] for r in forms} - {"*"})

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Per-message forms of the named formats and the opening of the assistant's turn.
-# {role} and {text} stand for the message.
+# {role} and {text} stand for the message, {trim} for its text without blanks at the ends, {Role} for the role with a
+# capital first letter, {ROLE} for the role in capitals.
 TEMPLATES: dict[str, tuple[str, str]] = {
     "chatml": ("<|im_start|>{role}\n{text}<|im_end|>\n", "<|im_start|>assistant\n"),
     "llama3": ("<|start_header_id|>{role}<|end_header_id|>\n\n{trim}<|eot_id|>", "<|start_header_id|>assistant<|end_header_id|>\n\n"),
@@ -16,26 +17,26 @@ TEMPLATES: dict[str, tuple[str, str]] = {
     "phi3": ("<|{role}|>\n{text}<|end|>\n", "<|assistant|>\n"),
     "falcon3": ("<|{role}|>\n{text}\n", "<|assistant|>\n"),
     "phi4": ("<|im_start|>{role}<|im_sep|>{text}<|im_end|>", "<|im_start|>assistant<|im_sep|>"),
-    "granite": ("<|start_of_role|>{role}<|end_of_role|>{text}<|end_of_text|>\n", "<|start_of_role|>assistant<|end_of_role|>\n"),
+    "glmedge": ("<|{role}|>\n{text}", "<|assistant|>"),
     "megrez": ("<|role_start|>{role}<|role_end|>{text}<|turn_end|>", "<|role_start|>assistant<|role_end|>"),
     "llama4": ("<|header_start|>{role}<|header_end|>\n\n{trim}<|eot|>", "<|header_start|>assistant<|header_end|>\n\n"),
 }
 
 
 # Formats whose messages depend on the role: what stands before all messages, each role's form, the opening.
-# A role without a form is left out.
+# * is every other role; without it, a role without a form is left out.
 BY_ROLE: dict[str, tuple[str, dict[str, str], str]] = {
-    "openchat": ("", {"system": "{text}<|end_of_turn|>", "user": "GPT4 Correct User: {text}<|end_of_turn|>", "assistant": "GPT4 Correct Assistant: {text}<|end_of_turn|>"}, "GPT4 Correct Assistant:"),
+    "openchat": ("", {"system": "{text}<|end_of_turn|>", "*": "GPT4 Correct {Role}: {text}<|end_of_turn|>"}, "GPT4 Correct Assistant:"),
     "vicuna": ("", {"system": "{text}\n\n", "user": "USER: {text}\n", "assistant": "ASSISTANT: {text}</s>\n"}, "ASSISTANT:"),
     "vicuna_orca": ("", {"system": "SYSTEM: {text}\n", "user": "USER: {text}\n", "assistant": "ASSISTANT: {text}</s>\n"}, "ASSISTANT:"),
     "deepseek": ("", {"system": "{text}", "user": "### Instruction:\n{text}\n", "assistant": "### Response:\n{text}\n<|EOT|>\n"}, "### Response:\n"),
     "deepseek3": ("", {"system": "{text}\n\n", "user": "<｜User｜>{text}", "assistant": "<｜Assistant｜>{text}<｜end▁of▁sentence｜>"}, "<｜Assistant｜>"),
     "command_r": ("", {"system": "<|START_OF_TURN_TOKEN|><|SYSTEM_TOKEN|>{trim}<|END_OF_TURN_TOKEN|>", "user": "<|START_OF_TURN_TOKEN|><|USER_TOKEN|>{trim}<|END_OF_TURN_TOKEN|>", "assistant": "<|START_OF_TURN_TOKEN|><|CHATBOT_TOKEN|>{trim}<|END_OF_TURN_TOKEN|>"}, "<|START_OF_TURN_TOKEN|><|CHATBOT_TOKEN|>"),
-    "chatglm3": ("[gMASK]sop", {"system": "<|system|>\n {text}", "user": "<|user|>\n {text}", "assistant": "<|assistant|>\n {text}"}, "<|assistant|>"),
-    "chatglm4": ("[gMASK]<sop>", {"system": "<|system|>\n{text}", "user": "<|user|>\n{text}", "assistant": "<|assistant|>\n{text}"}, "<|assistant|>\n"),
-    "glmedge": ("", {"system": "<|system|>\n{text}", "user": "<|user|>\n{text}", "assistant": "<|assistant|>\n{text}"}, "<|assistant|>"),
+    "chatglm3": ("[gMASK]sop", {"*": "<|{role}|>\n {text}"}, "<|assistant|>"),
+    "chatglm4": ("[gMASK]<sop>", {"*": "<|{role}|>\n{text}"}, "<|assistant|>\n"),
     "exaone3": ("", {"system": "[|system|]{trim}[|endofturn|]\n", "user": "[|user|]{trim}\n", "assistant": "[|assistant|]{trim}[|endofturn|]\n"}, "[|assistant|]"),
-    "bailing": ("", {"system": "<role>SYSTEM</role>{text}", "user": "<role>HUMAN</role>{text}", "assistant": "<role>ASSISTANT</role>{text}"}, "<role>ASSISTANT</role>"),
+    "bailing": ("", {"user": "<role>HUMAN</role>{text}", "*": "<role>{ROLE}</role>{text}"}, "<role>ASSISTANT</role>"),
+    "granite": ("", {"assistant_tool_call": "<|start_of_role|>{role}<|end_of_role|><|tool_call|>{text}<|end_of_text|>\n", "*": "<|start_of_role|>{role}<|end_of_role|>{text}<|end_of_text|>\n"}, "<|start_of_role|>assistant<|end_of_role|>\n"),
     "yandex": ("", {"user": " Пользователь: {text}\n\n", "assistant": " Ассистент: {text}\n\n"}, " Ассистент:[SEP]"),
 }
 
@@ -76,8 +77,8 @@ BLANKS = " \t\n\v\f\r"
 
 def _filled(form: str, **more: Column) -> Column:
     """The form with role, text and the other values in their places; nulls count as empty."""
-    values = {"role": F.col("role"), "text": F.col("text"), "trim": F.btrim(F.col("text"), F.lit(BLANKS))} | more
-    parts = [F.coalesce(values[p[1:-1]], F.lit("")) if p[1:-1] in values else F.lit(p) for p in re.split(r"(\{[a-z]+\})", form) if p]
+    values = {"role": F.col("role"), "text": F.col("text"), "trim": F.btrim(F.col("text"), F.lit(BLANKS)), "Role": F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 1 << 30)), "ROLE": F.upper("role")} | more
+    parts = [F.coalesce(values[p[1:-1]], F.lit("")) if p[0] == "{" and p[1:-1] in values else F.lit(p) for p in re.split(r"(\{[A-Za-z]+\})", form) if p]
     return F.concat(F.lit(""), *parts)
 
 
@@ -117,7 +118,9 @@ def prompts(conversations: DataFrame, template: str, add_assistant: bool = True)
         start, message = "", _filled(form)
     elif template in BY_ROLE:
         start, forms, opening = BY_ROLE[template]
-        message = F.coalesce(*(F.when(F.col("role") == role, _filled(form)) for role, form in forms.items()), F.lit(""))
+        message = _filled(forms["*"]) if "*" in forms else F.lit("")
+        for role, form in reversed(forms.items()):
+            message = message if role == "*" else F.when(F.col("role") == role, _filled(form)).otherwise(message)
     elif template in BY_PLACE:
         start, turns, forms, opening = BY_PLACE[template]
         rows = _placed(conversations, turns, forms)
@@ -127,3 +130,35 @@ def prompts(conversations: DataFrame, template: str, add_assistant: bool = True)
         rows = conversations.select("conv_id", "turn", message.alias("m"))
     joined = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda s: s["m"]), "").alias("prompt"))
     return joined.withColumn("prompt", F.concat(F.lit(start), "prompt", F.lit(opening if add_assistant else "")))
+
+
+# By which marks in the text of a model's template its format is told; the first row whose marks all occur
+# holds. A mark with ^ must begin the text.
+_INSTRUCT = [
+    ("mistral_v7", ("[SYSTEM_PROMPT]",)), ("mistral_v1", ("' [INST] ' + system_message", " [INST]")), ("mistral_v1", ("[AVAILABLE_TOOLS]", " [INST]")),
+    ("mistral_v3_tekken", ("' [INST] ' + system_message", "\"[INST]\"")), ("mistral_v3_tekken", ("[AVAILABLE_TOOLS]", "\"[INST]\"")), ("mistral_v3", ("' [INST] ' + system_message",)), ("mistral_v3", ("[AVAILABLE_TOOLS]",)),
+    ("llama2_sys_strip", ("content.strip()",)), ("llama2_sys_bos", ("bos_token + '[INST]",)), ("llama2_sys", ("<<SYS>>",)), ("llama2", ()),
+]
+MARKS: list[tuple[str, tuple[str, ...]]] = [
+    ("phi4", ("<|im_start|>", "<|im_sep|>")), ("smolvlm", ("<|im_start|>", "<end_of_utterance>")), ("chatml", ("<|im_start|>",)),
+    *((name, (lead, *marks)) for name, marks in _INSTRUCT for lead in ("^mistral", "[INST]")),
+    ("phi3", ("<|assistant|>", "<|end|>")), ("chatglm4", ("[gMASK]<sop>",)), ("falcon3", ("<|assistant|>", "<|user|>", "</s>")), ("glmedge", ("<|assistant|>", "<|user|>")), ("glmedge", ("<|{{ item['role'] }}|>", "<|begin_of_image|>")),
+    ("zephyr", ("<|user|>", "<|endoftext|>")), ("monarch", ("bos_token + message['role']",)), ("gemma", ("<start_of_turn>",)), ("orion", ("'\\n\\nAssistant: ' + eos_token",)), ("openchat", ("GPT4 Correct ",)),
+    ("vicuna_orca", ("USER: ", "ASSISTANT: ", "SYSTEM: ")), ("vicuna", ("USER: ", "ASSISTANT: ")), ("deepseek", ("### Instruction:", "<|EOT|>")), ("command_r", ("<|START_OF_TURN_TOKEN|>", "<|USER_TOKEN|>")), ("llama3", ("<|start_header_id|>", "<|end_header_id|>")),
+    ("chatglm3", ("[gMASK]sop",)), ("minicpm", ("<用户>",)), ("deepseek2", ("'Assistant: ' + message['content'] + eos_token",)), ("deepseek3", ("<｜Assistant｜>", "<｜User｜>", "<｜end▁of▁sentence｜>")), ("exaone4", ("[|system|]", "[|assistant|]", "[|endofturn|]", "[|tool|]")), ("exaone3", ("[|system|]", "[|assistant|]", "[|endofturn|]")),
+    ("rwkv_world", ("rwkv-world",)), ("rwkv_world", ("{{- 'User: ' + message['content']|trim + '\\n\\n' -}}",)), ("granite", ("<|start_of_role|>",)), ("gigachat", ("message['role'] + additional_special_tokens[0] + message['content'] + additional_special_tokens[1]",)), ("megrez", ("<|role_start|>",)), ("yandex", (" Ассистент:",)), ("bailing", ("<role>ASSISTANT</role>", "'HUMAN'")),
+    ("llama4", ("<|header_start|>", "<|header_end|>")), ("dots1", ("<|endofuserprompt|>",)), ("hunyuan_moe", ("<|extra_0|>", "<|extra_4|>")), ("gpt_oss", ("<|start|>", "<|channel|>")), ("hunyuan_dense", ("<｜hy_Assistant｜>", "<｜hy_place▁holder▁no▁3｜>")), ("kimi_k2", ("<|im_assistant|>assistant<|im_middle|>",)), ("seed_oss", ("<seed:bos>",)),
+]
+
+
+def detected(template: Column) -> Column:
+    """The format that a template's name or text belongs to; null if none is known."""
+    names = sorted({*TEMPLATES, *BY_ROLE, *BY_PLACE})
+    out = F.when(F.replace(template, F.lit("-"), F.lit("_")).isin(*names), F.replace(template, F.lit("-"), F.lit("_")))
+    for name, marks in MARKS:
+        here = [F.startswith(template, F.lit(m[1:])) if m[0] == "^" else F.contains(template, F.lit(m)) for m in marks]
+        cond = here[0]
+        for c in here[1:]:
+            cond = cond & c
+        out = out.when(cond, F.lit(name))
+    return out
