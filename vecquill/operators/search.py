@@ -199,3 +199,44 @@ def window_average(windows: DataFrame) -> DataFrame:
     """(doc_id, v): the mean of the normalised window vectors, normalised; a single window's vector is itself."""
     unit = windows.select("doc_id", normalized(F.col("v")).alias("v"))
     return pooled(unit.withColumn("pos", F.lit(0)), "mean").select("doc_id", normalized(F.col("v")).alias("v"))
+
+
+def in_bitmap(id_: Column, bitmap: bytes) -> Column:
+    """Is the id's bit set? Bits beyond the map are not. The map is a literal of the plan: for maps of a few megabytes."""
+    code = F.lit(bytearray(bitmap))
+    byte = F.conv(F.hex(F.substring(code, (id_ / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    inside = (id_ >= 0) & (id_ < len(bitmap) * 8)
+    return F.coalesce(inside & (F.call_function("shiftright", byte, (id_ % 8).cast("int")).bitwiseAND(F.lit(1)) == 1), F.lit(False))
+
+
+def translated(rows: DataFrame, ids: DataFrame, where: Column) -> DataFrame:
+    """rows whose outer id the condition holds for; ids: (id, outer) of each row."""
+    return rows.join(ids.where(where).select("id"), "id", "left_semi")
+
+
+def scores_at(truth: DataFrame, found: DataFrame, radii: list[float]) -> DataFrame:
+    """(radius, hits, precision, recall) of the pairs (query_id, id, distance) within each radius against the true pairs."""
+    marked = found.join(truth.select("query_id", "id", F.lit(1).alias("t")), ["query_id", "id"], "left")
+    each = marked.select("distance", "t", F.explode(F.array(*(F.lit(r) for r in radii))).alias("radius"))
+    n = each.groupBy("radius").agg(F.count_if(F.col("distance") < F.col("radius")).alias("found"), F.count_if((F.col("distance") < F.col("radius")) & F.col("t").isNotNull()).alias("hits"))
+    all_ = truth.agg(F.count("*").alias("all"))
+    share = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(1.0))
+    return n.crossJoin(F.broadcast(all_)).select("radius", "hits", share("hits", "found").alias("precision"), share("hits", "all").alias("recall"))  # all_ is one row
+
+
+def pareto(points: DataFrame, cost: str, gain: str) -> DataFrame:
+    """(cost, gain): the points with more gain than every cheaper one, the best of each cost."""
+    best = points.groupBy(cost).agg(F.max(gain).alias(gain))  # one row for each distinct cost
+    before = F.max(gain).over(Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1))
+    return best.withColumn("__before", before).where(F.col("__before").isNull() | (F.col(gain) > F.col("__before"))).drop("__before")
+
+
+def same_but_for_ties(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(query_id, same): do two results have equal distances at every rank, and equal ids but among those of the greatest distance?"""
+    a, b = one.select("query_id", "rank", "id", "distance"), other.select("query_id", "rank", F.col("id").alias("id2"), F.col("distance").alias("distance2"))
+    ranks = a.join(b, ["query_id", "rank"], "full").groupBy("query_id").agg(F.bool_and(F.coalesce(F.col("distance") == F.col("distance2"), F.lit(False))).alias("levels"))
+    last = Window.partitionBy("query_id")
+    inner = lambda df, v: df.withColumn("__most", F.max(v).over(last)).where(F.col(v) < F.col("__most"))
+    ia, ib = inner(a, "distance").select("query_id", "id", F.lit(1).alias("x")), inner(b, "distance2").select("query_id", F.col("id2").alias("id"), F.lit(1).alias("y"))
+    ids = ia.join(ib, ["query_id", "id"], "full").groupBy("query_id").agg(F.bool_and(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("ids"))
+    return ranks.join(ids, "query_id", "left").select("query_id", (F.col("levels") & F.coalesce("ids", F.lit(True))).alias("same"))
