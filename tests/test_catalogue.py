@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vecquill import catalogue
+from vecquill import catalogue, catalogue_more  # noqa: F401
 from vecquill.functions import vectors as V
 from vecquill.operators import chat, sampling, search, text
 from vecquill.streaming import index
@@ -14,7 +14,7 @@ from vecquill.streaming import index
 TABLES = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["knn_ip", "knn_jaccard_abs", "sel_and_or_xor", "ivf_max_codes", "sq8_encode", "pq_adc_knn", "lsh_knn", "top_p", "typical", "chat_chatml", "chat_vicuna", "chat_deepseek3", "chat_yandex", "chat_granite", "distance_subset", "search_and_reconstruct", "pad", "linear_apply", "pca_total_variance", "dist_draw", "logit_bias", "refine_two_stage", "token_windows", "char_coverage"])
+@pytest.mark.parametrize("name", ["knn_ip", "knn_jaccard_abs", "sel_and_or_xor", "ivf_max_codes", "sq8_encode", "pq_adc_knn", "lsh_knn", "top_p", "typical", "chat_chatml", "chat_vicuna", "chat_deepseek3", "chat_yandex", "chat_granite", "distance_subset", "search_and_reconstruct", "pad", "linear_apply", "pca_total_variance", "dist_draw", "logit_bias", "refine_two_stage", "token_windows", "char_coverage", "kmeans_full", "index_ivfpq", "index_rq", "binary_multi_hash", "embed_windows_mean", "embed_average", "sampler_chain", "stop_rule", "chunk_by_separator", "search_centroids", "operating_points", "range_pr_thresholds", "piece_ids", "grammar_match", "chat_detect", "chat_bailing"])
 def test_query_matches_its_oracle(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "documents", "conversations"):
@@ -36,7 +36,7 @@ def array(*x):
 
 def test_metric_facts(spark):
     nan = math.nan
-    assert one(spark, V.nan_euclidean(array(3, nan, nan, 6), array(1, nan, nan, 5))) == 10
+    assert one(spark, V.nan_euclidean(array(2, nan, 4, nan, 7), array(5, 1, 8, nan, nan))) == 5 / 2 * (9 + 16)
     assert math.isnan(one(spark, V.nan_euclidean(array(nan, 1), array(1, nan))))
     assert one(spark, V.l2(array(1, 2), array(4, 6))) == 25
     assert one(spark, V.cosine(array(0, 0), array(0, 0))) == 1.0
@@ -50,15 +50,26 @@ def probabilities(spark, p, f):
     return [round(r.p, 5) for r in sampling.softmax(f(d)).orderBy(F.desc("p"), "token").collect()]
 
 
+def shares(*p):
+    return [round(x / sum(p), 5) for x in p]
+
+
 def test_sampler_facts(spark):
-    p = [0.1, 0.2, 0.3, 0.4]
-    assert probabilities(spark, p, lambda d: sampling.top_k(d, 3)) == [0.44444, 0.33333, 0.22222]
-    assert probabilities(spark, p, lambda d: sampling.top_p(d, 0.7)) == [0.57143, 0.42857]
+    p = [0.05, 0.5, 0.12, 0.33]
+    assert probabilities(spark, p, lambda d: sampling.top_k(d, 2)) == shares(0.5, 0.33)
+    assert probabilities(spark, p, lambda d: sampling.top_k(d, 0)) == shares(0.5, 0.33, 0.12, 0.05)
+    assert probabilities(spark, p, lambda d: sampling.top_p(d, 0.6)) == shares(0.5, 0.33)
+    assert probabilities(spark, p, lambda d: sampling.top_p(d, 0.9)) == shares(0.5, 0.33, 0.12)
     assert probabilities(spark, p, lambda d: sampling.top_p(d, 0)) == [1.0]
-    assert probabilities(spark, p, lambda d: sampling.min_p(d, 0.51)) == [0.57143, 0.42857]
-    assert probabilities(spark, [0.97, 0.01, 0.01, 0.01], lambda d: sampling.typical(d, 0.5)) == [1.0]
+    assert probabilities(spark, p, lambda d: sampling.min_p(d, 0.2)) == shares(0.5, 0.33, 0.12)
     assert probabilities(spark, p, lambda d: sampling.temperature(d, 0)) == [1.0]
-    assert probabilities(spark, p, lambda d: sampling.top_n_sigma(d, 1)) == [0.57143, 0.42857]
+    logs = [math.log(x) for x in p]
+    mean = sum(logs) / 4
+    spread = math.sqrt(sum((x - mean) ** 2 for x in logs) / 4)
+    assert probabilities(spark, p, lambda d: sampling.top_n_sigma(d, 1)) == shares(*(x for x in sorted(p, reverse=True) if math.log(x) >= max(logs) - spread))
+    h = -sum(x * math.log(x) for x in p)
+    first = min(p, key=lambda x: abs(-math.log(x) - h))
+    assert probabilities(spark, p, lambda d: sampling.typical(d, first - 0.01)) == [1.0]
 
 
 def test_text_facts(spark):
@@ -81,6 +92,11 @@ def test_kmeans_is_lloyd(spark):
     got = np.array([r.v for r in search.kmeans(rows, 4, 5).orderBy("list_no").collect()])
     assert np.allclose(got, c, atol=1e-6)
     assert search.kmeans(rows.where("false"), 4, 5).count() == 0
+    assert len(search.kmeans(rows.limit(3), 5, 4).collect()) == 3
+    two = search.kmeans_two_level(rows, 3, 4, 5)
+    assert sorted(r.list_no for r in two.collect()) == list(range(12))
+    best = lambda c: ((x[:, None] - np.array([r.v for r in c.collect()])[None]) ** 2).sum(2).min(1).mean()
+    assert best(two) < best(search.kmeans(rows, 3, 5)) and best(search.kmeans_progressive(rows, 8, 3, 5)) < best(search.kmeans(rows, 1, 1))
 
 
 def test_stream_adds_and_answers(spark, tmp_path):

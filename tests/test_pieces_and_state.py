@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from vecquill.functions import vectors as V
 from vecquill.operators import pieces, sampling, search
 
-MERGES = {"ab": 0.0, "cd": -0.1, "abc": -0.2, "a": -0.3, "b": -0.4, "c": -0.5}
+MERGES = {"er": 3.0, "in": 2.5, "th": 2.0, "the": 1.5, "ing": 1.0, "ther": 0.5}
 
 
 def test_pair_merger_facts():
     encode = pieces.pair_merger(MERGES)
-    for given, want in (("", []), ("abc", ["abc"]), ("AB", ["A", "B"]), ("abcd", ["ab", "cd"]), ("abcc", ["abc", "c"]), ("xabcabaabcdd", ["x", "abc", "ab", "a", "ab", "cd", "d"])):
+    for given, want in (("", []), ("the", ["the"]), ("THE", ["T", "H", "E"]), ("other", ["o", "ther"]), ("theer", ["the", "er"]), ("thing", ["th", "ing"]), ("inine", ["in", "in", "e"])):
         assert encode(given) == want
 
 
@@ -33,7 +33,7 @@ def test_pair_merger_is_the_plain_rule():
 
     draw = random.Random(1)
     for _ in range(300):
-        t = "".join(draw.choices("abcd", k=draw.randint(0, 14)))
+        t = "".join(draw.choices("thering", k=draw.randint(0, 14)))
         assert pieces.pair_merger(MERGES)(t) == plain(t)
 
 
@@ -57,9 +57,9 @@ def test_word_parts_and_chunks(spark):
     assert cut("ab\ncd\nef\ngh") == ["ab\ncd\nef\ngh"] and cut("ab\ncd\nefgh\ni") == ["ab\ncd\n", "efgh\ni"] and cut("ab") == ["ab"] and cut("") == []
     with pytest.raises(ValueError):
         pieces.chunks("", 1)
-    rows = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, "thin"), (2, None), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r.p for r in rows.select("doc_id", pieces.over_batches(pieces.pair_merger(MERGES))("text").alias("p")).collect()}
-    assert got == {1: ["abc"], 2: None, 3: []}
+    assert got == {1: ["th", "in"], 2: None, 3: []}
 
 
 def test_train_merges_is_the_plain_rule(spark):
@@ -85,16 +85,19 @@ def test_train_merges_is_the_plain_rule(spark):
 
 
 def test_dry_facts(spark):
-    def after(p, history, multiplier, allowed, breakers=None):
-        d = spark.createDataFrame([(0, i, math.log(x)) for i, x in enumerate(p)], "step long, token long, logit double")
-        h = spark.createDataFrame([(0, history)], "step long, history array<int>")
-        return [round(r.p, 6) for r in sampling.softmax(sampling.dry(d, h, multiplier, 1.1, allowed, 64, breakers)).orderBy("token").collect()]
+    """What follows earlier occurrences of the history's end loses multiplier * base ** (length - allowed)."""
 
-    assert after([0.25] * 4, [0, 1], 1.0, 2) == [0.25] * 4
-    assert after([0.25] * 4, [0, 1, 2, 0, 1], 1.0, 2) == [0.296923, 0.296923, 0.109232, 0.296923]
-    assert after([0.2] * 5, [0, 1, 3, 4, 0, 1], 1.0, 2, [[3]]) == [0.2] * 5
-    assert after([0.2] * 5, [0, 1, 2, 0, 1], 2.0, 2) == [0.241818, 0.241818, 0.032727, 0.241818, 0.241818]
-    assert after([0.2] * 5, [0, 1, 2, 3, 4, 0, 1], 1.0, 4) == [0.2] * 5
+    def after(n, history, multiplier, allowed, breakers=None):
+        d = spark.createDataFrame([(0, i, 0.0) for i in range(n)], "step long, token long, logit double")
+        h = spark.createDataFrame([(0, history)], "step long, history array<int>")
+        return {r.token: round(-r.logit, 6) for r in sampling.dry(d, h, multiplier, 1.5, allowed, 64, breakers).collect() if r.logit}
+
+    assert after(4, [3, 1], 1.0, 2) == {}
+    assert after(6, [4, 5, 2, 0, 4, 5, 2], 0.7, 2) == {0: round(0.7 * 1.5, 6)}
+    assert after(6, [4, 5, 2, 0, 4, 5, 2], 0.7, 4) == {}
+    assert after(6, [4, 5, 1, 3, 4, 5], 1.0, 1, [[4]]) == {1: 1.0}
+    assert after(6, [4, 5, 1, 3, 4, 5], 1.0, 2, [[4]]) == {}
+    assert after(6, [2, 2, 2, 2], 1.0, 2) == {2: 1.5}
 
 
 def test_capped_ranges_and_scores(spark):

@@ -98,3 +98,125 @@ def test_errors(spark, rows):
     assert one.next_id() == 1
     with pytest.raises(Exception, match="another size"):
         flat.add(spark.createDataFrame([(1, [1.0])], "id long, v array<double>")).rows.collect()
+
+
+@pytest.mark.parametrize("text, least", [("LSQ6x5", 0.25), ("PRQ4x2x5", 0.3), ("PLSQ4x2x5", 0.3), ("ZnLattice8x24_6", 0.4), ("IVF8,ITQ32,SH1.5", 0.1), ("IVF8,PCAR32,SH0.6m", 0.05), ("IVF8,PCAR32,SH0.6c", 0.05), ("IMI2x3,PQ16", 0.4), ("Residual8,PQ16x6", 0.4), ("Residual2x2,PQ16x6", 0.4), ("IVF8_HNSW16,SQ8", 0.95), ("IVF8(NSG16),Flat", 0.99), ("HNSW16,SQ8", 0.9), ("NSG16,PQ32", 0.5), ("IVF8,FlatDedup", 0.999), ("PQ16x4fs", 0.3), ("IVF8,RQ6x5", 0.25)])
+def test_further_kinds_find_the_near(rows, asked, text, least):
+    index = vector_index.open_factory(text, 64)
+    index = (index.train(rows) if index.spec.needs_training else index).add(rows)
+    want = pairs(search.knn(asked, rows, 5, "l2"))
+    share = len(pairs(index.search(asked, 5, nprobe=8 if "IMI" not in text else 64)) & want) / len(want)
+    assert share >= least, share
+
+
+def test_better_sums_of_entries():
+    x = np.random.default_rng(8).normal(size=(600, 12))
+    code = parse("RQ4x4", 12).code
+    model = codecs.train(code, x)
+    books = [model[f"book{m}"] for m in range(4)]
+    off = lambda codes, b: ((sum(k[codes[:, m]] for m, k in enumerate(b)) - x) ** 2).sum()
+    assert off(codecs.beam_codes(x, books, 8), books) <= off(codecs.beam_codes(x, books, 1), books)
+    assert off(codecs.searched_codes(x, books), books) <= off(codecs.beam_codes(x, books, 1), books)
+    fitted = codecs.train(parse("LSQ4x4", 12).code, x)
+    assert off(codecs.searched_codes(x, [fitted[f"book{m}"] for m in range(4)]), [fitted[f"book{m}"] for m in range(4)]) < off(codecs.beam_codes(x, books, 1), books)
+
+
+def test_lattice_points_are_the_nearest():
+    import itertools
+
+    x = np.random.default_rng(9).normal(size=(40, 3))
+    every = np.array([p for p in itertools.product(range(-3, 4), repeat=3) if sum(v * v for v in p) == 9])
+    got = codecs.lattice_points(x, 9)
+    assert (np.abs(got) ** 2).sum(1).tolist() == [9] * 40 and np.allclose((got * x).sum(1), (x @ every.T).max(1))
+    with pytest.raises(ValueError):
+        codecs.lattice_points(np.ones((1, 1)), 3)
+
+
+def test_row_wise_codes(rows):
+    for text in ("MinMax,SQ8", "MinMaxFP16,SQ4"):
+        index = vector_index.open_factory(text, 64).train(rows)
+        coded = index.encode(rows)
+        assert len(coded.first().code) == index.spec.code_size()
+        near, x = {r.id: r.v for r in index.decode(coded).collect()}, {r.id: r.v for r in rows.collect()}
+        assert max(np.abs(np.subtract(near[i], x[i])).max() for i in x) < (0.01 if "SQ8" in text else 0.1)
+        with pytest.raises(ValueError):
+            index.add(rows)
+
+
+def test_refused_descriptions():
+    for bad in ("IVF8(PQ4),Flat", "Residual3x4,PQ8", "IMI2x20,Flat", "IMI2x4", "RCQ2x8", "SH1.5", "PRQ3x2x8", "BFlat", "HNSW16,FlatDedup", "MinMax,MinMax,SQ8"):
+        with pytest.raises(ValueError):
+            parse(bad, 64)
+    with pytest.raises(ValueError):
+        parse("IMI2x4,Flat", 64, "ip")
+
+
+def test_saved_graphs_and_read_only(spark, rows, asked, tmp_path):
+    index = vector_index.open_factory("HNSW16", 64).add(rows)
+    index.save(f"{tmp_path}/g")
+    again = vector_index.open_index(spark, f"{tmp_path}/g", readonly=True)
+    assert pairs(again.search(asked, 5)) == pairs(index.search(asked, 5))
+    for change in (lambda: again.add(rows), lambda: again.remove(F.col("id") > 1), lambda: again.reset(), lambda: again.update(rows), lambda: again.merge(again)):
+        with pytest.raises(ValueError):
+            change()
+    two = vector_index.open_factory("HNSW16", 64).add(rows.where("id < 90")).add(rows.where("id >= 90"))
+    assert two.built_graphs().count() == 2 and len(pairs(two.search(asked, 5)) & pairs(index.search(asked, 5))) > 0.9 * len(pairs(index.search(asked, 5)))
+    merged = vector_index.merge_saved(spark, [f"{tmp_path}/g", f"{tmp_path}/g"], f"{tmp_path}/m", shift=True)
+    assert merged.count() == 2 * rows.count() and merged.next_id() == 2 * index.next_id()
+    assert pairs(again.search(asked, 3, where=F.col("id") % 2 == 0)) == pairs(search.knn(asked, rows.where("id % 2 = 0"), 3, "l2"))
+
+
+def test_trainer_and_packed_vectors(spark, rows, asked, tmp_path):
+    from vecquill.functions.vectors import packer
+
+    trainer = vector_index.Trainer(spark, f"{tmp_path}/t", vector_index.open_factory("IVF4,SQ8", 64))
+    with pytest.raises(ValueError):
+        trainer.train()
+    trainer.add(rows.where("id % 2 = 0").select("v"))
+    trainer.add_half(rows.where("id % 2 = 1").select(packer(half=True)("v").alias("v")))
+    index = trainer.train()
+    packed = rows.select(F.col("id").cast("string").alias("id"), packer()("v").alias("v"))
+    assert index.add(packed).count() == rows.count()
+    with pytest.raises(ValueError):
+        vector_index.Trainer(spark, "x", index)
+    short = vector_index.Trainer(spark, f"{tmp_path}/s", vector_index.open_factory("IVF4,SQ8", 32))
+    short.add(rows.select("v"))
+    with pytest.raises(ValueError):
+        short.train()
+
+
+def test_ids_that_are_given_out_do_not_depend_on_the_order(rows):
+    flat = vector_index.open_factory("Flat", 64)
+    one = {(r.id, tuple(r.v)) for r in flat.add(rows.select("v")).reconstruct().collect()}
+    other = {(r.id, tuple(r.v)) for r in flat.add(rows.repartition(7).orderBy(F.rand()).select("v")).reconstruct().collect()}
+    assert one == other and sorted(i for i, _ in one) == list(range(rows.count()))
+
+
+def test_explored_parameters_and_long_searches(spark, rows, asked, tmp_path):
+    index = vector_index.open_factory("IVF8,Flat", 64).train(rows).add(rows)
+    truth = search.knn(asked, rows, 5, "l2")
+    found = {r.nprobe: r for r in search.explore(index, asked, truth, [1, 4, 8], 5).collect()}
+    assert found[8].recall == 1.0 and found[1].recall <= found[4].recall and any(r.best for r in found.values())
+    got = search.search_in_blocks(index, asked, f"{tmp_path}/b", 3, 5, nprobe=8)
+    assert pairs(got) == pairs(truth)
+    (tmp_path / "b" / "block=1" / "_SUCCESS").unlink()
+    again = search.search_in_blocks(index.remove(F.col("id") >= 0).add(rows), asked, f"{tmp_path}/b", 3, 5, nprobe=8)
+    assert pairs(again) == pairs(truth)
+
+
+def test_binary_indexes(spark, rows):
+    from vecquill.operators.binary import BinaryIndex, real_to_binary
+
+    codes = rows.select("id", real_to_binary(F.col("v")).alias("code"))
+    some = codes.where("id % 20 = 0")
+    flat = pairs(BinaryIndex.open("BFlat", 64).add(codes).search(some, 5))
+    near = BinaryIndex.open("BIVF4", 64).train(codes).add(codes).search(some, 5, nprobe=2)
+    walked = BinaryIndex.open("BHNSW16", 64).add(codes).search(some, 5, width=100)
+    assert len(pairs(near) & flat) / len(flat) > 0.4 and len(pairs(walked) & flat) / len(flat) > 0.7
+    for bad in ("B", "BHash", "BHash9x8", "BHash2x40", "BFlat8"):
+        with pytest.raises(ValueError):
+            BinaryIndex.open(bad, 64)
+    with pytest.raises(ValueError):
+        BinaryIndex.open("BIVF4", 64).add(codes)
+    with pytest.raises(Exception, match="another size"):
+        BinaryIndex.open("BFlat", 32).add(codes).rows.collect()

@@ -257,3 +257,64 @@ def _(spark, d):
 def _(spark, d):
     bits = F.transform("v", lambda x: F.floor(x * 2 / 0.3).bitwiseAND(F.lit(1).cast("bigint")))
     return base(spark, d).select("id", F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("ones"))
+
+
+@register("kmeans_1d", "WITH g AS (SELECT p_size AS x, count(*) AS n FROM part GROUP BY 1), c AS (SELECT a.x AS lo, b.x AS hi FROM g a, g b WHERE a.x < b.x), t AS (SELECT lo, hi, (x >= lo)::INT + (x >= hi)::INT AS part, sum(n) AS n, sum(n * x) / sum(n) AS m, sum(n * x * x) - sum(n * x) * sum(n * x) / sum(n) AS cost FROM c, g GROUP BY 1, 2, 3), s AS (SELECT lo, hi FROM t GROUP BY lo, hi HAVING count(*) = 3 ORDER BY sum(cost), lo, hi LIMIT 1) SELECT CAST(part AS INTEGER) AS list_no, round(m, 6) AS centre, CAST(n AS BIGINT) AS n FROM t JOIN s USING (lo, hi)")
+def _(spark, d):
+    return search.kmeans_1d(table(spark, d, "part").select(F.col("p_size").alias("x")), 3).withColumn("centre", F.round("centre", 6))
+
+
+@register("grammar_match", r"SELECT w, n, regexp_full_match(w, '[A-ZÀ-Ü][a-zß-ÿ]*[.,]?') AS fits FROM (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM conversations) GROUP BY w)")
+def _(spark, d):
+    from vecquill.operators import grammar
+
+    rules = grammar.Grammar('root ::= [A-ZÀ-Ü] [a-zß-ÿ]* [.,]?')
+    words = table(spark, d, "conversations").select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return words.select("w", "n", grammar.accepted(rules)("w").alias("fits"))
+
+
+@register("schema_match", "SELECT o_orderkey, o_orderstatus IN ('F', 'O') AND o_orderpriority = '1-URGENT' AS fits FROM orders")
+def _(spark, d):
+    from vecquill.operators import grammar
+
+    schema = {"type": "object", "properties": {"key": {"type": "integer"}, "status": {"enum": ["F", "O"]}, "priority": {"const": "1-URGENT"}, "total": {"type": "number"}, "clerk": {"type": "string"}}, "required": ["key", "status", "priority"]}
+    one = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").cast("decimal(18,2)").alias("total")))
+    return table(spark, d, "orders").select("o_orderkey", grammar.accepted(grammar.Grammar(grammar.schema_grammar(schema)))(one).alias("fits"))
+
+
+# ---- pieces of a model: the 300 most frequent words
+VOCAB = "v AS (SELECT piece, freq, CAST(row_number() OVER (ORDER BY freq DESC, piece) + 2 AS INTEGER) AS id FROM (SELECT piece, freq FROM (SELECT unnest(string_split(text, ' ')) AS piece, count(*) AS freq FROM documents GROUP BY 1) WHERE piece <> '' ORDER BY freq DESC, piece LIMIT 300)), w AS (SELECT doc_id, w[i] AS piece, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents))), j AS (SELECT doc_id, i, coalesce(id, 0) AS id, coalesce(freq, 0) AS freq, w.piece FROM w LEFT JOIN v USING (piece)), s AS (SELECT *, CASE WHEN id = 0 AND lag(id) OVER (PARTITION BY doc_id ORDER BY i) = 0 THEN 0 ELSE 1 END AS new FROM j)"
+
+
+def word_model(spark, d):
+    from vecquill.operators import piecemodel, text
+
+    found = text.word_vocabulary(table(spark, d, "documents"), 300).orderBy(F.desc("freq"), "piece").collect()
+    special = (("<unk>", 0.0, piecemodel.UNKNOWN), ("<s>", 0.0, piecemodel.CONTROL), ("</s>", 0.0, piecemodel.CONTROL))
+    return piecemodel.PieceModel((*special, *((text.MARK + r.piece, r.score, piecemodel.NORMAL) for r in found)), piecemodel.WORD), {text.MARK + r.piece: r.freq for r in found}
+
+
+def over_texts(spark, d, f, type_: str) -> DataFrame:
+    mapped = F.pandas_udf(lambda s: s.map(f), type_)
+    return table(spark, d, "documents").select("doc_id", mapped("text").alias("x"))
+
+
+@register("piece_ids", f"WITH {VOCAB} SELECT doc_id, CAST(count(*) + 2 AS INTEGER) AS n, md5('2 ' || string_agg(CAST(id AS VARCHAR), ' ' ORDER BY i DESC) || ' 1') AS digest FROM s WHERE new = 1 GROUP BY doc_id")
+def _(spark, d):
+    model, _ = word_model(spark, d)
+    ids = over_texts(spark, d, lambda t: model.encode_ids(t, "bos:eos:reverse"), "array<int>")
+    return ids.where("size(x) > 2").select("doc_id", F.size("x").alias("n"), F.md5(F.array_join(F.transform("x", lambda i: i.cast("string")), " ").cast("binary")).alias("digest"))
+
+
+@register("piece_decode_full", f"WITH {VOCAB} SELECT doc_id, md5(string_agg(CASE WHEN id = 0 THEN ' ⁇ ' WHEN i = 1 THEN piece ELSE ' ' || piece END, '' ORDER BY i)) AS digest FROM s WHERE new = 1 GROUP BY doc_id")
+def _(spark, d):
+    model, _ = word_model(spark, d)
+    out = over_texts(spark, d, lambda t: model.decode_ids(model.encode_ids(t)), "string")
+    return out.where("x <> ''").select("doc_id", F.md5(F.col("x").cast("binary")).alias("digest"))
+
+
+@register("vocabulary_counts", "SELECT text, count(*) AS n FROM documents WHERE text <> '' GROUP BY text")
+def _(spark, d):
+    from vecquill.operators import piecetrain
+
+    return piecetrain.sentences(table(spark, d, "documents"))

@@ -200,3 +200,25 @@ def stopped(tokens: DataFrame, end: list[int], control: list[int], max_tokens: i
     stop = F.col("token").isin(*end) | (F.row_number().over(order) >= max_tokens) | (is_control & marks)
     before = F.sum(F.col("stop").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return tokens.withColumn("stop", stop).withColumn("stops", before).where((F.col("stops") == 0) & ~is_control).select("step", "pos", "token", "piece")
+
+
+class LetterProvider:
+    """A small model without weights, for tests and dry runs: tokens are letters; the likeliest next one is the next letter,
+    then the one after it; a control piece follows j."""
+
+    pieces = [chr(97 + i) for i in range(26)] + ["<end>", "<|assistant|>", "\n"]
+    n_ctx, end, control = 40, frozenset({26}), frozenset({26, 27})
+
+    def tokenize(self, text: str) -> list[int]:
+        return [self.pieces.index(c) for c in text if c in self.pieces]
+
+    def logits(self, ids: list[int]) -> np.ndarray:
+        x = np.full(len(self.pieces), -20.0)
+        last = ids[-1] if ids else 25
+        x[(last + 1) % 26], x[(last + 2) % 26] = 10.0, 5.0
+        if last == 9:
+            x[27] = 12.0
+        return x
+
+    def piece(self, id_: int) -> str:
+        return self.pieces[id_]

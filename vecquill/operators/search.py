@@ -240,3 +240,125 @@ def same_but_for_ties(one: DataFrame, other: DataFrame) -> DataFrame:
     ia, ib = inner(a, "distance").select("query_id", "id", F.lit(1).alias("x")), inner(b, "distance2").select("query_id", F.col("id2").alias("id"), F.lit(1).alias("y"))
     ids = ia.join(ib, ["query_id", "id"], "full").groupBy("query_id").agg(F.bool_and(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("ids"))
     return ranks.join(ids, "query_id", "left").select("query_id", (F.col("levels") & F.coalesce("ids", F.lit(True))).alias("same"))
+
+
+# ---- further clusterings
+def kmeans_1d(values: DataFrame, k: int, most: int = 20_000) -> DataFrame:
+    """(list_no, centre, n): the exact clusters of (x), by dynamic programming over the distinct values in order.
+
+    Values are counted first; their distinct ones, ``most`` at most, come to the driver (ValueError beyond).
+    """
+    rows = values.where("x is not null").groupBy(F.col("x").cast("double").alias("x")).agg(F.count("*").alias("n")).orderBy("x").limit(most + 1).collect()
+    if not rows or len(rows) > most:
+        raise ValueError(f"{len(rows)} distinct values")
+    x, n = np.array([r.x for r in rows]), np.array([r.n for r in rows], float)
+    sums = [np.concatenate([[0], np.cumsum(n * x**p)]) for p in range(3)]
+
+    def cost(a: np.ndarray, b: int) -> np.ndarray:
+        """The squared errors of the values a to b - 1 around their mean."""
+        w, s1, s2 = (s[b] - s[a] for s in sums)
+        return np.maximum(s2 - s1 * s1 / np.maximum(w, 1e-300), 0)
+
+    k = min(k, len(x))
+    best, cuts = np.array([np.inf if b == 0 else cost(np.array([0]), b)[0] for b in range(len(x) + 1)]), []
+    best[0] = 0
+    for _ in range(1, k):
+        now, cut = np.full(len(x) + 1, np.inf), np.zeros(len(x) + 1, int)
+        for b in range(1, len(x) + 1):
+            total = best[:b] + cost(np.arange(b), b)
+            cut[b] = int(total.argmin())
+            now[b] = total[cut[b]]
+        best = now
+        cuts.append(cut)
+    ends = [len(x)]
+    for cut in reversed(cuts):
+        ends.append(int(cut[ends[-1]]))
+    edges = sorted({0, *ends})
+    out = [(i, float((n[a:b] * x[a:b]).sum() / n[a:b].sum()), int(n[a:b].sum())) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+    return values.sparkSession.createDataFrame(out, "list_no int, centre double, n long")
+
+
+def kmeans_two_level(rows: DataFrame, k1: int, k2: int, steps: int = 25, sample: int = 50_000) -> DataFrame:
+    """(list_no, v): k1 coarse clusters of all rows, each split into k2 by the rows of it that have the least hash, ``sample``
+    at most in a task; list_no counts through."""
+    from vecquill.operators import codecs
+
+    coarse = kmeans(rows, k1, steps)
+    own = rows.join(assign(rows, coarse).select("id", "list_no"), "id").select("id", "list_no", "v")
+    first = Window.partitionBy("list_no").orderBy(F.xxhash64("id"), "id")
+    picked = own.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= sample).select("list_no", "v")
+
+    def split(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for b in it:
+            if b.num_rows:
+                lists, x = b.column("list_no").to_numpy(), scan.vectors_of(b.column("v"))
+                for c in np.unique(lists):
+                    held.setdefault(int(c), []).append(x[lists == c])
+        for c, parts in held.items():
+            x = np.concatenate(parts)
+            centres = codecs.kmeans(x[np.lexsort(x.T[::-1])], k2, steps)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(c * k2, (c + 1) * k2, dtype=np.int32)), pa.array(list(centres), pa.list_(pa.float64()))], names=["list_no", "v"])
+
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return picked.repartition(parts, "list_no").mapInArrow(split, "list_no int, v array<double>")
+
+
+def kmeans_progressive(rows: DataFrame, k: int, stages: int = 3, steps: int = 10) -> DataFrame:
+    """(list_no, v): k-means along growing numbers of principal directions, each stage from the centres of the one before."""
+    from vecquill.operators import projection
+
+    first = rows.where("v is not null").select(F.size("v").alias("d")).first()
+    if first is None:
+        return rows.sparkSession.createDataFrame([], "list_no int, v array<double>")
+    turn = projection.pca(rows, first.d)
+    turned = turn.apply(rows)
+    centres: np.ndarray | None = None
+    for stage in range(stages):
+        d = max(1, round(first.d ** ((stage + 1) / stages)))
+        part = turned.withColumn("v", F.slice("v", 1, d))
+        if centres is None:
+            centres = np.array([r.v for r in part.orderBy("id").limit(k).collect()], float)
+        else:
+            centres = np.pad(centres, ((0, 0), (0, d - centres.shape[1])))
+        for _ in range(steps):
+            n, total = _sums(part, centres, False)
+            centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
+    table = rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list_no int, v array<double>")
+    return turn.reverse().apply(table)
+
+
+# ---- parameters and long searches
+def explore(index, queries: DataFrame, truth: DataFrame, probes: list[int], k: int = 10) -> DataFrame:
+    """(nprobe, seconds, recall, best): recall at k and time of a search for each number of probes; best marks the front.
+    truth: (query_id, id) of the k true neighbours."""
+    import time
+
+    wanted = truth.select("query_id", "id").distinct()
+    total = wanted.count()
+    rows = []
+    for n in probes:
+        began = time.perf_counter()
+        found = index.search(queries, k, nprobe=n).select("query_id", "id").collect()  # k for each query of a stated set
+        seconds = time.perf_counter() - began
+        hit = wanted.join(F.broadcast(wanted.sparkSession.createDataFrame(found, "query_id long, id long")), ["query_id", "id"], "left_semi").count()
+        rows.append((n, seconds, hit / total if total else 1.0))
+    best, top = set(), -1.0
+    for n, _, recall in sorted(rows, key=lambda r: (r[1], -r[2])):
+        if recall > top:
+            best.add(n)
+            top = recall
+    return queries.sparkSession.createDataFrame([(*r, r[0] in best) for r in rows], "nprobe int, seconds double, recall double, best boolean")
+
+
+def search_in_blocks(index, queries: DataFrame, out: str, blocks: int, k: int = 10, **options) -> DataFrame:
+    """A long search that can go on after a stop: each block of queries writes its results to ``out``; blocks that are there
+    are not searched again. Blocks are by a hash of the query's id, so they are the same each time."""
+    spark = queries.sparkSession
+    for i in range(blocks):
+        path = f"{out}/block={i}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)
+            index.search(own, k, **options).write.mode("overwrite").parquet(path)
+    return spark.read.schema("query_id long, rank int, id long, distance double").parquet(*(f"{out}/block={i}" for i in range(blocks)))
