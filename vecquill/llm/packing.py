@@ -27,8 +27,8 @@ from vecquill.llm import bytebpe
 from vecquill.llm.shared import batches_of, bounded_batches, durable
 from vecquill.llm.textbytes import slices, text_buffer
 
-#: Pieces of one length that are ranked together, on average.
-RANKED = 100_000
+#: Pieces of one length that are ranked together, on average; lengths of fewer pieces have up to LEAST_SALTS salts of FEW.
+RANKED, FEW, LEAST_SALTS = 100_000, 200, 16
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -136,10 +136,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
     counts = np.zeros(capacity + 1, np.int64)
     counts[by_length["length"].to_numpy(np.int64)] = by_length["count"].to_numpy(np.int64)
     patterns = plan(counts, capacity)
-    n_salts = np.maximum(-(-counts // RANKED), 1)
+    n_salts = np.maximum(np.maximum(-(-counts // RANKED), np.minimum(counts // FEW, LEAST_SALTS)), 1)
     salts_of = F.array(*(F.lit(int(n)) for n in n_salts))
     salted = pieces.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("id", "piece", "spread"), F.get(salts_of, F.col("length").cast("int"))).cast("int"))
-    sizes = salted.groupBy("length", "salt").count().toPandas()  # capacity rows at most, and one for each RANKED pieces
+    sizes = salted.groupBy("length", "salt").count().toPandas()  # LEAST_SALTS for each length at most, and one for each RANKED pieces
     # of each length: the first rank of each salt (salts of one length after the other), and the runs of ranks that a pattern takes
     base_of = np.cumsum(n_salts) - n_salts
     first = np.zeros(int(n_salts.sum()), np.int64)
