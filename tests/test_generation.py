@@ -120,3 +120,10 @@ def test_embedding(spark):
     for wrong in ({"pooling": "max"}, {"n_ctx": 0}, {"embeddings": False}):
         with pytest.raises(ValueError):
             embedding.EmbedOptions(**wrong)
+
+
+def test_retrieval(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc\nddddd eeeee\nzz"), (2, None), (3, "yyyyyyyy")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "aa bb cc")], "id long, text string")
+    got = embedding.retrieve(docs, asked, embedding.WordProvider(4), 2, size=4).orderBy("rank").collect()
+    assert (got[0].query_id, got[0].id, got[0].chunk, got[0].text) == (7, 1, 0, "aa bb cc\n") and got[0].distance > 0.9 and len(got) == 2

@@ -100,7 +100,7 @@ def test_errors(spark, rows):
         flat.add(spark.createDataFrame([(1, [1.0])], "id long, v array<double>")).rows.collect()
 
 
-@pytest.mark.parametrize("text, least", [("LSQ6x5", 0.25), ("PRQ4x2x5", 0.3), ("PLSQ4x2x5", 0.3), ("ZnLattice8x24_6", 0.4), ("IVF8,ITQ32,SH1.5", 0.1), ("IVF8,PCAR32,SH0.6m", 0.05), ("IVF8,PCAR32,SH0.6c", 0.05), ("IMI2x3,PQ16", 0.4), ("Residual8,PQ16x6", 0.4), ("Residual2x2,PQ16x6", 0.4), ("IVF8_HNSW16,SQ8", 0.95), ("IVF8(NSG16),Flat", 0.99), ("HNSW16,SQ8", 0.9), ("NSG16,PQ32", 0.5), ("IVF8,FlatDedup", 0.999), ("PQ16x4fs", 0.3), ("IVF8,RQ6x5", 0.25)])
+@pytest.mark.parametrize("text, least", [("LSQ6x5", 0.25), ("PRQ4x2x5", 0.3), ("PLSQ4x2x5", 0.3), ("ZnLattice8x24_6", 0.4), ("IVF8,ITQ32,SH1.5", 0.1), ("IVF8,PCAR32,SH0.6m", 0.05), ("IVF8,PCAR32,SH0.6c", 0.05), ("IMI2x3,PQ16", 0.4), ("Residual8,PQ16x6", 0.4), ("Residual2x2,PQ16x6", 0.4), ("IVF8_HNSW16,SQ8", 0.95), ("IVF8(NSG16),Flat", 0.99), ("HNSW16,SQ8", 0.9), ("NSG16,PQ32", 0.5), ("IVF8,FlatDedup", 0.999), ("PQ16x4fs", 0.3), ("IVF8,PQ8+16", 0.5), ("IVF8,RQ6x5", 0.25)])
 def test_further_kinds_find_the_near(rows, asked, text, least):
     index = vector_index.open_factory(text, 64)
     index = (index.train(rows) if index.spec.needs_training else index).add(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecquill.catalogue import CENTROIDS, DUCK, E_, L2E, LOGITS, OUT, PROBES, asked, base, bits_sql, logits, pairs_sql, ranked_sql, register, rounded, table, total
+from vecquill.catalogue import CENTROIDS, DUCK, E_, HALF, L2E, LOGITS, OUT, PROBES, asked, base, bits_sql, logits, pairs_sql, ranked_sql, register, rounded, table, total
 from vecquill.functions import vectors as V
 from vecquill.operators import binary, embedding, generation, search, vector_index
 
@@ -318,3 +318,25 @@ def _(spark, d):
     from vecquill.operators import piecetrain
 
     return piecetrain.sentences(table(spark, d, "documents"))
+
+
+@register("split_vectors", f"{pairs_sql('l2')} {ranked_sql(False, 10)}")
+def _(spark, d):
+    pairs = search.split_distances(asked(base(spark, d)), base(spark, d), [(0, 16), (16, 32), (48, 16)])
+    return rounded(search.top_k(pairs, 10, False))
+
+
+@register("sharded_by_list", f"WITH {OWN} {ranked_sql(False, 10)}")
+def _(spark, d):
+    from vecquill.operators import scan
+
+    index, rows = ivf_index(spark, d)
+    parts = [part.search(asked(rows.select("id", "v")), 10, 3).drop("rank") for part in index.shard_by_list(2)]
+    return rounded(scan.ranked(parts[0].unionByName(parts[1]), 10, False))
+
+
+@register("fp32_to_fp16", f"WITH {E_}, h AS (SELECT id, pos, v[pos] AS x FROM e, range(1, 65) t(pos)) SELECT id, CAST(pos - 1 AS BIGINT) AS pos, round({HALF}, 9) AS x FROM h")
+def _(spark, d):
+    packed = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.packer()("embedding").alias("code"))
+    back = packed.select("id", V.unpacker()(V.reformatter(False)(V.reformatter(True)("code"))).alias("v"))
+    return back.select("id", F.posexplode("v").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 9).alias("x"))

@@ -182,3 +182,26 @@ def unpacker(half: bool = False) -> Callable[[Column], Column]:
             yield rows.map(one)
 
     return run
+
+
+def reformatter(to_half: bool) -> Callable[[Column], Column]:
+    """Bytes of 32-bit floats to bytes of 16-bit floats, or back; an empty or ragged value is an error."""
+    old, new = ("<f4", "<f2") if to_half else ("<f2", "<f4")
+
+    def one(b: bytes | None) -> bytes | None:
+        if b is None:
+            return None
+        if not b or len(b) % np.dtype(old).itemsize:
+            raise ValueError(f"{len(b)} bytes are no whole number of components")
+        return np.frombuffer(b, old).astype(new).tobytes()
+
+    @F.pandas_udf("binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield rows.map(one)
+
+    return run
+
+
+#: What converts between numbers and packed bytes.
+CONVERTER_BACKEND = "arrow"

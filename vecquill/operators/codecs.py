@@ -55,6 +55,11 @@ def train(code: Code, x: np.ndarray) -> Model:
     if code.kind == "pq":
         w = d // len(code.sizes)
         return {f"book{m}": kmeans(x[:, m * w : (m + 1) * w], 1 << b) for m, b in _bits(code)}
+    if code.kind == "pqr":
+        first, second = _halves(code)
+        model = train(first, x)
+        rest = x - decode(first, model, encode(first, model, x), d)
+        return model | {f"fine_{k}": v for k, v in train(second, rest).items()}
     if code.kind in ("rq", "lsq"):
         per, model = len(code.sizes) // code.splits, {}
         for i, part in enumerate(np.split(x, code.splits, axis=1)):
@@ -89,6 +94,11 @@ def train_turn(code: Code, x: np.ndarray) -> np.ndarray:
     return directions[:, np.argsort(-values, kind="stable")[: len(code.sizes)]]
 
 
+def _halves(code: Code) -> tuple[Code, Code]:
+    """A product code, and the product code of what it leaves."""
+    return Code("pq", code.name, code.sizes[: code.splits]), Code("pq", code.name, code.sizes[code.splits :])
+
+
 def _residual_books(x: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     books, rest = [], x
     for b in sizes:
@@ -208,6 +218,10 @@ def encode(code: Code, model: Model, x: np.ndarray) -> np.ndarray:
     if code.kind == "pq":
         w = x.shape[1] // len(code.sizes)
         return _pack(np.stack([nearest(x[:, m * w : (m + 1) * w], model[f"book{m}"]) for m, _ in _bits(code)], axis=1), code.sizes)
+    if code.kind == "pqr":
+        (first, second), fine = _halves(code), {k[5:]: v for k, v in model.items() if k.startswith("fine_")}
+        raw = encode(first, model, x)
+        return np.concatenate([raw, encode(second, fine, x - decode(first, model, raw, x.shape[1]))], axis=1)
     if code.kind in ("rq", "lsq"):
         per = len(code.sizes) // code.splits
         codes = beam_codes if code.kind == "rq" else searched_codes
@@ -251,6 +265,10 @@ def decode(code: Code, model: Model, raw: np.ndarray, d: int) -> np.ndarray:
     if code.kind == "pq":
         numbers = _unpack(raw, code.sizes)
         return np.concatenate([model[f"book{m}"][numbers[:, m]] for m, _ in _bits(code)], axis=1)
+    if code.kind == "pqr":
+        (first, second), fine = _halves(code), {k[5:]: v for k, v in model.items() if k.startswith("fine_")}
+        n = (sum(first.sizes) + 7) // 8
+        return decode(first, model, np.ascontiguousarray(raw[:, :n]), d) + decode(second, fine, np.ascontiguousarray(raw[:, n:]), d)
     if code.kind in ("rq", "lsq"):
         numbers, per = _unpack(raw, code.sizes), len(code.sizes) // code.splits
         return np.concatenate([sum(model[f"book{m}"][numbers[:, m]] for m in range(i * per, (i + 1) * per)) for i in range(code.splits)], axis=1)

@@ -129,3 +129,18 @@ class WordProvider:
 
     def rank(self, window: list[int]) -> np.ndarray:
         return np.array([float(len(window))])
+
+
+def retrieve(docs: DataFrame, queries: DataFrame, provider: EmbeddingProvider, k: int = 3, options: EmbedOptions = EmbedOptions(), separator: str = "\n", size: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, rank, id, chunk, text, distance): the k chunks of the documents nearest to each query (id, text) by cosine.
+
+    Documents are cut behind the separator into chunks of more than ``size`` characters; each is embedded by the mean of
+    its windows. ids of chunks are their document's id times 2**20 plus their number; a document has fewer chunks than that.
+    """
+    from vecquill.operators import pieces, search
+
+    cut = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.posexplode(pieces.over_batches(pieces.chunks(separator, size))(F.col(f"`{text_col}`"))).alias("chunk", "text"))
+    chunks = cut.select((F.col("doc") * (1 << 20) + F.col("chunk")).alias("id"), "chunk", "text")
+    vectors = lambda rows: embed(rows, provider, options, "id", "text").where("avg_vec is not null").select("id", F.col("avg_vec").cast("array<double>").alias("v"))
+    found = search.knn(vectors(queries.select(F.col("id").cast("long").alias("id"), "text")), vectors(chunks), k, "cosine")
+    return found.join(chunks, "id").select("query_id", "rank", (F.col("id") / (1 << 20)).cast("long").alias("id"), "chunk", "text", "distance")

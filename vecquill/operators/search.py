@@ -242,6 +242,17 @@ def same_but_for_ties(one: DataFrame, other: DataFrame) -> DataFrame:
     return ranks.join(ids, "query_id", "left").select("query_id", (F.col("levels") & F.coalesce("ids", F.lit(True))).alias("same"))
 
 
+def split_distances(queries: DataFrame, base: DataFrame, parts: list[tuple[int, int]], name: str = "l2") -> DataFrame:
+    """(query_id, id, distance): the sum of the distances of the parts (first, length) of the vectors, as if each part had an
+    index of its own."""
+    f, _ = metric(name)
+    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    total = reduce(lambda a, b: a + b, (f(F.slice("qv", a + 1, n), F.slice("v", a + 1, n)) for a, n in parts))
+    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
+    pairs = [base.crossJoin(F.broadcast(q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))) for i in range(blocks)]
+    return reduce(DataFrame.unionByName, (p.select("query_id", "id", total.alias("distance")) for p in pairs))
+
+
 # ---- further clusterings
 def kmeans_1d(values: DataFrame, k: int, most: int = 20_000) -> DataFrame:
     """(list_no, centre, n): the exact clusters of (x), by dynamic programming over the distinct values in order.

@@ -133,7 +133,7 @@ class VectorIndex:
         if self.is_trained and self.spec.needs_training:
             raise ValueError("the index is trained")
         code = self.spec.code
-        books = max((1 << b for b in code.sizes), default=1) if code.kind in ("pq", "rq", "lsq") else 1
+        books = max((1 << b for b in code.sizes), default=1) if code.kind in ("pq", "pqr", "rq", "lsq") else 1
         lists = round(self.spec.lists**0.5) if self.spec.multi else self.spec.lists
         return self._fit(_sample(rows, min(MOST_SAMPLE, max(LEAST_SAMPLE, PER_CENTRE * max(books, lists)))), rows)
 
@@ -176,7 +176,7 @@ class VectorIndex:
 
     @property
     def _residual(self) -> bool:
-        return bool(self.spec.lists) and self.spec.code.kind in ("sq", "pq", "rq", "lsq", "rabitq", "lattice") and self.spec.metric in ("l2", "ip")
+        return bool(self.spec.lists) and self.spec.code.kind in ("sq", "pq", "pqr", "rq", "lsq", "rabitq", "lattice") and self.spec.metric in ("l2", "ip")
 
     def _moved(self, rows: DataFrame) -> DataFrame:
         for (name, args), step in zip(self.spec.transforms, self.chain):
@@ -310,6 +310,10 @@ class VectorIndex:
     def shard_by_id(self, shards: int) -> list["VectorIndex"]:
         return [self.copy_subset(shards, i) for i in range(shards)]
 
+    def shard_by_list(self, shards: int) -> list["VectorIndex"]:
+        """Parts that hold whole lists; a query's lists are read in the parts that hold them."""
+        return [replace(self, rows=self.rows.where(F.pmod("list_no", F.lit(shards)) == i), graphs=None) for i in range(shards)]
+
     def clone(self) -> "VectorIndex":
         return replace(self)
 

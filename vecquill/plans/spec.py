@@ -19,6 +19,7 @@ _COARSE = re.compile(r"IVF(\d+)([kM]?)(?:_(HNSW|NSG)(\d*)|\((HNSW|NSG)(\d*)(?:,F
 _MULTI = re.compile(r"IMI2x(\d+)")
 _LAYERS = re.compile(r"Residual(?:(\d+)x)?(\d+)")
 _PRODUCT = re.compile(r"PQ(\d+)(?:x(\d+))?(?:fs(?:r)?(?:_\d+)?|np)?")
+_REFINED = re.compile(r"PQ(\d+)\+(\d+)")
 _RESIDUAL = re.compile(r"(RQ|LSQ)((?:\d+x\d+_?)+)(?:fsr?)?")
 _PRODUCT_SUM = re.compile(r"P(RQ|LSQ)(\d+)x(\d+)x(\d+)(?:fsr?)?")
 _SPECTRAL = re.compile(r"(?:PCAR?|ITQ)(\d+),SH([\d.]+)([gcm]?)")
@@ -30,7 +31,7 @@ _GRAPH = re.compile(r"(HNSW|NSG)(\d*)")
 
 @dataclass(frozen=True)
 class Code:
-    """kind: flat, dedup, sq, pq, rq, lsq, lsh, rabitq, sh, lattice or minmax. sizes: the bits of each part."""
+    """kind: flat, dedup, sq, pq, pqr (a product code and one of what it leaves), rq, lsq, lsh, rabitq, sh, lattice or minmax. sizes: the bits of each part."""
 
     kind: str
     name: str
@@ -82,7 +83,7 @@ class IndexSpec:
             return d + 4 * c.splits
         if c.kind == "minmax":
             return (4 if c.half else 8) + replace(self, code=c.inner).code_size()
-        if c.kind in ("pq", "rq", "lsq", "lsh", "sh"):
+        if c.kind in ("pq", "pqr", "rq", "lsq", "lsh", "sh"):
             return (sum(c.sizes) + 7) // 8
         if c.kind == "rabitq":
             return (d + 7) // 8 + 8
@@ -91,7 +92,7 @@ class IndexSpec:
         return 4 * d
 
     def type_name(self) -> str:
-        inner = {"flat": "Flat", "dedup": "FlatDedup", "sq": "ScalarQuantizer", "pq": "PQ", "rq": "ResidualQuantizer", "lsq": "LocalSearchQuantizer", "lsh": "LSH", "rabitq": "RaBitQ", "sh": "SpectralHash", "lattice": "Lattice", "minmax": "RowwiseMinMax"}[self.code.kind]
+        inner = {"flat": "Flat", "dedup": "FlatDedup", "sq": "ScalarQuantizer", "pq": "PQ", "pqr": "PQR", "rq": "ResidualQuantizer", "lsq": "LocalSearchQuantizer", "lsh": "LSH", "rabitq": "RaBitQ", "sh": "SpectralHash", "lattice": "Lattice", "minmax": "RowwiseMinMax"}[self.code.kind]
         return f"{'IVF' if self.lists else ''}{self.graph}{inner}"
 
 
@@ -137,6 +138,11 @@ def _code(part: str, d: int) -> Code | None:
         if not 1 <= bits <= 16:
             raise ValueError(f"{part}: codes of {bits} bits")
         return Code("pq", part, (bits,) * parts)
+    if m := _REFINED.fullmatch(part):
+        a, b = int(m[1]), int(m[2])
+        if not a or not b or d % a or d % b:
+            raise ValueError(f"{part}: {d} dimensions do not split into {a} and {b} parts")
+        return Code("pqr", part, (8,) * (a + b), splits=a)
     if m := _RESIDUAL.fullmatch(part):
         sizes = tuple(int(b) for n, b in re.findall(r"(\d+)x(\d+)", m[2]) for _ in range(int(n)))
         if not sizes or not all(1 <= b <= 16 for b in sizes):
