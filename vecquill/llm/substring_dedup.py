@@ -12,8 +12,9 @@ A word goes if a window of ``window`` consecutive words around it also starts in
    is a stock phrase goes to a shard by its own hash instead, so that a phrase's many unlike surroundings are spread.
 3. Phrases. Each task reduces its segments to one copy of each window, with its least document and whether there are
    others; where a shard's copies meet, the windows of one document only are dropped. What is left is confirmed. The
-   copies of a shard of more than ``SALT_WORDS`` words meet window by window, in parts by the windows' hashes.
-4. Automata. Large shards are split by document; each part gets the shard's confirmed phrases and no others. It compiles an
+   copies of a shard of more than ``WHOLE_SALTS`` salts meet window by window, in parts by the windows' hashes.
+4. Automata. Large shards are split by document; each part gets the shard's confirmed phrases and no others, and holds
+   ``COPIED`` times their words or more. It compiles an
    Aho-Corasick automaton (one symbol a word) over runs of ``SEED`` words of them, so placed that every confirmed window
    holds one, and streams its segments through it. The windows around a hit are compared, by 64-bit hash, with the
    confirmed ones and count if a window's least document is smaller than the segment's.
@@ -41,6 +42,10 @@ from vecquill.llm.shared import batches_of, bounded_batches, durable, expand, fi
 from vecquill.llm.textbytes import inner_windows, mix, slices, span_hashes, text_buffer, window_hashes, word_spans
 
 ANCHOR, SEED, HELD, HOT_LEAST, SHARDS_PER_PART, SALT_WORDS = 5, 6, 1 << 21, 20_000, 32, 1 << 15
+#: Salts of a shard whose phrases still meet in one task.
+WHOLE_SALTS = 3
+#: Words of a part for each word of the phrases that it gets.
+COPIED = 8
 #: Shards with parts are told to all tasks up to so many; beyond, they are joined.
 BROADCAST_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1
@@ -239,14 +244,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 k_ += ks[doc[begin]].tolist()
                 start_ += (starts[begin] - first[doc[begin]]).tolist()
                 words_ += [h[x : y + window].tobytes() for x, y in zip(starts[begin].tolist(), starts[end - 1].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(shard_, pa.int32()), pa.array(id_, pa.int64()), pa.array(k_, pa.int64()), pa.array(start_, pa.int32()), pa.array(words_, pa.binary())], names=["shard", "id", "k", "start", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard_, pa.int32()), pa.array(id_, pa.int64()), pa.array(k_, pa.int64()), pa.array(start_, pa.int32()), pa.array([len(x) // 8 for x in words_], pa.int32()), pa.array(words_, pa.binary())], names=["shard", "id", "k", "start", "n", "words"])
 
-    segments = durable(with_docs(flags, 3, words_of, []).mapInArrow(cut_segments, "shard int, id long, k long, start int, words binary"))
+    segments = durable(with_docs(flags, 3, words_of, []).mapInArrow(cut_segments, "shard int, id long, k long, start int, n int, words binary"))
     release(spark, since, since + 1)  # the anchors
 
-    sizes = segments.groupBy("shard").agg(F.sum(F.octet_length("words") / 8).alias("words")).select("shard", F.ceil(F.col("words") / SALT_WORDS).cast("int").alias("salts"))
-    parted = durable(sizes.where("salts > 1"))
-    salts = F.broadcast(parted) if parted.count() <= BROADCAST_ROWS else parted
+    def parted(of: DataFrame) -> DataFrame:
+        """(shard, salts) of the shards with several salts, broadcast if they are few."""
+        several = of.where("salts > 1").select("shard", "salts")
+        return F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
+
+    sizes = segments.groupBy("shard").agg(F.sum("n").alias("words"))
+    salts = parted(sizes.withColumn("salts", F.ceil(F.col("words") / SALT_WORDS).cast("int")))
     n_salts = F.coalesce("salts", F.lit(1))
 
     # 3: one copy of each window of a task, then of a shard
@@ -259,8 +268,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
         for b in it:
             for *row, salts_ in zip(*(b.column(c).to_pylist() for c in ("shard", "id", "several", "words", "salts"))):
-                if salts_ > 1:
-                    parts_of[row[0]] = salts_
+                if salts_ > WHOLE_SALTS:
+                    parts_of[row[0]] = salts_ * window  # a window apart has ``window`` words for one
                 held.append(tuple(row))
                 size += len(row[3]) // 8
             if size >= HELD // 2:
@@ -294,7 +303,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         if done:
             yield phrase_batch(done)
 
-    phrase_type = "shard int, part int, id long, several int, words binary"
+    phrase_type = "shard int, part int, id long, several int, n int, words binary"
     of_tasks = segments.join(salts, "shard", "left").select("shard", "id", F.lit(0).alias("several"), "words", n_salts.alias("salts")).mapInArrow(distinct_windows, phrase_type)
     phrases = durable(of_tasks.repartition(nb, "shard", "part").sortWithinPartitions("shard", "part").mapInArrow(confirmed, phrase_type))
 
@@ -330,6 +339,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 if part is not None:
                     yield part
 
+    # a part holds COPIED words for each word of the phrases that it gets, so these copies stay a small share of all
+    copied = phrases.groupBy("shard").agg(F.sum("n").alias("own"))
+    salts = parted(sizes.join(copied, "shard", "left").withColumn("salts", F.ceil(F.col("words") / F.greatest(F.lit(SALT_WORDS), F.coalesce("own", F.lit(0)) * COPIED)).cast("int")))
     to_compile = phrases.join(salts, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("salt"), F.lit(0).alias("kind"), "id", no("k", "long"), no("start", "int"), "words")
     to_stream = segments.join(salts, "shard", "left").select("shard", F.pmod(F.xxhash64("k"), n_salts).cast("int").alias("salt"), F.lit(1).alias("kind"), "id", "k", "start", "words")
     found = to_compile.unionByName(to_stream).repartition(nb, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(locate, packed_schema(4))
@@ -443,7 +455,7 @@ def one_of_each(rows: list[tuple[int, int, int, bytes]], window: int) -> list[tu
 
 def phrase_batch(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
     shard, part, ids, several, words = zip(*rows) if rows else ((), (), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array(several, pa.int32()), pa.array(words, pa.binary())], names=["shard", "part", "id", "several", "words"])
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array(several, pa.int32()), pa.array([len(x) // 8 for x in words], pa.int32()), pa.array(words, pa.binary())], names=["shard", "part", "id", "several", "n", "words"])
 
 
 class Automaton:
