@@ -195,6 +195,7 @@ def test_substring_removal_around_stock_phrases(spark, monkeypatch):
     """A stock phrase of five words in every text, a passage in a third of them, one text in many edited copies; shards in parts."""
     monkeypatch.setattr(substring_dedup, "HOT_LEAST", 8)
     monkeypatch.setattr(substring_dedup, "SALT_WORDS", 64)
+    monkeypatch.setattr(substring_dedup, "WHOLE_SALTS", 2)
     stock, passage, template = "all rights are reserved here", prose(30), prose(70).split()
     rows = [(i, f"{prose(20)} {stock} {prose(20)} {passage if i % 3 == 0 else ''} {stock}") for i in range(90)]
     for i in range(60):
@@ -412,3 +413,71 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 900 for i in (900, *range(1000, 1050))}, **{i: 1900 for i in (2000, *range(1900, 1950))}}
     assert connected_components(links.limit(0)).count() == 0
+
+
+ODD = "doc_id long, text string, label string, score double, predicted int, held_out boolean, `__text` string, `__row` string"
+
+
+@pytest.mark.parametrize("operator,label", [(toxicity.score_toxicity, "toxic"), (quality_model.score_with_trees, "quality")])
+def test_classifiers_on_odd_rows(spark, operator, label):
+    """Clashing columns, null and repeated ids, very long and odd texts, repeated labels; scores do not depend on the order."""
+    texts = [(i, f"{prose(30)} {'vile scum' if i % 3 == 0 else ''} {prose(9)}") for i in range(150)]
+    texts += [(5, "another text of id 5"), (5, "another text of id 5"), (None, "vile " * 9), (None, None), (900, None), (901, ""), (902, prose(40000)), (903, "\0 \n\t é漢😀" * 50), (904, "x" * 100000)]
+    rows = [(i, t, "a", 0.5, 1, True, None, "r") for i, t in texts]
+    labels = [(i, int(i % 3 == 0), "z") for i in range(150)] + [(5, 1, None), (None, 1, None), (7, None, None), (8, 7, None), (999, 1, None)]
+    docs = spark.createDataFrame(rows, ODD)
+    marks = spark.createDataFrame(labels, f"doc_id long, {label} int, text string")
+    key = lambda r: (r.doc_id is None, r.doc_id, r.score)
+    one = sorted(operator(docs.repartition(5), marks.repartition(3)).collect(), key=key)
+    other = sorted(operator(docs.orderBy(F.rand(3)).coalesce(1), marks.orderBy(F.rand(4))).collect(), key=key)
+    assert len(one) == len(rows) and [(r.doc_id, r.held_out, r.predicted) for r in one] == [(r.doc_id, r.held_out, r.predicted) for r in other]
+    assert np.allclose([r.score for r in one], [r.score for r in other], atol=1e-6)  # sums in 32 bits follow the batches
+    assert all(0 <= r.score <= 1 and r.held_out is not None for r in one)
+
+
+def test_null_and_repeated_ids(spark):
+    """Operators whose rows are keyed by id: nulls sort last, rows that share an id count as one document."""
+    same = prose(40)
+    rows = [(None, same), (None, same), (1, same), (1, same), (2, f"{same} {prose(3)}"), (3, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, key string").repartition(4)
+    got = sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert [g[1:] for g in got] == [(1, 37, 1, True), (1, 37, 1, True), (2, 40, 1, False), (3, 0, 3, True), (None, 0, None, True), (None, 37, 1, False), (None, 37, 1, False)]
+    gone = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in substring_dedup.remove_repeats(docs).select("__row.doc_id", "n_removed").collect())
+    assert gone == [(False, 1, 0), (False, 1, 0), (False, 2, 40), (False, 3, 0), (True, 0, 0), (True, 0, 40), (True, 0, 40)]
+    assert token_counts.count_tokens(docs, VOCABULARY).where("doc_id is null").count() == 3
+    assert quality_rules.score_quality(docs).where("doc_id is null").count() == 3
+    packed = packing.pack_documents(docs, VOCABULARY)
+    assert packed.where("doc_id is null").count() == 3 and packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+    assert sharding.assign_shards(docs).count() == len(rows)
+
+
+def test_quality_verdict_against_labels(spark):
+    """The rules' posterior was fitted without labels; on the smallest tables it agrees with them."""
+    where = "/root/testdata/sf0.01"
+    scored = quality_rules.score_quality(spark.read.parquet(f"{where}/documents.parquet"))
+    n = scored.select("doc_id", "kept").join(spark.read.parquet(f"{where}/labels.parquet"), "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r.quality, r.kept): r["count"] for r in n}
+    assert n.get((1, True), 0) / (n.get((1, True), 0) + n.get((1, False), 0)) > 0.95
+    assert n.get((0, False), 0) / (n.get((0, True), 0) + n.get((0, False), 0)) > 0.95
+
+
+def test_shared_folder_needs_a_name_on_a_cluster(spark, monkeypatch):
+    from vecquill.llm import shared
+
+    class Context:
+        master = "yarn"
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_folder(Session())
+    at = shared.mark()
+    table = shared.durable(spark.range(3))
+    assert table.count() == 3
+    shared.release(spark, at)
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0]).count()
