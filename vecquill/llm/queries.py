@@ -107,5 +107,40 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id)
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id"""
 
 
+#: CRC-32 by its table, the jump by its recurrence in 128-bit integers; slots by the top eight bits of a product of the key.
+OP7_SQL = """
+WITH RECURSIVE t AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+c AS MATERIALIZED (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM documents, t),
+j AS (SELECT doc_id, n, CAST(doc_id AS HUGEINT) AS key, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j FROM (SELECT DISTINCT doc_id FROM documents), (VALUES (24), (25)) v(n)
+  UNION ALL SELECT doc_id, n, key, b, CAST(floor((b + 1) * (2147483648.0::DOUBLE / CAST(key // 8589934592 + 1 AS DOUBLE))) AS BIGINT) FROM (SELECT doc_id, n, (key * 2862933555777941757 + 1) % 18446744073709551616 AS key, j AS b FROM j WHERE j < n)),
+s AS (SELECT doc_id, max(b) FILTER (WHERE n = 24 AND j >= 24) AS shard, max(b) FILTER (WHERE n = 25 AND j >= 25) AS grown FROM j GROUP BY doc_id)
+SELECT c.doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY (CAST(c.doc_id AS HUGEINT) * 11400714819323198485 % 18446744073709551616) // 72057594037927936, c.doc_id, text_crc32, size) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM c JOIN s USING (doc_id)"""
+
+
+#: The statistics, the votes, and sixty steps of expectation and maximisation over the counted vote patterns.
+OP9_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (SELECT doc_id, i, hash(array_to_string(w[i : i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+h AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM g), range(0, 5) r(o) WHERE times > 1 GROUP BY doc_id),
+s AS MATERIALIZED (SELECT d.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^A-Za-z\x{C0}-\x{10FFFF}]', '', 'g')) AS alpha, length(regexp_replace(t, '[^!?]', '', 'g')) AS bangs, length(regexp_replace(t, '[^.!?]', '', 'g')) AS stops, length(t) AS chars, len(lines) AS lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(list_distinct(w)) AS different, coalesce(h.n, 0) AS n_repeat_words FROM d LEFT JOIN h USING (doc_id)),
+n AS (SELECT *, greatest(n_words, 1) AS w1, greatest(chars, 1) AS c1, greatest(lines, 1) AS l1 FROM s),
+v AS MATERIALIZED (SELECT *, [
+  CASE WHEN n_repeat_words / w1 > 0.12 THEN 0 WHEN n_repeat_words / w1 <= 0.05 THEN 1 ELSE -1 END, CASE WHEN n_symbols / w1 > 0.10 THEN 0 WHEN n_symbols / w1 <= 0.02 THEN 1 ELSE -1 END,
+  CASE WHEN upper / greatest(alpha, 1) > 0.40 THEN 0 WHEN upper / greatest(alpha, 1) <= 0.15 THEN 1 ELSE -1 END, CASE WHEN word_chars / w1 < 2.0 OR word_chars / w1 > 14.0 THEN 0 WHEN word_chars / w1 >= 3.0 AND word_chars / w1 <= 9.0 THEN 1 ELSE -1 END,
+  CASE WHEN bangs / w1 > 0.25 THEN 0 WHEN bangs / w1 <= 0.05 THEN 1 ELSE -1 END, CASE WHEN n_dup_lines / l1 > 0.35 THEN 0 WHEN n_dup_lines / l1 <= 0.10 THEN 1 ELSE -1 END,
+  CASE WHEN different / w1 < 0.20 AND n_words < 2000 THEN 0 WHEN different / w1 >= 0.35 OR n_words > 400 THEN 1 ELSE -1 END, CASE WHEN stops = 0 AND n_words > 30 THEN 0 WHEN stops / w1 >= 0.02 THEN 1 ELSE -1 END,
+  CASE WHEN n_symbols / c1 > 0.04 THEN 0 WHEN n_symbols / c1 <= 0.005 THEN 1 ELSE -1 END, CASE WHEN alpha / c1 < 0.66 THEN 0 WHEN alpha / c1 >= 0.74 THEN 1 ELSE -1 END] AS v FROM n),
+p AS MATERIALIZED (SELECT list(v ORDER BY v) AS v, list(n ORDER BY v) AS n FROM (SELECT v, CAST(count(*) AS DOUBLE) AS n FROM v GROUP BY v)),
+e AS (SELECT 0 AS step, v, n, list_transform(v, lambda x: greatest(0.02, least(0.98, (len(list_filter(x, lambda y: y = 1)) + 1) / (len(list_filter(x, lambda y: y = 1)) + 3 * len(list_filter(x, lambda y: y = 0)) + 2)))) AS q FROM p
+  UNION ALL SELECT step + 1, v, n, list_transform(v, lambda x: 1 / (1 + exp(-greatest(-50.0, least(50.0, ln(prior / (1 - prior)) + list_sum(list_transform(range(1, 11), lambda r: CASE x[r] WHEN 1 THEN ln(a1[r] / (1 - a0[r])) WHEN 0 THEN ln((1 - a1[r]) / a0[r]) ELSE 0.0 END))))))) AS q
+  FROM (SELECT step, v, n, (list_sum(list_transform(range(1, len(n) + 1), lambda i: n[i] * q[i])) + 8) / (list_sum(n) + 10) AS prior,
+    list_transform(range(1, 11), lambda r: greatest(0.6, least(0.999, (list_sum(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN v[i][r] = 1 THEN n[i] * q[i] ELSE 0.0 END)) + 9) / (list_sum(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN v[i][r] >= 0 THEN n[i] * q[i] ELSE 0.0 END)) + 10)))) AS a1,
+    list_transform(range(1, 11), lambda r: greatest(0.15, least(0.999, (list_sum(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN v[i][r] = 0 THEN n[i] * (1 - q[i]) ELSE 0.0 END)) + 6) / (list_sum(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN v[i][r] >= 0 THEN n[i] * (1 - q[i]) ELSE 0.0 END)) + 10)))) AS a0 FROM e WHERE step < 60)),
+k AS (SELECT unnest(v) AS v, unnest(q) AS q FROM e WHERE step = 60)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND q >= 0.5 AS kept
+FROM v JOIN k USING (v)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op8_decontamination": OP8_SQL, "op10_minhash": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_sharding": OP7_SQL, "op8_decontamination": OP8_SQL, "op9_quality_rules": OP9_SQL, "op10_minhash": OP10_SQL}
