@@ -6,16 +6,15 @@ are split between tasks.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a partition that comes to the driver, and bytes that it writes at once.
+PARTITION_ROWS, BUFFER = 50_000, 4 << 20
 _FORMS = {"fvecs": ("<f4", "array<float>"), "ivecs": ("<i4", "array<int>"), "bvecs": ("u1", "array<int>")}
 
 
@@ -51,23 +50,32 @@ def vector_records(rows: DataFrame, form: str = "fvecs") -> DataFrame:
 
 
 def write_vectors(rows: DataFrame, path: str, form: str = "fvecs", records: int = 1_000_000) -> None:
-    """Vector files of at most about ``records`` rows under ``path``, by ranges of ids, so that their names keep the order.
+    """Vector files of ``records`` rows at most under ``path``, in the order of ids, so that their names keep the order.
 
-    Each task writes its own file and renames it when whole, so a repeated task leaves one. The folder must be shared.
+    The path may lie in any store that Spark reaches: the records come to the driver partition by partition and it writes
+    them through Spark's file systems, so this is for files that other programs want; tables of their own go to Parquet.
     """
-    parts = max(1, -(-rows.count() // records))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        whole = os.path.join(path, f"part-{number:06d}.{form}")
-        n = 0
-        with open(f"{whole}.{attempt}", "wb") as out:
-            for batch in batches:
-                n += len(batch)
-                out.writelines(batch.column(0).to_pylist())
-        os.replace(f"{whole}.{attempt}", whole)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
-
-    os.makedirs(path, exist_ok=False)
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(place):
+        raise FileExistsError(path)
+    files.mkdirs(place)
+    parts = max(1, -(-rows.count() // PARTITION_ROWS))
     ordered = vector_records(rows, form).repartitionByRange(parts, "id").sortWithinPartitions("id").select("record")
-    ordered.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    out, held, size, n = None, [], 0, 0
+    for r in ordered.toLocalIterator():
+        if n % records == 0:
+            if out is not None:
+                out.write(bytearray(b"".join(held)))
+                out.close()
+            out, held, size = files.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-{n // records:06d}.{form}")), [], 0
+        held.append(bytes(r.record))
+        size += len(held[-1])
+        n += 1
+        if size >= BUFFER:
+            out.write(bytearray(b"".join(held)))
+            held, size = [], 0
+    if out is not None:
+        out.write(bytearray(b"".join(held)))
+        out.close()
