@@ -707,24 +707,56 @@ def _(spark, d):
     return encoded(spark, d, list)
 
 
-@register("bpe_train")
+MERGES = 12
+
+
+def merges_sql() -> str:
+    """The merges in turn; a word is a text of its symbols, each between blanks."""
+    out = ["w0 AS MATERIALIZED (SELECT ' ' || array_to_string(string_split(w, ''), '  ') || ' ' AS s, n FROM (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) > 1 GROUP BY w))"]
+    for i in range(MERGES):
+        out.append(f"p{i} AS (SELECT l[k] AS a, l[k + 1] AS b, sum(n) AS n FROM (SELECT l, n, unnest(range(1, len(l))) AS k FROM (SELECT string_split(trim(s, ' '), '  ') AS l, n FROM w{i})) GROUP BY 1, 2)")
+        out.append(f"b{i} AS MATERIALIZED (SELECT a, b FROM p{i} ORDER BY n DESC, length(a || b), a || b, a LIMIT 1)")
+        out.append(f"w{i + 1} AS MATERIALIZED (SELECT replace(s, ' ' || a || '  ' || b || ' ', ' ' || a || b || ' ') AS s, n FROM w{i}, b{i})")
+    return ", ".join(out) + ", m AS (" + " UNION ALL ".join(f"SELECT a || b AS piece, {-float(i)} AS score FROM b{i}" for i in range(MERGES)) + ")"
+
+
+def merged_sql() -> str:
+    """Texts of symbols, joined piece by piece in the order of their scores, however a piece is split."""
+    steps = []
+    for i in range(MERGES):
+        steps.append(f"t{i + 1} AS MATERIALIZED (SELECT doc_id, list_reduce(list_prepend(s, list_transform(range(1, length(p)), lambda k: ' ' || substr(p, 1, k) || '  ' || substr(p, k + 1) || ' ')), lambda x, y: replace(x, y, ' ' || p || ' ')) AS s FROM t{i}, (SELECT a || b AS p FROM b{i}))")
+    return ", ".join(steps)
+
+
+NORMAL = f"SELECT doc_id, CASE WHEN trim(text, ' ') = '' THEN '' ELSE '{MARK}' || regexp_replace(trim(text, ' '), ' +', '{MARK}', 'g') END AS t FROM {DOCS}"
+
+
+@register("bpe_train", f"WITH {merges_sql()} SELECT piece, score FROM m")
 def _(spark, d):
-    return spark.createDataFrame(list(pieces.train_merges(table(spark, d, "documents"), 12).items()), "piece string, score double")
+    return spark.createDataFrame(list(pieces.train_merges(table(spark, d, "documents"), MERGES).items()), "piece string, score double")
 
 
-@register("bpe_encode")
+@register("bpe_encode", f"WITH {merges_sql()}, t0 AS MATERIALIZED (SELECT doc_id, ' ' || array_to_string(string_split(t, ''), '  ') || ' ' AS s FROM ({NORMAL}) WHERE t <> ''), {merged_sql()} SELECT doc_id, CAST(len(string_split(trim(s, ' '), '  ')) AS INTEGER) AS n, md5(replace(trim(s, ' '), '  ', ' ')) AS digest FROM t{MERGES}")
 def _(spark, d):
-    return encoded(spark, d, pieces.pair_merger(pieces.train_merges(table(spark, d, "documents"), 12)))
+    return encoded(spark, d, pieces.pair_merger(pieces.train_merges(table(spark, d, "documents"), MERGES))).where("n > 0")
+
 
+VOCABULARY = "v AS MATERIALIZED (SELECT piece FROM (SELECT unnest(string_split(text, ' ')) AS piece, count(*) AS n FROM documents GROUP BY 1) WHERE piece <> '' ORDER BY n DESC, piece LIMIT 500)"
 
-@register("unigram_encode")
+
+# a word's longest beginning in the vocabulary is a piece; what follows up to the next such beginning is one unknown piece
+@register("unigram_encode", f"WITH {VOCABULARY}, w AS (SELECT doc_id, w[i] AS w, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents))), b AS MATERIALIZED (SELECT w, coalesce(max_by(piece, length(piece)), '') AS p FROM (SELECT DISTINCT w FROM w) LEFT JOIN v ON starts_with(w, piece) GROUP BY w), s AS (SELECT doc_id, i, CASE WHEN p = '' THEN NULL ELSE '{MARK}' || p END AS known, CASE WHEN p = '' THEN '{MARK}' || w ELSE substr(w, length(p) + 1) END AS rest FROM w JOIN b USING (w)), r AS (SELECT *, sum(CASE WHEN known IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM s), g AS (SELECT doc_id, run, max(known) AS known, string_agg(rest, '' ORDER BY i) AS rest FROM r GROUP BY doc_id, run) SELECT doc_id, CAST(sum((known IS NOT NULL)::INT + (rest <> '')::INT) AS INTEGER) AS n, md5(string_agg(concat_ws(' ', known, nullif(rest, '')), ' ' ORDER BY run)) AS digest FROM g GROUP BY doc_id")
 def _(spark, d):
-    return encoded(spark, d, pieces.best_path(word_scores(spark, d)))
+    return encoded(spark, d, pieces.best_path(word_scores(spark, d))).where("n > 0")
+
+
+_APART = r"\p{P}$+<=>^`|~"
 
 
-@register("wpm_encode")
+@register("wpm_encode", f"WITH {VOCABULARY}, t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[{_APART}]|[^\s{_APART}]+') AS t FROM {DOCS}), x AS (SELECT doc_id, list_transform(t, lambda x: CASE WHEN list_contains(known, x) THEN '{MARK}' || x ELSE '[UNK]' END) AS p FROM t, (SELECT list(piece) AS known FROM v)) SELECT doc_id, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, ' ')) AS digest FROM x WHERE len(p) > 0")
 def _(spark, d):
-    return encoded(spark, d, pieces.word_parts(set(word_scores(spark, d))))
+    p = table(spark, d, "documents").select("doc_id", pieces.over_batches(pieces.word_parts(set(word_scores(spark, d))))("text").alias("p"))
+    return p.where("size(p) > 0").select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", " ").cast("binary")).alias("digest"))
 
 
 CHUNKS = """WITH p AS (SELECT doc_id, text, string_split(text, '. ') AS p FROM documents), r AS (SELECT doc_id, list_reduce(list_prepend('', list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i < len(p) THEN '. ' || chr(2) ELSE '' END)),

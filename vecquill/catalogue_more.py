@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecquill.catalogue import CENTROIDS, DUCK, E_, HALF, L2E, LOGITS, OUT, PROBES, asked, base, bits_sql, logits, pairs_sql, ranked_sql, register, rounded, table, total
+from vecquill.catalogue import CENTROIDS, DUCK, E_, HALF, L2E, LOGITS, MARK, NORMAL, OUT, PROBES, asked, base, bits_sql, logits, pairs_sql, ranked_sql, register, rounded, table, total
 from vecquill.functions import vectors as V
 from vecquill.operators import binary, embedding, generation, search, vector_index
 
@@ -340,3 +340,44 @@ def _(spark, d):
     packed = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.packer()("embedding").alias("code"))
     back = packed.select("id", V.unpacker()(V.reformatter(False)(V.reformatter(True)("code"))).alias("v"))
     return back.select("id", F.posexplode("v").alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), F.round(F.col("x").cast("double"), 9).alias("x"))
+
+
+@register("byte_pieces", f"SELECT doc_id, CAST(strlen(t) AS INTEGER) AS n, md5(t) AS digest FROM ({NORMAL}) WHERE t <> ''")
+def _(spark, d):
+    from vecquill.operators import piecemodel
+
+    model = piecemodel.PieceModel((("<unk>", 0.0, piecemodel.UNKNOWN), *((f"<0x{b:02X}>", 0.0, piecemodel.BYTE) for b in range(256))), piecemodel.CHAR, byte_fallback=True)
+    out = over_texts(spark, d, lambda t: (lambda p: [str(len(p)), model.decode(p)])(model.encode(t)), "array<string>").where("x[0] <> '0'")
+    return out.select("doc_id", F.col("x")[0].cast("int").alias("n"), F.md5(F.col("x")[1].cast("binary")).alias("digest"))
+
+
+CUT = r"\p{N}{1,3}|\p{L}+|[^\s\p{L}\p{N}]+|[ \n\t\r]+"
+
+
+@register("pre_tokens", f"SELECT doc_id, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, '|')) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '{CUT}') AS p FROM documents) WHERE len(p) > 0")
+def _(spark, d):
+    from vecquill.operators import piecemodel
+
+    out = over_texts(spark, d, lambda t: piecemodel.pre_tokens(t, CUT), "array<string>")
+    return out.where("size(x) > 0").select("doc_id", F.size("x").alias("n"), F.md5(F.array_join("x", "|").cast("binary")).alias("digest"))
+
+
+# the small model says the letters in order, up to j or eleven of them
+LETTERS = "l AS (SELECT doc_id AS conv_id, doc_id % 26 AS c FROM documents), a AS (SELECT conv_id, c, CAST(least(11, (9 - c + 26) % 26) AS INTEGER) AS n FROM l)"
+
+
+@register("predict_greedy", f"WITH {LETTERS} SELECT conv_id, substr('abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz', c + 2, n) AS answer, n AS n_pieces FROM a")
+def _(spark, d):
+    return generation.predict(letters(spark, d), generation.LetterProvider(), GREEDY)
+
+
+@register("predict_pieces", f"WITH {LETTERS} SELECT conv_id, CAST(k AS INTEGER) AS n, chr(CAST(97 + (c + 1 + k) % 26 AS INTEGER)) AS piece FROM a, range(0, 11) r(k) WHERE k < a.n")
+def _(spark, d):
+    return generation.predict(letters(spark, d), generation.LetterProvider(), GREEDY, pieces=True)
+
+
+GREEDY = generation.PredictOptions(temp=0, repeat_penalty=1.0, dry_multiplier=0.0, max_tokens=12)
+
+
+def letters(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), F.char(F.col("doc_id") % 26 + 97).alias("prompt"))
