@@ -753,7 +753,7 @@ def _(spark, d):
 _APART = r"\p{P}$+<=>^`|~"
 
 
-@register("wpm_encode", f"WITH {VOCABULARY}, t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[{_APART}]|[^\s{_APART}]+') AS t FROM {DOCS}), x AS (SELECT doc_id, list_transform(t, lambda x: CASE WHEN list_contains(known, x) THEN '{MARK}' || x ELSE '[UNK]' END) AS p FROM t, (SELECT list(piece) AS known FROM v)) SELECT doc_id, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, ' ')) AS digest FROM x WHERE len(p) > 0")
+@register("wpm_encode", f"WITH {VOCABULARY}, t AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[{_APART}]|[^\\s{_APART}]+') AS t FROM {DOCS}), x AS (SELECT doc_id, list_transform(t, lambda x: CASE WHEN list_contains(known, x) THEN '{MARK}' || x ELSE '[UNK]' END) AS p FROM t, (SELECT list(piece) AS known FROM v)) SELECT doc_id, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, ' ')) AS digest FROM x WHERE len(p) > 0")
 def _(spark, d):
     p = table(spark, d, "documents").select("doc_id", pieces.over_batches(pieces.word_parts(set(word_scores(spark, d))))("text").alias("p"))
     return p.where("size(p) > 0").select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", " ").cast("binary")).alias("digest"))
