@@ -9,10 +9,11 @@ A word goes if a window of ``window`` consecutive words around it also starts in
    looked up in their bucket.
 2. Segments. Runs of windows with recurring anchors are cut out of the documents as word hashes and sent to the shard
    of the first document that has the anchor, so all occurrences of a window meet in one shard. A window whose anchor
-   is a stock phrase goes to a shard by its own hash instead, so that a phrase's many unlike surroundings are spread.
+   is a stock phrase goes to a shard by the least hash of its ``LONGER`` -word runs instead, so that a phrase's many unlike
+   surroundings are spread, while neighbours in a popular passage mostly stay together.
 3. Phrases. Each task reduces its segments to one copy of each window, with its least document and whether there are
    others; where a shard's copies meet, the windows of one document only are dropped. What is left is confirmed. The
-   copies of a shard of more than ``WHOLE_SALTS`` salts meet window by window, in parts by the windows' hashes.
+   copies of a shard of more than ``WHOLE_SALTS`` salts meet in parts, by the same longer runs of the windows.
 4. Automata. Large shards are split by document; each part gets the shard's confirmed phrases and no others, and holds
    ``COPIED`` times their words or more. It compiles an
    Aho-Corasick automaton (one symbol a word) over runs of ``SEED`` words of them, so placed that every confirmed window
@@ -41,11 +42,11 @@ from pyspark.sql import types as T
 from vecquill.llm.shared import batches_of, bounded_batches, durable, expand, first_of_groups, mark, pack, packed_schema, release, unpack, width
 from vecquill.llm.textbytes import inner_windows, mix, slices, span_hashes, text_buffer, window_hashes, word_spans
 
-ANCHOR, SEED, HELD, HOT_LEAST, SHARDS_PER_PART, SALT_WORDS = 5, 6, 1 << 21, 20_000, 32, 1 << 15
+ANCHOR, LONGER, SEED, HELD, HOT_LEAST, SHARDS_PER_PART, SALT_WORDS = 5, 9, 6, 1 << 21, 20_000, 32, 1 << 15
 #: Salts of a shard whose phrases still meet in one task.
 WHOLE_SALTS = 3
 #: Words of a part for each word of the phrases that it gets.
-COPIED = 8
+COPIED = 4
 #: Shards with parts are told to all tasks up to so many; beyond, they are joined.
 BROADCAST_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1
@@ -232,7 +233,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
                 doc = doc[which]
                 stock = np.flatnonzero((_find(hot, a[spots]) >= 0)[which])
                 if len(stock):
-                    shard[stock] = (mix(window_hashes(h, window)[starts[stock]]) % np.uint64(shards)).astype(np.int64)
+                    shard[stock] = (mix(longer_anchors(h, starts[stock], window)) % np.uint64(shards)).astype(np.int64)
                 new = np.ones(len(starts), bool)
                 new[1:] = (shard[1:] != shard[:-1]) | (doc[1:] != doc[:-1]) | (starts[1:] != starts[:-1] + 1)
                 begin = np.flatnonzero(new)
@@ -269,7 +270,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         for b in it:
             for *row, salts_ in zip(*(b.column(c).to_pylist() for c in ("shard", "id", "several", "words", "salts"))):
                 if salts_ > WHOLE_SALTS:
-                    parts_of[row[0]] = salts_ * window  # a window apart has ``window`` words for one
+                    parts_of[row[0]] = salts_ * LONGER
                 held.append(tuple(row))
                 size += len(row[3]) // 8
             if size >= HELD // 2:
@@ -416,13 +417,22 @@ def _without(raw: bytes, gone: np.ndarray) -> str:
     return data[np.cumsum(edge[:-1]) == 0].tobytes().decode()
 
 
+def longer_anchors(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """For the windows at some places, the least hash of their runs of ``LONGER`` words."""
+    k = min(LONGER, window)
+    return window_hashes(h, k)[at[:, None] + np.arange(window - k + 1)].min(axis=1)
+
+
 def parted_row(row: tuple[int, int, int, bytes], parts: int, window: int) -> list[tuple[int, int, int, int, bytes]]:
-    """(shard, part, id, several, words): the row as it is, or, if its shard has several parts, each of its windows in the part of its hash."""
+    """(shard, part, id, several, words): the row as it is, or, if its shard has several parts, cut where its windows' parts change."""
     shard, id_, several, words = row
     if parts == 1:
         return [(shard, 0, id_, several, words)]
-    part = (mix(window_hashes(np.frombuffer(words, np.uint64), window)) % np.uint64(parts)).tolist()
-    return [(shard, p, id_, several, words[8 * i : 8 * (i + window)]) for i, p in enumerate(part)]
+    h = np.frombuffer(words, np.uint64)
+    n = len(h) - window + 1
+    part = (mix(mix(longer_anchors(h, np.arange(n), window))) % np.uint64(parts)).astype(np.int64)  # not the hash that dealt the shards
+    s = first_of_groups(part)
+    return [(shard, p, id_, several, words[8 * a : 8 * (z - 1 + window)]) for p, a, z in zip(part[s].tolist(), s.tolist(), [*s[1:].tolist(), n])]
 
 
 def one_of_each(rows: list[tuple[int, int, int, bytes]], window: int) -> list[tuple[int, int, int, bytes]]:
