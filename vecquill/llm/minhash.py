@@ -41,7 +41,7 @@ _SEEDS = np.random.default_rng(90210)
 _FACTOR = _SEEDS.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _OFFSET = _SEEDS.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 #: Queries, and members, of a block of step 4.
-BLOCK = 400
+BLOCK = 300
 #: How far below the threshold the signatures of a pair may agree: five standard deviations of 150 minima at 0.8.
 SLACK = 0.2
 #: Parts of a bucket that have a least class of their own in step 3.
