@@ -58,3 +58,31 @@ def test_least_and_capped(spark):
     assert search.capped_within(asked, rows, 40, "l2").count() == sum(x < d[40] for x in d)
     assert search.capped_within(asked, rows, 10_000_000, "l2").count() == len(d)
     assert search.knn(asked, rows, 3, "l2", apart=True).where("query_id = id").count() == 0
+
+
+def test_codes_are_trained_on_all_rows(spark, monkeypatch):
+    from vecquill.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "LEAST_SAMPLE", 50)
+    monkeypatch.setattr(vector_index, "PER_CENTRE", 1)
+    x = np.random.default_rng(6).normal(size=(1001, 8))
+    for rows in (x, x[:1000]):
+        model = lambda text: vector_index.open_factory(text, 8).train(table(spark, rows.tolist())).model
+        sq = model("SQ8")
+        assert (sq["low"] == rows.min(0)).all() and (sq["width"] == np.ptp(rows, axis=0)).all()
+        assert np.allclose(model("LSH8t")["cut"], np.median(rows, axis=0), rtol=0, atol=1e-15)
+        assert np.allclose(model("RaBitQ")["centre"], rows.mean(0), rtol=0, atol=1e-12)
+
+
+@pytest.mark.parametrize("text", ["Flat", "SQ4", "RaBitQ", "IVF3,PQ4x4"])
+def test_equal_codes_tie_by_id(spark, text):
+    from vecquill.operators import vector_index
+
+    x = np.random.default_rng(7).normal(size=(40, 8))
+    rows = table(spark, np.concatenate([x] * 9).tolist()).repartition(7)
+    index = vector_index.open_factory(text, 8).train(rows) if text != "Flat" else vector_index.open_factory(text, 8)
+    got = index.add(rows).search(rows.where("id < 40"), 9, nprobe=3).collect()
+    for q in range(40):
+        own = sorted((r.distance, r.rank, r.id) for r in got if r.query_id == q)
+        assert [r for _, r, _ in own] == list(range(1, 10)) and all(a[2] < b[2] for a, b in zip(own, own[1:]) if a[0] == b[0])
+        assert text == "IVF3,PQ4x4" or len({d for d, _, _ in own}) == 1
