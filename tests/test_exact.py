@@ -86,3 +86,27 @@ def test_equal_codes_tie_by_id(spark, text):
         own = sorted((r.distance, r.rank, r.id) for r in got if r.query_id == q)
         assert [r for _, r, _ in own] == list(range(1, 10)) and all(a[2] < b[2] for a, b in zip(own, own[1:]) if a[0] == b[0])
         assert text == "IVF3,PQ4x4" or len({d for d, _, _ in own}) == 1
+
+
+def test_texts_are_encoded_in_slices(spark):
+    import pyarrow as pa
+
+    from vecquill.operators import pieces
+
+    texts = pa.array(["abc", None, "x" * 50, "", "de", "fgh"])
+    parts = list(pieces.in_slices(texts, 6))
+    assert pa.concat_arrays(parts).to_pylist() == texts.to_pylist() and len(parts) == 3
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else "a▁" * (i % 50) * 400) for i in range(300)], "id long, t string").coalesce(1)
+    got = rows.select("id", F.size(pieces.over_batches(list)("t")).alias("n"), "t").collect()
+    assert len(got) == 300 and all((r.n in (-1, None)) if r.t is None else r.n == len(r.t) for r in got)
+
+
+def test_pieces_word_by_word_are_those_of_whole_texts(monkeypatch):
+    from vecquill.operators import pieces
+
+    text = "▁the▁then▁xx▁ythe▁▁the▁in▁" * 3 + "tail"
+    scores = {"▁the": -1.0, "▁the" + "n": -2.0, "▁in": -1.5}
+    merges = {"th": 0.0, "the": -1.0, "in": -2.0}
+    fast = pieces.best_path(scores)(text), pieces.pair_merger(merges)(text)
+    monkeypatch.setattr(pieces, "by_word", lambda encode, _: encode)
+    assert fast == (pieces.best_path(scores)(text), pieces.pair_merger(merges)(text))
