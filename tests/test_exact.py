@@ -110,3 +110,13 @@ def test_pieces_word_by_word_are_those_of_whole_texts(monkeypatch):
     fast = pieces.best_path(scores)(text), pieces.pair_merger(merges)(text)
     monkeypatch.setattr(pieces, "by_word", lambda encode, _: encode)
     assert fast == (pieces.best_path(scores)(text), pieces.pair_merger(merges)(text))
+
+
+def test_all_pairs_are_rounded_before_the_jvm(spark):
+    d = np.array([0.5, 1.5, -0.5, -2.5, 1234567.5, 0.4999999, -0.2, np.nan, np.inf, -np.inf, 1e300])
+    assert str(exact.rounded(d, 0).tolist()) == "[1.0, 2.0, -1.0, -3.0, 1234568.0, 0.0, 0.0, nan, inf, -inf, 1e+300]"
+    rows = table(spark, [[0.1, 0.2], [3.0, 4.00000051], None])
+    got = search.distances(rows, rows, "l2", digits=6)
+    assert "round(" not in got._jdf.queryExecution().toString().lower()
+    assert sorted((r.query_id, r.id, r.distance) for r in got.where("distance is not null").collect()) == [(0, 0, 0.0), (0, 1, 22.850004), (1, 0, 22.850004), (1, 1, 0.0)]
+    assert got.count() == 9

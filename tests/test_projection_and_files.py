@@ -1,5 +1,7 @@
 """Linear maps against numpy; vector files against their bytes."""
 
+from functools import reduce
+
 import numpy as np
 import pytest
 
@@ -61,3 +63,17 @@ def test_written_vectors_read_back(spark, rows, tmp_path):
     (tmp_path / "one").write_bytes(b"".join((tmp_path / "out" / n).read_bytes() for n in names))
     got = read_vectors(spark, str(tmp_path / "one"), 64).orderBy("id").collect()
     assert np.allclose(np.array([r.v for r in got]), array(rows))
+
+
+def test_maps_sum_in_order_and_keep_what_is_odd(spark):
+    x = np.random.default_rng(3).normal(size=(300, 6))
+    x[150:] = x[:150]
+    turn = projection.LinearMap(np.random.default_rng(4).normal(size=(4, 6)), np.arange(4.0))
+    rows = spark.createDataFrame([(i, f"t{i}", v) for i, v in enumerate(x.tolist())] + [(300, None, None), (301, "a", [1.0]), (302, "b", [None] + [1.0] * 5)], "id long, t string, v array<double>")
+    plan = turn.apply(rows)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan and "CartesianProduct" not in plan
+    got = {r.id: (r.t, r.v) for r in turn.apply(rows.repartition(5)).collect()}
+    for i in range(300):
+        want = [reduce(lambda s, ab: s + ab[0] * ab[1], zip(x[i].tolist(), m), 0.0) + c for m, c in zip(turn.matrix.tolist(), turn.bias.tolist())]
+        assert got[i] == (f"t{i}", want)
+    assert got[300] == (None, None) and got[301] == ("a", [None] * 4) and got[302] == ("b", [None] * 4)
