@@ -120,3 +120,18 @@ def test_all_pairs_are_rounded_before_the_jvm(spark):
     assert "round(" not in got._jdf.queryExecution().toString().lower()
     assert sorted((r.query_id, r.id, r.distance) for r in got.where("distance is not null").collect()) == [(0, 0, 0.0), (0, 1, 22.850004), (1, 0, 22.850004), (1, 1, 0.0)]
     assert got.count() == 9
+
+
+def test_scans_hold_a_bounded_tile(spark):
+    from vecquill.operators import scan
+
+    n = 3_000
+
+    def distances(b):
+        if b.num_rows * n > scan.NUMBERS_AT_ONCE:
+            raise ValueError(f"a tile of {b.num_rows} by {n}")
+        return np.abs(b.column("id").to_numpy()[:, None] - np.arange(n)[None, :]).astype(float)
+
+    rows = spark.range(2_500).coalesce(1)
+    got = scan.nearest(rows, distances, np.arange(n), 1, False).where("query_id < 2500").select("query_id", "id", "distance").collect()
+    assert len(got) == 2_500 and all(r.id == r.query_id and r.distance == 0 for r in got)

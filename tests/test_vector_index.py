@@ -220,3 +220,12 @@ def test_binary_indexes(spark, rows):
         BinaryIndex.open("BIVF4", 64).add(codes)
     with pytest.raises(Exception, match="another size"):
         BinaryIndex.open("BFlat", 32).add(codes).rows.collect()
+
+
+def test_linear_maps_are_made_by_the_coder(rows):
+    index = vector_index.open_factory("Pad80,RR80,Flat", 64)
+    index = index.train(rows).add(rows) if index.spec.needs_training else index.add(rows)
+    plan = index.rows._jdf.queryExecution()
+    assert "zip_with" not in plan.toString() and plan.executedPlan().toString().count("MapInArrow") == 1
+    moved = {r.id: np.array(r.v, np.float32).tobytes() for r in index._moved(rows).collect()}
+    assert {r.id: bytes(r.code) for r in index.rows.collect()} == moved
