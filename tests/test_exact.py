@@ -60,6 +60,17 @@ def test_least_and_capped(spark):
     assert search.knn(asked, rows, 3, "l2", apart=True).where("query_id = id").count() == 0
 
 
+def test_zero_vectors_hide_no_neighbour(spark):
+    x = np.random.default_rng(8).normal(size=(60, 5))
+    x[20:50] = 0  # more zero vectors in a tile than neighbours are asked for: cosine 0, which the others exceed
+    rows = table(spark, x.tolist()).coalesce(1)
+    got = search.knn(rows.where("id = 3"), rows, 4, "cosine").orderBy("rank").collect()
+    cosines = x[:20] @ x[3], x[50:] @ x[3]
+    best = np.sort(np.concatenate(cosines) / np.linalg.norm(np.concatenate([x[:20], x[50:]]), axis=1) / np.linalg.norm(x[3]))[::-1][:4]
+    assert got[0].id == 3 and np.allclose([r.distance for r in got], best, rtol=0, atol=1e-12)
+    assert np.allclose(exact.least(rows.where("id = 3"), rows, 4, "cosine"), best, rtol=0, atol=1e-12)
+
+
 def test_codes_are_trained_on_all_rows(spark, monkeypatch):
     from vecquill.operators import vector_index
 
