@@ -71,6 +71,33 @@ def test_zero_vectors_hide_no_neighbour(spark):
     assert np.allclose(exact.least(rows.where("id = 3"), rows, 4, "cosine"), best, rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("kind", ["plain", "copies", "scaled"])
+def test_few_pairs_are_summed_in_order(monkeypatch, name, kind):
+    x, p = np.random.default_rng(9).normal(size=(1600, 12)), 3 if name == "lp" else None
+    x = np.abs(x) if name in ("jensenshannon", "jaccard") else np.clip(np.abs(x) / 4, 0, 1) if name == "gower" else np.where(np.abs(x) < 0.1, np.nan, x) if name == "nan_euclidean" else x
+    x = np.where(np.arange(len(x))[:, None] % 3 == 0, x[0], x) if kind == "copies" else x * 1000 if kind == "scaled" and name != "gower" else x
+    q, ids, summed, in_order = x[::20], np.random.default_rng(10).permutation(len(x)), [], exact.in_order
+
+    def counted(name, a, b, p=None):
+        summed.append(np.prod(np.broadcast_shapes(a.shape[1:], b.shape[1:])))
+        return in_order(name, a, b, p)
+
+    monkeypatch.setattr(exact, "in_order", counted)
+    one, other, distances = exact.Nearest(len(q), 5), exact.Nearest(len(q), 5), exact.Distances(name, q, p)
+    one.add(ids, distances.tiles(x))
+    few = sum(summed)
+    other.add(ids, distances.tiles(x, exact=True))
+    assert (one.ids == other.ids).all() and (one.s == other.s).all()
+    assert kind == "copies" or few < len(q) * len(x) / 4
+    across = np.ascontiguousarray(x.T)
+    for own, s, off, values in distances.tiles(x):
+        true = distances._nearness(in_order(distances.name, q[own].T[:, :, None], across[:, None, :], p))
+        assert ((s == true) | (s == -np.inf) | (np.abs(s - true) <= np.reshape(off, (-1, 1)))).all()
+        qi, ri = np.nonzero(s > -np.inf)
+        assert (values(qi + own.start, ri) == true[qi, ri]).all()
+
+
 def test_codes_are_trained_on_all_rows(spark, monkeypatch):
     from vecquill.operators import vector_index
 
