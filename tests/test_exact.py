@@ -98,6 +98,20 @@ def test_few_pairs_are_summed_in_order(monkeypatch, name, kind):
         assert (values(qi + own.start, ri) == true[qi, ri]).all()
 
 
+def test_linf_is_estimated_in_whole_steps():
+    x = np.random.default_rng(11).normal(size=(900, 6))
+    for odd in (x, np.zeros((900, 6)), np.where(np.arange(900)[:, None] == 7, 1e7, x), x * 1e-20):
+        distances, ids = exact.Distances("linf", odd[::9]), np.arange(900)
+        one, other = exact.Nearest(100, 4), exact.Nearest(100, 4)
+        one.add(ids, distances.tiles(odd))
+        other.add(ids, distances.tiles(odd, exact=True))
+        assert (one.ids == other.ids).all() and (one.s == other.s).all()
+    assert {s.dtype for _, s, _, _ in exact.Distances("linf", x[::9]).tiles(x)} == {np.dtype(float)}
+    own, s, off, _ = next(exact.Distances("linf", x[:20]).tiles(x))
+    steps = s / (np.abs(x).max() / 16_000)
+    assert np.allclose(steps, np.rint(steps), rtol=0, atol=1e-6)
+
+
 def test_codes_are_trained_on_all_rows(spark, monkeypatch):
     from vecquill.operators import vector_index
 
