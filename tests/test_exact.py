@@ -187,3 +187,57 @@ def test_scans_hold_a_bounded_tile(spark):
     rows = spark.range(2_500).coalesce(1)
     got = scan.nearest(rows, distances, np.arange(n), 1, False).where("query_id < 2500").select("query_id", "id", "distance").collect()
     assert len(got) == 2_500 and all(r.id == r.query_id and r.distance == 0 for r in got)
+
+
+def test_products_are_estimated_in_single_precision():
+    x = np.random.default_rng(12).normal(size=(700, 9))
+    x[600:] = x[:100]
+    for name in ("ip", "l2", "cosine"):
+        assert {s.dtype for _, s, _, _ in exact.Distances(name, x[:90]).tiles(x)} == {np.dtype(np.float32)}
+        for odd in (x, x * 1e12, x * 1e20, x * 1e-25, np.where(np.arange(700)[:, None] % 9 == 4, x * 1e-19, x), np.where(np.arange(700)[:, None] == 7, 1e13, x)):
+            distances, ids = exact.Distances(name, odd[::3]), np.random.default_rng(13).permutation(700)
+            one, other = exact.Nearest(len(odd[::3]), 4), exact.Nearest(len(odd[::3]), 4)
+            for at in range(0, 700, 250):
+                one.add(ids[at : at + 250], distances.tiles(odd[at : at + 250]))
+                other.add(ids[at : at + 250], distances.tiles(odd[at : at + 250], exact=True))
+            assert (one.ids == other.ids).all() and (one.s == other.s).all()
+
+
+def test_of_copies_the_least_ids_are_searched(spark):
+    x = np.random.default_rng(14).normal(size=(30, 6))
+    x[3] = np.float32(x[3])  # packed by four bytes, others by eight
+    of = np.random.default_rng(15).choice(30, 3000, p=np.r_[0.7, np.full(29, 0.3 / 29)])
+    rows = table(spark, x[of].tolist()).repartition(5)
+    dealt = exact._by_content(rows, 4).toArrow().to_batches()
+    searched = list(exact._first_copies(iter(dealt), 4, 64))
+    ids, v = np.concatenate([i for i, _ in searched]), np.concatenate([y for _, y in searched])
+    assert sorted(ids) == sorted(i for c in range(30) for i in np.flatnonzero(of == c)[:4]) and (v == x[of[ids]]).all()
+    asked = rows.where("id % 20 = 0")
+    for apart in (False, True):
+        got = {(r.query_id, r.rank): (r.id, r.distance) for r in search.knn(asked, rows, 4, "ip", apart=apart).collect()}
+        d = np.zeros((150, 3000))
+        for j in range(6):
+            d += x[of[::20], j, None] * x[of, j]
+        for n, q in enumerate(range(0, 3000, 20)):
+            s = np.where((np.arange(3000) == q) & apart, -np.inf, d[n])
+            want = np.lexsort((np.arange(3000), -s))[:4]
+            assert [got[q, r + 1] for r in range(4)] == [(i, d[n, i]) for i in want.tolist()]
+
+
+def test_queries_are_sent_in_blocks_and_rows_are_dealt_once(spark, monkeypatch):
+    x = np.random.default_rng(16).normal(size=(900, 6))
+    x[800:] = x[:100]
+    rows = table(spark, x.tolist())
+    asked = rows.where("id % 3 = 0")
+    key = lambda df: sorted((r.query_id, r.rank, r.id, r.distance) for r in df.collect())
+    whole = key(search.knn(asked, rows, 3, "l2"))
+    monkeypatch.setattr(exact, "QUERY_NUMBERS", 6 * 70)
+    monkeypatch.setattr(exact, "QUERY_BLOCK", 100)  # three parts
+    sizes = [len(ids) for ids, _ in exact._blocks_by_content(asked, 1000)]
+    assert sizes == [70, 70, 70, 70, 20]
+    found = search.knn(asked, rows, 3, "l2")
+    assert key(found) == whole and len(whole) == 900
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan  # the rows are packed and dealt once for all blocks
+    assert [(ids == np.sort(ids)).all() for ids, _ in exact.query_blocks(asked)] == [True] * 5
